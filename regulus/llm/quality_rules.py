@@ -102,6 +102,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: Sequence[Column] = ())
         long(count(r"!!")).alias("n_exclaimed"),
         long(F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x))))).alias("n_stop_words"),
         long(count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))")).alias("n_runs"),
+        long(F.size(F.array_distinct(F.transform(w, lambda x: F.lower(F.regexp_replace(x, r"[.,;:!?]+$", "")))))).alias("n_distinct_words"),
         F.lit(1).cast("long").alias("one"),
     )
 
@@ -126,7 +127,7 @@ def quality(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rule
     null id stays null. An empty table gives an empty result.
     """
     counted = statistics(docs, text, [F.col(id_column).alias(id_column)])
-    return judge(counted, rules).drop("one")
+    return judge(counted, rules).drop("one", "n_distinct_words")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:

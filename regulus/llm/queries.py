@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regulus.llm import chat, decontam, packing, pii, quality_rules, simhash, warc
-from regulus.llm.common import table
+from regulus.llm import chat, compaction, decontam, html_text, packing, pii, quality_rules, simhash, warc, weak_quality
+from regulus.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,10 +31,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = compaction.compacted(table(spark, sf_dir, "documents"), scratch(spark, "store"), 8, F.col("doc_id"))
+    return held.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"), "lang", "source", "n_chars")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +61,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op8_simhash, op9_packing, op10_personal_data)}
+    return {f.__name__: f for f in (op1_weak_quality, op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op6_html_text, op7_compaction, op8_simhash, op9_packing, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
