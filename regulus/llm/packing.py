@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from zlib import crc32
 
@@ -27,8 +27,8 @@ from regulus.llm.common import cut, small_batches
 CAPACITY, END = 2048, 0
 #: Open bins of a task; pieces that one task packs.
 OPEN_BINS, PER_TASK = 4096, 100_000
-#: Entries of each of a worker's two caches.
-CACHED = 300_000
+#: Entries of each half of a worker's two caches.
+CACHED = 250_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -39,6 +39,25 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent(dict):
+    """A bounded cache of a function: when it is full, it is kept as the older half of a new one."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHED):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class WordEncoder:
     """The ids of a text as little-endian 32-bit integers, equal to the tokenizer's own.
 
@@ -49,6 +68,7 @@ class WordEncoder:
     BPE model; any other run goes to the tokenizer as it is.
     """
 
+    SEPARATORS, ASCII_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"[ \t\n\r\x0b\x0c]+")
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PART = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
@@ -58,18 +78,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.runs: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.runs, self.parts = Recent(self.run), Recent(self.part)
         self.signs: dict[str, str] = {}
 
     def part(self, text: str) -> bytes:
-        if (got := self.parts.get(text)) is None:
-            if len(self.parts) >= CACHED:
-                self.parts.clear()
-            as_bytes = text if text.isascii() else "".join(map(self.sign, text))
-            ids = [x.id for x in self.tokenizer.model.tokenize(as_bytes)]
-            got = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
+        as_bytes = text if text.isascii() else "".join(map(self.sign, text))
+        ids = [x.id for x in self.tokenizer.model.tokenize(as_bytes)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def sign(self, letter: str) -> str:
         """A letter's bytes in the alphabet of byte-level vocabularies."""
@@ -79,19 +94,14 @@ class WordEncoder:
 
     def run(self, text: str) -> bytes:
         if self.PLAIN.fullmatch(text) and "<|" not in text:
-            got = b"".join(map(self.part, self.PART.findall(text.lower())))
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= 64:
-            if len(self.runs) >= CACHED:
-                self.runs.clear()
-            self.runs[text] = got
-        return got
+            return b"".join(map(self.parts.__getitem__, self.PART.findall(text.lower())))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        known, run = self.runs, self.run
-        return b"".join([known.get(w) or run(w) for w in re.split(r"[ \t\n\r\x0b\x0c]+", text) if w])
+        # the information separators are white space to Python and not to the tokenizer
+        runs = text.split() if not self.SEPARATORS.search(text) else filter(None, self.ASCII_SPACE.split(text))
+        return b"".join(map(self.runs.__getitem__, runs))
 
 
 @cache
