@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import WORD_GAP, whole_text, words_of
+from regulus.llm.common import WORD_GAP, keep_where, whole_text, words_of
 
 #: Frequent short words of the corpus languages (fixed values).
 STOP_WORDS = (
@@ -133,4 +133,4 @@ def quality(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rule
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that every rule passes, with the columns they came with."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return judge(statistics(docs, text, [row]), rules).where("kept").select("_row.*")
+    return keep_where(judge(statistics(docs, text, [row]), rules), "kept").select("_row.*")
