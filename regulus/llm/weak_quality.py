@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import exp
 from zlib import crc32
 
 import numpy as np
@@ -109,6 +110,12 @@ def shape(word: str) -> str:
     return word[:12]
 
 
+def repeats(text: str, words: list[str], counted: Counter[str]) -> dict[str, float]:
+    """How much of a text repeats: words after themselves, lines, and words at all."""
+    n, lines = len(words), [x for x in text.split("\n") if x and not x.isspace()]
+    return {"runs": sum(map(str.__eq__, words, words[1:])) / n, "lines": 1 - len(set(lines)) / max(1, len(lines)), "few": max(0.0, 1 - len(counted) / (4 * n**0.5)) if n >= ENOUGH else 0.0}
+
+
 class Hasher:
     """A text's hashed features: places and values, of words, of shapes and of how much repeats."""
 
@@ -142,14 +149,47 @@ class Hasher:
         for s, c in shapes.items():
             at.append(self.place("s:" + s))
             value.append(2 * (c / n) ** 0.5)
-        lines = [x for x in text.split("\n") if x and not x.isspace()]
-        more = {"runs": sum(map(str.__eq__, words, words[1:])) / n, "lines": 1 - len(set(lines)) / max(1, len(lines)), "few": max(0.0, 1 - len(counted) / (4 * n**0.5)) if n >= ENOUGH else 0.0}
-        for name, x in more.items():
+        for name, x in repeats(text, words, counted).items():
             at.append(self.place("r:" + name))
             value.append(3 * x)
         return at, value
 
 
+class Scorer(dict):
+    """The scorer's sum for a text: what :class:`Hasher` would give, weighed, with a word's weight and shape looked up once."""
+
+    def __init__(self, w: np.ndarray, bias: float, cached: int = 400_000):
+        super().__init__()
+        self.w, self.bias, self.cached = w, bias, cached
+        self.hasher = Hasher(len(w), 1)
+        self.shapes: dict[str, float] = {}
+
+    def __missing__(self, word: str) -> tuple[float, str]:
+        if len(self) >= self.cached:
+            self.clear()
+        got = self[word] = (float(self.w[self.hasher.place("w:" + word.lower())]), shape(word))
+        return got
+
+    def named(self, name: str) -> float:
+        if name not in self.shapes:
+            self.shapes[name] = float(self.w[self.hasher.place(name)])
+        return self.shapes[name]
+
+    def __call__(self, text: str) -> float | None:
+        words = text.split()
+        n = len(words)
+        if not n:
+            return None
+        counted = Counter(words)
+        z, shapes = 0.0, {}
+        for w, c in counted.items():
+            weight, s = self[w]
+            z += weight if c == 1 else weight * c**0.5
+            shapes[s] = shapes.get(s, 0) + c
+        z += sum(2 * self.named("s:" + s) * c**0.5 for s, c in shapes.items())
+        return self.bias + z / n**0.5 + sum(3 * x * self.named("r:" + name) for name, x in repeats(text, words, counted).items())
+
+
 def fit(rows: Sequence[tuple[list[int], list[float]]], soft: np.ndarray, places: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by gradient descent with momentum."""
     w, bias, dw, db = np.zeros(places), 0.0, np.zeros(places), 0.0
@@ -216,13 +256,10 @@ def classify(docs: DataFrame, text: str = "text", id_column: str = "doc_id", lab
     w, bias = model
 
     def each(batches):
-        hasher = Hasher(places)
+        scorer = Scorer(w, bias)
         for b in batches:
-            scores = []
-            for t in b.column(1):
-                at, value = hasher(t.as_py())
-                z = float(np.dot(w[at], value)) + bias if at else -745.0
-                scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if at else 0.0)
+            sums = [scorer(t.as_py()) for t in b.column(1)]
+            scores = [0.0 if z is None else 1 / (1 + exp(-min(30.0, max(-30.0, z)))) for z in sums]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([s >= keep for s in scores], pa.bool_())], names=["id", "score", "kept"])
 
     kind = rows.schema["id"].dataType.simpleString()
