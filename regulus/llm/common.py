@@ -57,11 +57,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
-def keep_where(rows: DataFrame, flag: str) -> DataFrame:
-    """The rows whose ``flag`` holds, filtered where they are.
+def held(c: Column) -> Column:
+    """The column, computed where it stands.
 
     A filter is otherwise moved below the projections that made its column,
     which writes their expressions out once for each use, in nested ones
-    without end. It is not moved below a projection that names the partition.
+    without end. It is not moved below an expression that names the partition.
     """
-    return rows.withColumn("_at", F.spark_partition_id()).where(F.col(flag) & (F.col("_at") >= 0)).drop("_at")
+    return F.when(F.spark_partition_id() >= 0, c)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import WORD_GAP, keep_where, whole_text, words_of
+from regulus.llm.common import WORD_GAP, held, whole_text, words_of
 
 #: Frequent short words of the corpus languages (fixed values).
 STOP_WORDS = (
@@ -87,7 +87,6 @@ def statistics(docs: DataFrame, text: str = "text", keep: Sequence[Column] = ())
     r = F.col("_r")
     gaps = F.zip_with(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), r, lambda b, a: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     covered = F.when(F.size(r) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(0), lambda a, x: a + x))
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
     long = lambda c: c.cast("long")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     return lists.select(
@@ -96,13 +95,13 @@ def statistics(docs: DataFrame, text: str = "text", keep: Sequence[Column] = ())
         long(F.length(F.regexp_replace(t, WORD_GAP, ""))).alias("word_chars"),
         long(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        long(covered).alias("n_repeat_words"),
+        held(long(covered)).alias("n_repeat_words"),
         long(F.size("_l")).alias("n_lines"),
         long(count(r"(?<![^\x20\x09-\x0D])\p{Lu}{2}")).alias("n_capital_words"),
         long(count(r"!!")).alias("n_exclaimed"),
-        long(F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x))))).alias("n_stop_words"),
+        long(F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS)))).alias("n_stop_words"),
         long(count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))")).alias("n_runs"),
-        long(F.size(F.array_distinct(F.transform(w, lambda x: F.lower(F.regexp_replace(x, r"[.,;:!?]+$", "")))))).alias("n_distinct_words"),
+        long(F.size(F.array_distinct(F.transform(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))))))).alias("n_distinct_words"),
         F.lit(1).cast("long").alias("one"),
     )
 
@@ -133,4 +132,4 @@ def quality(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rule
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that every rule passes, with the columns they came with."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return keep_where(judge(statistics(docs, text, [row]), rules), "kept").select("_row.*")
+    return judge(statistics(docs, text, [row]), rules).where("kept").select("_row.*")
