@@ -28,7 +28,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(table(spark, sf_dir, "documents"))
+    counted = quality_rules.quality(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +65,43 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_weak_quality, op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op6_html_text, op7_compaction, op8_simhash, op9_packing, op10_personal_data)}
 
 
+#: A SHA-1 in hex as upper-case base32: of each five hex digits four signs.
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
+
+
+def escaped(text: str) -> str:
+    return f"replace(replace({text}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+
+
+def within(rule: quality_rules.Rule) -> str:
+    """A rule of the threshold table in SQL."""
+    top, bottom = f"{rule.top}::DOUBLE", f"{rule.bottom}::DOUBLE"
+    least = [f"{top} >= {rule.least} * {bottom}"] if rule.least is not None else []
+    most = [f"{top} <= {rule.most} * {bottom}"] if rule.most is not None else []
+    return f"({rule.bottom} = 0 OR ({' AND '.join(least + most)}))"
+
+
+WARC = f"""WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS last FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
+
+CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(replace({escaped("role")}, chr(10), chr(92) || chr(10))) + 1 + length({escaped("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+WORD = r"[^\x20\x09-\x0D]+"
+RULES = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, unnest(range(len(w) - 2)) AS i, unnest(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) AS g FROM t)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+s AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+  len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}{{2}}'))) AS n_capital_words, len(regexp_extract_all(text, '!!')) AS n_exclaimed, len(list_filter(w, lambda x: list_contains([{STOP}], lower(x)))) AS n_stop_words, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_runs, 1 AS one FROM t LEFT JOIN r ON r.doc_id = t.doc_id),
+b AS (SELECT *, NOT ({" AND ".join(map(within, quality_rules.BASE))}) AS base_failed FROM s)
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}, base_failed, NOT base_failed AND {" AND ".join(map(within, quality_rules.RULES))} AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express: no hashing of shingles, vocabularies, mark-up, learning or spreading over graphs."""
+    stored = "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_chars, lang, source, n_chars FROM documents"
+    return {"op3_warc": WARC, "op4_chat": CHAT, "op5_quality_rules": RULES, "op7_compaction": stored}
