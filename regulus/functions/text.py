@@ -45,6 +45,11 @@ def firsts(all_: Column, name: str) -> Column:
     return let(all_, lambda a: let(F.transform(a, lambda x: x[name]), lambda names: F.filter(a, lambda x, i: F.array_position(names, x[name]) == i + 1)))
 
 
+#: Matches of a text are placed in runs of so many, so that the time grows with their number and not with its square.
+RUN = 256
+SPANS = "array<struct<start:int,end:int,hit:string>>"
+
+
 def find_all(c: Column, pattern: str) -> Column:
     """``array<struct<start, end, hit>>`` of the matches, in code points, the end excluded.
 
@@ -52,8 +57,8 @@ def find_all(c: Column, pattern: str) -> Column:
     A pattern must not match the empty string.
     """
     between, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    parts = let(hits, lambda h: F.zip_with(F.slice(between, 1, F.size(h)), h, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m"))))
+    nothing = F.array().cast(SPANS)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["b"]
@@ -61,7 +66,20 @@ def find_all(c: Column, pattern: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("hit"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    def run(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)
+
+    def joined(runs: Column) -> Column:
+        ends = F.aggregate(runs, F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + r["at"])))
+        moved = lambda by: F.flatten(F.transform(runs, lambda r, k: F.transform(r["out"], lambda x: F.struct((x["start"] + F.get(by, k)).alias("start"), (x["end"] + F.get(by, k)).alias("end"), x["hit"].alias("hit")))))
+        return let(ends, moved)
+
+    def placed(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / RUN).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), last), lambda k: run(F.slice(p, k * RUN + 1, F.lit(RUN))))
+        return F.when(F.size(p) == 0, nothing).when(F.size(p) <= RUN, run(p)["out"]).otherwise(let(runs, joined))
+
+    return let(parts, placed)
 
 
 def cut(c: Column, start: Column, end: Column) -> Column:
