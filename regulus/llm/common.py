@@ -57,6 +57,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
+#: Keys of 8 bytes are broadcast up to so many.
+BROADCAST_KEYS = 1_000_000
+
+
+def small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of keys, written out and counted: to be broadcast if it is small, else joined by a shuffle."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def held(c: Column) -> Column:
     """The column, computed where it stands.
 

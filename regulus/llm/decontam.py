@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, whole_text
+from regulus.llm.common import cut, small, whole_text
 
 #: Words to a window; share of an item's windows a document must hold; share of aligned slots that must be consistent.
 WINDOW, COVERAGE, CONSISTENCY = 8, 0.5, 0.75
@@ -105,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     share = share.withColumn("coverage", F.col("hit_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
     share = cut(share)
     # the values behind the aligned placeholders
-    keys = share.select("text_key").distinct()
+    keys = small(share.select("text_key").distinct())
     texts = docs.select(whole_text(text).alias("t")).select("t", F.xxhash64("t").alias("text_key")).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
     said = texts.select("text_key", words(plain(F.col("t"))).alias("draw"))
     pairs = met.join(share.select("text_key", "item_id", "variant"), ["text_key", "item_id", "variant"])
@@ -126,10 +126,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
     """One row for each document and benchmark item it holds; clean documents have none. See :func:`contamination`."""
     found = contamination(docs, benchmark, text, id_column, **how)
     keyed = docs.select(F.col(id_column).alias(id_column), F.xxhash64(whole_text(text)).alias("text_key"))
-    return keyed.join(found, "text_key").drop("text_key")
+    some = keyed.join(small(found.select("text_key").distinct()), "text_key", "left_semi")
+    return some.join(found, "text_key").drop("text_key")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
     """The rows that hold no benchmark item, with the columns they came with."""
-    gone = contamination(docs, benchmark, text, id_column, **how).select("text_key").distinct()
+    gone = small(contamination(docs, benchmark, text, id_column, **how).select("text_key").distinct())
     return docs.join(gone, F.xxhash64(whole_text(docs[text])) == gone["text_key"], "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, small_batches
+from regulus.llm.common import cut, small, small_batches
 from regulus.llm.components import components
 
 #: Bits that may differ; words to a shingle; seed of the hash.
@@ -196,5 +196,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
     """Of each component the rows stay whose id is the smallest; columns as they came. Rows without an id stay."""
     found = near_duplicates(docs, text, id_column, **how)
-    gone = found.where((F.col(id_column) != F.col("component_id"))).select(F.col(id_column).alias("_gone")).distinct()
+    gone = small(found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct())
     return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
