@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regulus.functions.text import find_all
 from regulus.llm.common import cut, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
@@ -52,16 +53,8 @@ def of_kind(spans: str | Column, kind: str) -> Column:
 
 
 def found(text: Column, pattern: str, kind: str) -> Column:
-    """``array<SPAN>`` of the leftmost matches: what lies between them gives their places."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("n"), m.alias("m")))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["b"]
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"))
-        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none().alias("out")), step, lambda a: a["out"])
+    """``array<SPAN>`` of the leftmost matches."""
+    return F.transform(find_all(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("s"), x["end"].alias("e"), x["hit"].alias("m")))
 
 
 def luhn(digits: Column) -> Column:
