@@ -154,7 +154,7 @@ SQL = {
     "post_merge_normalize": cte() + rf"""SELECT doc_id, {strip(rewritten("('```md' || chr(10) || text || chr(10) || '```' || chr(10) || '- 3 -' || chr(10) || 'Page 1 / 3')", ((r"```[a-zA-Z0-9_-]*\s*", ""), (r"\s*```", ""), (r"\b\d{3,4}\s*-\s*\d{1,2}\b", ""), (r"(?i)Page\s+\d+\s*/\s*\d+", ""), (r"(?m)^\s*-\s*\d+\s*-\s*$", ""), (r"\s{2,}", " "))))} AS text FROM docs""",
     "line_break_cleanup": rf"SELECT doc_id, md5(regexp_replace(regexp_replace(text, ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS text_md5, {strip(r"regexp_replace(text, '\s+', ' ', 'g')")}[1:500] AS head FROM documents",
     "golden_normalize_md5": f"SELECT doc_id, md5({strip(GOLDEN.format('text'))}) AS checksum FROM documents",
-    "article_number_repair": cte() + r"""SELECT doc_id, CASE WHEN f IS NULL THEN t ELSE replace(CASE WHEN doc_id > 200 THEN replace(t, '제' || doc_id || '조의2', f) ELSE t END, '제402조', f) END AS text, '402-' || doc_id % 90 AS page_numbers FROM (
+    "article_number_repair": cte() + r"""SELECT doc_id, CASE WHEN f IS NULL THEN t ELSE CASE WHEN doc_id > 200 THEN replace(replace(t, '제402조', f), '제' || doc_id || '조의2', f) ELSE replace(t, '제402조', f) END END AS text, '402-' || doc_id % 90 AS page_numbers FROM (
       SELECT doc_id, '제402조 및 제' || doc_id || '조의2 402-' || doc_id % 90 AS t, list_filter(list_transform(regexp_extract_all(text, '제\s?(\d+)조', 1), lambda x: CASE WHEN CAST(x AS BIGINT) <= 200 THEN '제' || x || '조' END), lambda x: x IS NOT NULL)[1] AS f FROM docs)""",
     "doc_features": f"SELECT doc_id, CAST(char_count AS BIGINT) AS char_count, CAST(pages AS BIGINT) AS pages, round(text_per_page, 6) AS text_per_page, has_articles, round(digit_density, 6) AS digit_density, round(short_line_ratio, 6) AS short_line_ratio FROM (SELECT doc_id, {DOC_FEATURES} FROM documents)",
     "doc_type": cte() + f"""SELECT doc_id, doc_type, CASE doc_type WHEN 'form' THEN 0.9 WHEN 'law_annex' THEN 0.9 WHEN 'image_heavy' THEN 0.8 WHEN 'stats_chart' THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN doc_type IN ('law_annex', 'form') THEN 'LawMode' ELSE 'VLM' END AS mode FROM (
