@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from regulus.llm.common import cut, small, small_batches
 from regulus.llm.components import components
+from regulus.llm.similar import SHINGLE as FIVE
+from regulus.llm.similar import digest, join_similar, min_hashes, shingle_set
 
 #: Bits that may differ; words to a shingle; seed of the hash.
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -54,17 +56,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(keep, fp)`` for each row; the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED, similar: bool = False) -> DataFrame:
+    """``(key, fp)`` for each row, the fingerprint as a signed long; if asked, also ``name`` and ``blocks`` of its set of five-word shingles."""
     small_batches(docs.sparkSession)
 
     def each(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
+            texts = [t.as_py() for t in b.column(1)]
+            fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(b))
+            columns, names = [b.column(0), pa.array(fps.view(np.int64))], ["key", "fp"]
+            if similar:
+                marks = [(digest(s), min_hashes(s)) for s in (shingle_set(hashes(t, FIVE)) for t in texts)]
+                columns += [pa.array([m[0] for m in marks], pa.binary()), pa.array([m[1] for m in marks], pa.list_(pa.int64()))]
+                names += ["name", "blocks"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(keep).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, fp long" + (", name binary, blocks array<long>" if similar else ""))
 
 
 def tables(blocks: int, distance: int) -> list[int]:
@@ -173,7 +181,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, blo
     return near.union(midpoint_links(dense, distance)).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
+def grouped(prints: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """``prints(key, fp, ...)`` with ``head``: the least key that links of fingerprints reach."""
+    reps = cut(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(reps.select("fp"), distance, crowd))
+    linked = reps.join(roots, reps["fp"] == roots["node"], "inner").select("fp", "root", "least")
+    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
+    found = linked.join(heads, "root").select("fp", "head").union(reps.where("n > 1").join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("head")))
+    return prints.join(cut(found), "fp", "left").withColumn("head", F.coalesce("head", "key"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
     """One row for each input row: id, ``fingerprint`` and ``component_id``, the smallest id that links reach.
 
     Texts are compared whole, with A-Z in lower case. A null text and one
@@ -181,16 +199,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     share a fingerprint and are met once. A null id is never the smallest, so
     it gets the component of its neighbours, or null if there is none; rows
     that repeat come back as often. Other columns aren't looked at. An empty
-    table gives an empty result.
+    table gives an empty result. With a ``similarity``, texts of so large a
+    five-word similarity link as well; rows without an id make no such links.
     """
-    prints = cut(fingerprints(docs, text, id_column, shingle, seed))
-    reps = cut(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(reps.select("fp"), distance, crowd))
-    linked = reps.join(roots, reps["fp"] == roots["node"], "inner").select("fp", "root", "least")
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    found = linked.join(heads, "root").select("fp", "head").union(reps.where("n > 1").join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("head")))
-    out = prints.join(cut(found), "fp", "left")
-    return out.select(F.col("key").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("head", "key").alias("component_id"))
+    prints = cut(fingerprints(docs, text, id_column, shingle, seed, similarity is not None))
+    out = grouped(prints, distance, crowd)
+    if similarity is not None:
+        out = cut(out)
+        moved = join_similar(docs, out, text, id_column, similarity).where("was <> head").withColumnRenamed("head", "to")
+        out = out.join(moved, out["head"] == moved["was"], "left").withColumn("head", F.coalesce("to", "head"))
+    return out.select(F.col("key").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:

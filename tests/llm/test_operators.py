@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regulus.llm import chat, compaction, components, decontam, html_text, packing, pii, quality_rules, queries, simhash, warc, weak_quality
+from regulus.llm import chat, compaction, components, decontam, html_text, packing, pii, quality_rules, queries, similar, simhash, warc, weak_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(None, "a null id and some more words to read"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "same text here again"), (5, "same text here again"), (6, "same text here again"), (7, "ünï 🙂 x\x00y " * 3000)]
@@ -122,6 +123,57 @@ def test_near_duplicates(spark, crowd):
     assert {r.doc_id for r in kept.collect()} - {None} == set(want.values())
 
 
+def alike(rows, similarity=0.8, links=()):
+    """id -> smallest id reachable by five-word similarity, or by further links, over all pairs."""
+    ids = sorted({i for i, _ in rows})
+    words = [(i, WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows]
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, w in words if w]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = [(i, j) for (i, a), (j, b) in itertools.combinations(sets, 2) if len(a & b) >= similarity * len(a | b)]
+    for i, j in [*near, *links]:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("part", [10_000, 3])
+def test_similar_texts_join(spark, part, monkeypatch):
+    monkeypatch.setattr(similar, "PART", part)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    rows = []
+    for g in range(8):
+        base = [rng.choice(words) for _ in range(300)]
+        for k in range(30 if g == 0 else 5):
+            copy = list(base)
+            for _ in range(rng.randrange(8)):
+                copy[rng.randrange(300)] = rng.choice(words)
+            rows.append((1000 + 100 * g + k, " ".join(copy)))
+        rows.append((1090 + 100 * g, " ".join(base[:200])))
+    docs = documents(spark, [*rows, (2000, rows[0][1] + " " + rows[0][1]), (2001, rows[0][1])])
+    known = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    by_print = grouped(list({i: prints(t) for i, t in known}.items()), 4)
+    want = alike(known, links=by_print.items())
+    got = simhash.near_duplicates(docs, similarity=0.8).collect()
+    assert len(got) == docs.count()
+    found = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    if part == 3:  # parts this short miss some neighbours, but never join what isn't linked
+        assert all(want[i] == want[c] for i, c in found.items())
+        return
+    assert found == want
+    assert len(set(want.values())) < len(set(by_print.values()))
+    kept = simhash.keep_one(docs, similarity=0.8)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} - {None} == set(want.values())
+    assert simhash.near_duplicates(empty(spark), similarity=0.8).count() == 0
+
+
 def test_all_pairs_share_a_table():
     rng = random.Random(3)
     for blocks in (6, 7, 8):
