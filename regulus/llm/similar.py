@@ -24,8 +24,8 @@ from regulus.llm.components import components
 SIMILARITY, SHINGLE, BLOCKS, ROWS, SEED = 0.8, 5, 20, 6, 42
 #: A bucket of more texts than this is walked in several parts, each tied to the bucket's first text.
 PART = 10_000
-#: Blocks and steps of the two rounds: few pairs first, which join most of a large group.
-ROUNDS = ((4, (1,)), (BLOCKS, tuple(range(1, 9))))
+#: In its bucket a text meets so many of the texts before it.
+STEPS = (1, 2, 3)
 
 
 def shingle_set(parts: Iterator[np.ndarray]) -> np.ndarray:
@@ -69,54 +69,42 @@ def grams_of(docs: DataFrame, text: str, shingle: int, seed: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(each, "name binary, grams array<long>").groupBy("name").agg(F.first("grams").alias("grams"))
 
 
-def met(buckets: DataFrame, blocks: int, steps: tuple[int, ...]) -> DataFrame:
-    """``buckets(t, k, part, first, name, head)`` -> pairs ``(a, b, ha, hb)`` of neighbours in a bucket, in an order drawn for each block."""
-    me = F.struct("name", "head")
-    order = Window.partitionBy("t", "k", "part").orderBy(F.xxhash64("t", "name"), "name")
-    rows = buckets.where(F.col("t") < blocks)
-    others = [F.coalesce(F.lag(me, s).over(order), F.when(F.lit(s == 1), F.col("first"))) for s in steps]
-    pairs = rows.select(me.alias("x"), F.array(*others).alias("ys")).select("x", F.explode("ys").alias("y")).where("y is not null and x.head <> y.head")
+def met(buckets: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """``buckets(t, k, part, first, me)`` -> pairs ``(a, b, ha, hb)`` of neighbours in a bucket, in an order drawn for each block."""
+    order = Window.partitionBy("t", "k", "part").orderBy(F.xxhash64("t", "me.name"), "me.name")
+    others = [F.coalesce(F.lag("me", s).over(order), F.when(F.lit(s == 1), F.col("first"))) for s in steps]
+    pairs = buckets.select(F.col("me").alias("x"), F.array(*others).alias("ys")).select("x", F.explode("ys").alias("y")).where("y is not null and x.head <> y.head")
     x, y = F.least("x", "y"), F.greatest("x", "y")
     return pairs.select(x["name"].alias("a"), y["name"].alias("b"), x["head"].alias("ha"), y["head"].alias("hb")).distinct()
 
 
-def joined(heads: DataFrame, links: DataFrame) -> DataFrame:
-    """``heads(was, head)`` after ``links(a, b)`` between heads: each takes the least that it reaches."""
-    roots = components(links)
-    least = cut(roots.join(roots.groupBy("root").agg(F.min("node").alias("to")), "root").select("node", "to"))
-    return cut(heads.join(least, heads["head"] == least["node"], "left").select("was", F.coalesce("to", "head").alias("head")))
+def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, text: str, id_column: str, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """``(a, b)``: the heads of those pairs whose whole sets have the similarity."""
+    ends = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
+    keys = small(texts.join(ends, "name", "left_semi").select(F.col("key").alias("_key")).distinct())
+    grams = cut(grams_of(docs.join(keys, docs[id_column] == keys["_key"], "left_semi"), text, shingle, seed))
+    sides = pairs.join(grams.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return sides.where(both >= similarity * (F.size("ga") + F.size("gb") - both)).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
 
 
 def join_similar(docs: DataFrame, marks: DataFrame, text: str, id_column: str, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``marks(key, head, name, blocks)`` of the rows of docs -> ``(was, head)``: where each former head went.
+    """``marks(key, head, name, blocks)`` of the rows of docs -> ``(was, head)``: the least head that each linked head reaches.
 
     Rows of equal sets of shingles join; others join where they share a block
     and their sets have the similarity. Pairs that are joined already are not
-    compared. Buckets of up to nine texts are compared wholly, larger ones by
+    compared. Buckets of up to four texts are compared wholly, larger ones by
     neighbours in an order that differs from block to block: there, a text
     whose only partners are a few of very many may stay apart. Rows without an
     id, and texts without words, take no part. An empty table gives none.
     """
     marks = marks.where("key is not null and head is not null and size(blocks) > 0")
-    texts = cut(marks.groupBy("name").agg(F.min("head").alias("head"), F.max("head").alias("other"), F.first("blocks").alias("blocks"), F.min("key").alias("key")))
-    torn = small(texts.where("head <> other").select("name", F.col("head").alias("a")))
-    split = marks.join(torn, "name").where("head <> a").select("a", F.col("head").alias("b")).distinct()
-    heads = joined(marks.select(F.col("head").alias("was"), "head").distinct(), split)
-    placed = texts.select("name", F.col("head").alias("was"), F.posexplode("blocks").alias("t", "k"))
-    full = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "was")).alias("first")).where("n > 1")
-    part = F.pmod(F.xxhash64("k", "name"), F.ceil(F.col("n") / PART).cast("long"))
-    buckets = cut(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "name", "was"))
-    for blocks, steps in ROUNDS:
-        at = lambda c: heads.select(F.col("was").alias(c), F.col("head").alias(f"{c}_head"))
-        rows = buckets.withColumn("first_was", F.col("first.was")).join(at("was"), "was").join(at("first_was"), "first_was")
-        pairs = cut(met(rows.select("t", "k", "part", F.struct(F.col("first.name").alias("name"), F.col("first_was_head").alias("head")).alias("first"), "name", F.col("was_head").alias("head")), blocks, steps))
-        if pairs.isEmpty():
-            continue
-        ends = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
-        keys = small(texts.join(ends, "name", "left_semi").select(F.col("key").alias("_key")).distinct())
-        grams = cut(grams_of(docs.join(keys, docs[id_column] == keys["_key"], "left_semi"), text, shingle, seed).join(ends, "name", "left_semi"))
-        sides = pairs.join(grams.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
-        both = F.size(F.array_intersect("ga", "gb"))
-        alike = both >= similarity * (F.size("ga") + F.size("gb") - both)
-        heads = joined(heads, cut(sides.where(alike).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()))
-    return heads
+    texts = cut(marks.groupBy("name").agg(F.min("head").alias("head"), F.first("blocks").alias("blocks"), F.min("key").alias("key")))
+    before = F.lag("head").over(Window.partitionBy("name").orderBy("head"))
+    torn = marks.select("name", "head").distinct().select(before.alias("a"), F.col("head").alias("b")).where("a is not null")
+    placed = texts.select(F.struct("name", "head").alias("me"), F.posexplode("blocks").alias("t", "k"))
+    full = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("first"), F.min("me.head").alias("low"), F.max("me.head").alias("high")).where("low < high")
+    part = F.pmod(F.xxhash64("k", "me.name"), F.ceil(F.col("n") / PART).cast("long"))
+    pairs = cut(met(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "me")))
+    roots = components(cut(alike(docs, texts, pairs, text, id_column, similarity, shingle, seed).union(torn)))
+    return roots.join(roots.groupBy("root").agg(F.min("node").alias("head")), "root").select(F.col("node").alias("was"), "head")
