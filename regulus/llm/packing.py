@@ -2,10 +2,10 @@
 
 Texts become token ids once, in the tasks that read them; what is shuffled for
 packing is the length of each piece. Each task packs some tens of thousands of
-pieces, longest first, by best fit into a fixed number of open bins: a bitset
-has a bit for each free space that some open bin has, so the tightest bin is
-the lowest bit at or above the length, and when too many are open the fullest
-closes first.
+pieces, longest first, by best fit: a bitset has a bit for each free space that
+some open bin has, so the tightest bin is the lowest bit at or above the
+length. Every bin stays open to the end of its task, as the short pieces that
+fill it come last; the bound on open bins only guards a worker's memory.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from regulus.llm.common import cut, small_batches
 
 #: Tokens to a sequence; the id that ends a document.
 CAPACITY, END = 2048, 0
-#: Open bins of a task; pieces that one task packs.
-OPEN_BINS, PER_TASK = 4096, 100_000
+#: Pieces that one task packs; its open bins, which are far more, so that none closes before the short pieces come (about 40 bytes each).
+PER_TASK, OPEN_BINS = 100_000, 1 << 20
 #: Entries of each half of a worker's two caches.
 CACHED = 250_000
 VOCABULARY = "word_bpe_49k.json"

@@ -315,6 +315,19 @@ def test_open_bins_are_bounded():
         used[at] += n
 
 
+@pytest.mark.parametrize("per_task", [packing.PER_TASK, 4_000])
+def test_half_filled_bins_wait_for_short_pieces(spark, per_task):
+    """Pairs that fill a sequence each: the longer halves alone are far more than 4,096 bins."""
+    n = 12_000
+    halves = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") < n, 1025 + F.col("id") % 900).otherwise(1023 - F.col("id") % n % 900).alias("length"), F.col("id").alias("ids_crc32"))
+    rows = packing.place(halves, per_task=per_task).collect()
+    used = collections.Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert len(rows) == 2 * n and max(used.values()) <= 2048
+    assert len(used) <= 1.03 * n
+
+
 # 3: WARC
 
 
