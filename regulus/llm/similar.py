@@ -4,8 +4,8 @@ Two texts of five-word similarity 0.8 differ in 4 to 14 bits of a fingerprint,
 which no choice of whole blocks finds at a bearable number of tables. For such
 pairs the blocks are cut from min-hashes instead: a block of six agrees with
 probability 0.8 ** 6, so of twenty blocks at least one does with probability
-0.997 at the threshold, and more above it. Those that meet are compared by
-their whole sets of shingles.
+0.997 at the threshold, and more above it. Those that share a block are compared
+by their whole sets of shingles, however many share it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from regulus.llm.components import components
 SIMILARITY, SHINGLE, BLOCKS, ROWS, SEED = 0.8, 5, 20, 6, 42
 #: A bucket of more texts than this is walked in several parts, each tied to the bucket's first text.
 PART = 10_000
-#: In its bucket a text meets so many of the texts before it.
+#: At first, a text meets so many of the texts before it in its bucket.
 STEPS = (1, 2, 3)
 
 
@@ -78,25 +78,59 @@ def met(buckets: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
     return pairs.select(x["name"].alias("a"), y["name"].alias("b"), x["head"].alias("ha"), y["head"].alias("hb")).distinct()
 
 
-def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, text: str, id_column: str, similarity: float, shingle: int, seed: int) -> DataFrame:
+def sets_of(docs: DataFrame, texts: DataFrame, names: DataFrame, text: str, id_column: str, shingle: int, seed: int) -> DataFrame:
+    """``(name, grams)`` of the texts that are named."""
+    keys = small(texts.join(names, "name", "left_semi").select(F.col("key").alias("_key")).distinct())
+    return cut(grams_of(docs.join(keys, docs[id_column] == keys["_key"], "left_semi"), text, shingle, seed))
+
+
+def alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: the heads of those pairs whose whole sets have the similarity."""
-    ends = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
-    keys = small(texts.join(ends, "name", "left_semi").select(F.col("key").alias("_key")).distinct())
-    grams = cut(grams_of(docs.join(keys, docs[id_column] == keys["_key"], "left_semi"), text, shingle, seed))
     sides = pairs.join(grams.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return sides.where(both >= similarity * (F.size("ga") + F.size("gb") - both)).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
 
 
+def mixed(texts: DataFrame) -> DataFrame:
+    """``(name)``: the texts that share a bucket with a text of another head."""
+    placed = texts.select("name", "head", F.posexplode("blocks").alias("t", "k"))
+    full = placed.groupBy("t", "k").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("t", "k")
+    return placed.join(full, ["t", "k"], "left_semi").select("name").distinct()
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets(name, head, grams)`` -> ``(a, b, ha, hb)``: all pairs of two heads that may have the similarity.
+
+    Sets are put in one order: first the shingles that a single head has, then
+    the others, rarest first. Two sets of the similarity have a shingle in
+    common among the first ``size - similarity * size + 1`` of each, and where
+    the first such one stands, enough must be left of both. Nothing is dropped
+    that could have the similarity.
+    """
+    each = sets.select("name", "head", F.explode("grams").alias("g"))
+    spread = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("g", "n")
+    shared = each.join(spread, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("shared"))
+    sized = sets.select("name", "head", F.size("grams").alias("size")).join(shared, "name").withColumn("own", F.col("size") - F.size("shared"))
+    # a little more than the bound, for the sake of rounding
+    prefix = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6).cast("int") + 1
+    first = sized.select("name", "head", "size", "own", F.posexplode(F.slice("shared", 1, F.greatest(prefix - F.col("own"), F.lit(0)))).alias("i", "x"))
+    keys = cut(first.select("name", "head", "size", (F.col("size") - F.col("own") - F.col("i")).alias("left"), F.col("x.g").alias("g")))
+    x, y = keys.alias("x"), keys.alias("y")
+    enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.head") != F.col("y.head")) & enough)
+    return pairs.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.head").alias("ha"), F.col("y.head").alias("hb")).distinct()
+
+
 def join_similar(docs: DataFrame, marks: DataFrame, text: str, id_column: str, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``marks(key, head, name, blocks)`` of the rows of docs -> ``(was, head)``: the least head that each linked head reaches.
 
     Rows of equal sets of shingles join; others join where they share a block
-    and their sets have the similarity. Pairs that are joined already are not
-    compared. Buckets of up to four texts are compared wholly, larger ones by
-    neighbours in an order that differs from block to block: there, a text
-    whose only partners are a few of very many may stay apart. Rows without an
-    id, and texts without words, take no part. An empty table gives none.
+    and their sets have the similarity. First each text meets a few neighbours
+    in its buckets, which joins most of what belongs together at a cost that
+    grows with the rows. Whatever then still shares a bucket with a text of
+    another head is compared by :func:`candidates`, so that no link depends on
+    an order or on the size of a bucket. Rows without an id, and texts without
+    words, take no part. An empty table gives none.
     """
     marks = marks.where("key is not null and head is not null and size(blocks) > 0")
     texts = cut(marks.groupBy("name").agg(F.min("head").alias("head"), F.first("blocks").alias("blocks"), F.min("key").alias("key")))
@@ -106,5 +140,16 @@ def join_similar(docs: DataFrame, marks: DataFrame, text: str, id_column: str, s
     full = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("first"), F.min("me.head").alias("low"), F.max("me.head").alias("high")).where("low < high")
     part = F.pmod(F.xxhash64("k", "me.name"), F.ceil(F.col("n") / PART).cast("long"))
     pairs = cut(met(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "me")))
-    roots = components(cut(alike(docs, texts, pairs, text, id_column, similarity, shingle, seed).union(torn)))
+    ends = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
+    near = alike(pairs, sets_of(docs, texts, ends, text, id_column, shingle, seed), similarity)
+    roots = components(cut(near.union(torn)))
+    # what the neighbours left apart
+    now = cut(texts.join(roots, texts["head"] == roots["node"], "left").select("name", F.coalesce("root", "head").alias("head"), "blocks", "key"))
+    apart = cut(mixed(now))
+    grams = sets_of(docs, now, apart, text, id_column, shingle, seed)
+    more = cut(alike(candidates(grams.join(now.select("name", "head"), "name"), similarity), grams, similarity))
+    if not more.isEmpty():
+        later = cut(components(more).select(F.col("node").alias("old"), F.col("root").alias("new")))
+        fresh = later.join(roots, later["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+        roots = cut(roots.join(later, roots["root"] == later["old"], "left").select("node", F.coalesce("new", "root").alias("root")).union(fresh))
     return roots.join(roots.groupBy("root").agg(F.min("node").alias("head")), "root").select(F.col("node").alias("was"), "head")
