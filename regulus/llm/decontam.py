@@ -5,7 +5,8 @@ question asked again with other values has the same template. Windows of
 template words of the benchmark and of the documents are joined by hash; where
 enough of an item's windows lie in a document, the values behind the aligned
 placeholders are compared: one value of the item must stand for one value of
-the document throughout.
+the document throughout. Items with too few windows that say something, such as
+sums, titles and short questions, are searched for word for word.
 
 Everything is a DataFrame expression; no Python runs on the executors.
 """
@@ -19,8 +20,8 @@ from regulus.llm.common import cut, small, whole_text
 
 #: Words to a window; share of an item's windows a document must hold; share of aligned slots that must be consistent.
 WINDOW, COVERAGE, CONSISTENCY = 8, 0.5, 0.75
-#: Items with fewer template words than this can't be told from chance and are not searched for.
-SHORTEST = 4
+#: Items with fewer template words than this can't be told from chance by their template, and items with fewer windows hang on one word: they are searched for word for word.
+SHORTEST, FEWEST = 4, 2
 #: The benchmark's windows are broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -56,11 +57,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
 
 
-def windows(template: Column, lengths: list[int]) -> Column:
-    """``array<struct<at, h>>`` of the windows of each length, with at least half of their words outside placeholders."""
+def windows(template: Column, lengths: list[int], sign: int = 1) -> Column:
+    """``array<struct<at, h>>`` of the windows of each length; the sign tells templates (1) from words as written (-1)."""
     def of(n: int) -> Column:
         at = F.sequence(F.lit(0), F.size(template) - n)
-        made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice(template, i + 1, n)).alias("h")))
+        made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(sign * n), F.slice(template, i + 1, n)).alias("h")))
         return F.when(F.size(template) >= n, made).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
     return F.concat(*[of(n) for n in lengths])
@@ -73,30 +74,56 @@ def bare(window: Column) -> Column:
 
 def items(benchmark: DataFrame, text: str, id_column: str, window: int) -> DataFrame:
     t = benchmark.select(F.col(id_column).alias("item_id"), plain(whole_text(text)).alias("p")).where("item_id is not null")
-    t = t.select("item_id", words(F.col("p")).alias("raw"), words(masked(F.col("p"))).alias("tpl")).where(F.size("tpl") >= SHORTEST)
+    t = t.select("item_id", words(F.col("p")).alias("raw"), words(masked(F.col("p"))).alias("tpl")).where(F.size("tpl") > 0)
     return t.dropDuplicates(["item_id", "tpl", "raw"]).withColumn("n", F.least(F.lit(window), F.size("tpl")))
 
 
+def literal(every: DataFrame, totals: DataFrame, window: int) -> DataFrame:
+    """``(item_id, variant, ipos, n, h)``: windows of the words as written, of items whose template has too few."""
+    told = totals.where(F.col("item_windows") >= FEWEST).select("item_id", "variant")
+    rest = every.withColumn("variant", F.xxhash64("tpl")).join(told, ["item_id", "variant"], "left_anti")
+    rest = rest.select("item_id", "raw", F.least(F.lit(window), F.size("raw")).alias("n")).distinct()
+    at = F.transform(F.sequence(F.lit(0), F.size("raw") - F.col("n")), lambda i: F.slice("raw", i + 1, F.col("n")))
+    return rest.select("item_id", F.xxhash64("raw").alias("variant"), "n", F.posexplode(at).alias("ipos", "win")).select("item_id", "variant", "ipos", "n", F.xxhash64(-F.col("n"), F.col("win")).alias("h"))
+
+
+def word_for_word(hits: DataFrame, exact: DataFrame) -> DataFrame:
+    """The items of ``exact`` whose windows all stand in a text, one after the other."""
+    totals = exact.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"))
+    met = hits.join(exact, "h").groupBy("text_key", "item_id", "variant", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("hit_windows"))
+    whole = met.join(totals, ["item_id", "variant"]).where("hit_windows = item_windows")
+    return whole.select("text_key", "item_id", "item_windows", "hit_windows", F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("slot_consistency"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """``(text_key, item_id, item_windows, hit_windows, coverage, slots, slot_consistency)``: the items that a text holds.
 
     ``text_key`` is the hash of a document's text, so that copies, repeated
     rows and rows without an id are all met by what they say. Null and empty
-    texts hold nothing; null item ids are left out, and so are items of fewer
-    than ``SHORTEST`` template words. Of rows that share an item id each text
+    texts hold nothing; null item ids are left out, and so are items without
+    words. Items of fewer than ``SHORTEST`` template words, or of fewer than
+    ``FEWEST`` windows that say something, are met word for word. Of rows that share an item id each text
     counts, and the best is returned. Empty tables give an empty result.
     """
-    bench = cut(items(benchmark, item_text, item_id, window))
+    every = cut(items(benchmark, item_text, item_id, window))
+    bench = every.where(F.size("tpl") >= SHORTEST)
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most as many rows as a window has words
     if not lengths:
         lengths = [window]
     placed = bench.select("item_id", "tpl", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("tpl") - F.col("n")), lambda i: F.slice("tpl", i + 1, F.col("n")))).alias("ipos", "win"), "n").where(~bare(F.col("win")))
     placed = cut(placed.select("item_id", F.xxhash64("tpl").alias("variant"), "ipos", "n", F.xxhash64(F.col("n"), F.col("win")).alias("h")))
     totals = placed.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"))
-    known = cut(placed.select("h").distinct())
+    exact = cut(literal(every, totals, window))
+    as_written = sorted(r["n"] for r in exact.select("n").distinct().collect())
+    known = cut(placed.select("h").union(exact.select("h")).distinct())
     rows = docs.select(whole_text(text).alias("t"))
-    tpl = rows.select(F.xxhash64("t").alias("text_key"), words(masked(plain(F.col("t")))).alias("tpl"))
-    seen = tpl.select("text_key", F.inline(windows(F.col("tpl"), lengths)))
+    rows = rows.select(F.xxhash64("t").alias("text_key"), plain(F.col("t")).alias("p"))
+    if as_written:
+        rows = rows.select("text_key", words(masked(F.col("p"))).alias("tpl"), words(F.col("p")).alias("raw"))
+        made = F.concat(windows(F.col("tpl"), lengths), windows(F.col("raw"), as_written, -1))
+    else:
+        rows, made = rows.select("text_key", words(masked(F.col("p"))).alias("tpl")), windows(F.col("tpl"), lengths)
+    seen = rows.select("text_key", F.inline(made))
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     hits = cut(seen.join(known, "h", "left_semi").select("text_key", F.col("at").alias("dpos"), "h").distinct())
@@ -118,6 +145,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     agreed = by_slot.groupBy("text_key", "item_id", "variant").agg(F.sum("c").alias("slots"), (F.sum("agree") / F.sum("c")).alias("slot_consistency"))
     judged = share.join(agreed, ["text_key", "item_id", "variant"], "left").select("text_key", "item_id", "item_windows", "hit_windows", "coverage", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("slot_consistency", F.lit(1.0)).alias("slot_consistency"))
     judged = judged.where(F.col("slot_consistency") >= consistency)
+    if as_written:
+        judged = judged.unionByName(word_for_word(hits, exact))
     best = judged.groupBy("text_key", "item_id").agg(F.max(F.struct("coverage", "slot_consistency", "hit_windows", "item_windows", "slots")).alias("b"))
     return cut(best.select("text_key", "item_id", "b.item_windows", "b.hit_windows", "b.coverage", "b.slots", "b.slot_consistency"))
 

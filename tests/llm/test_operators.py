@@ -246,6 +246,14 @@ def test_decontamination_finds_whole_items(spark, sf):
     assert want and got == want
 
 
+def test_items_without_a_telling_template_are_found_word_for_word(spark):
+    sums, title, digits = "Compute 12 + 34 * 56 - 78.", "Who wrote The Old Man And The Sea?", "1 2 3 4 5 6 7 8 9 10"
+    bench = spark.createDataFrame([(0, sums), (1, title), (2, "too short"), (3, digits), (4, "...")], "item_id long, text string")
+    docs = documents(spark, [(10, f"first this. {sums} and more"), (11, f"so: {title} It was he."), (12, "this is too short, really"), (13, f"0 {digits} 11"), (14, "Compute 12 + 34 * 56 - 79."), (15, "1 2 3 4 5 6 7 8 9. Then 3 4 5 6 7 8 9 10"), (16, "short, too")])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(10, 0), (11, 1), (12, 2), (13, 3)}
+
+
 # 10: personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
