@@ -33,6 +33,13 @@ UNITS = (
     "usd eur gbp dollar dollars cent cents euro euros percent pct degree degrees meter meters metre metres kilometer kilometers kilometre kilometres kilogram kilograms"
 ).split()
 
+#: Capitalised words that are no names, wherever they stand (fixed values).
+FUNCTION_WORDS = (
+    "the a an this that these those and or but if when while because as than so then there here what which who whom whose why how where "
+    "i he she it we you they him her his its our your their my me us them is are was were be been being am do does did has have had will would can could shall should may might must "
+    "of in on at by for from to with without about into over under after before between during through against each every some any no not all both many much more most few suppose given let"
+).split()
+
 #: ASCII but letters, digits and the placeholder sign, general punctuation and no-break space separate words.
 GAP = r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F «» -⁯　]+"
 NUMBER, NAME, UNIT = "\x01d", "\x01n", "\x01u"
@@ -47,8 +54,13 @@ def plain(text: Column) -> Column:
 
 
 def masked(plain_text: Column) -> Column:
-    """A placeholder for each number, for each unit after a number and for each capitalised word inside a sentence."""
-    named = F.regexp_replace(plain_text, r"(?<=[a-z0-9,;:'][ \n])[A-Z][a-z]++(?![A-Za-z])", NAME)
+    """A placeholder for each number, for each unit after a number and for each capitalised word that isn't a function word.
+
+    What stands before a capitalised word makes no difference, so a text has
+    the same template at the beginning of a sentence and inside one.
+    """
+    known = "|".join(dict.fromkeys(w.capitalize() for w in FUNCTION_WORDS if len(w) > 1))
+    named = F.regexp_replace(plain_text, rf"(?<![0-9A-Za-z])(?!(?:{known})(?![A-Za-z]))[A-Z][a-z]++(?![A-Za-z])", NAME)
     counted = F.regexp_replace(F.regexp_replace(named, r"(?<![0-9A-Za-z])([0-9]++[ \n]?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![A-Za-z0-9])", f"$1 {UNIT}"), r"(?<![A-Za-z0-9\x01])[0-9]++(?![A-Za-z])", NUMBER)
     return F.when(plain_text.rlike("[0-9]"), counted).otherwise(named)
 

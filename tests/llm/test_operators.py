@@ -254,6 +254,16 @@ def test_items_without_a_telling_template_are_found_word_for_word(spark):
     assert got == {(10, 0), (11, 1), (12, 2), (13, 3)}
 
 
+def test_templates_do_not_depend_on_what_stands_before(spark):
+    asked = "Tom has 12 apples and buys 7 more pears. Tom gives 5 of them to a friend. How many pears are left?"
+    again = "Ann has 31 apples and buys 9 more pears. Ann gives 4 of them to a friend. How many pears are left?"
+    short = "How many legs has a spider?"
+    bench = spark.createDataFrame([(0, asked), (1, short)], "item_id long, text string")
+    docs = documents(spark, [(10, again), (11, f"Question: {short} Answer"), (12, f"they asked {short}"), (13, again.replace("Ann gives", "Eve gives").replace("pears are", "plums are")), (14, f"So: {again}")])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got - {(13, 0)} == {(10, 0), (11, 1), (12, 1), (14, 0)}
+
+
 # 10: personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
