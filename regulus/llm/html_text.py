@@ -3,8 +3,9 @@
 A page is cut into blocks at its block-level tags. The first pass decides long
 blocks from their stop-word density, length and link density; short ones that
 say little stay open. The second pass gives an open block the label of the
-nearest decided neighbours. Menus, adverts, forms and the like are known by
-their elements, roles and class names and never become blocks.
+nearest decided neighbours. Menus, forms and the like are known by their
+elements and roles and never become blocks. Containers whose class or id alone
+says that they hold something else are weighed by the density of their text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ SHORT, LONG = 70, 200
 LINKS, STOPS = 0.5, 0.2
 
 #: Elements whose content is no text of the page (fixed values).
-RAW = frozenset("script style noscript template svg math iframe object canvas video audio select textarea title head".split())
+RAW = frozenset("script style noscript template svg math iframe object canvas video audio select textarea title".split())
+#: Those that end at their end tag only; the others, where it is missing, end at the next block (fixed values).
+SOLID = frozenset("script style textarea".split())
+#: Those that hold blocks, or themselves, when they are in order (fixed values).
+NESTING = frozenset("object noscript template".split())
 #: Elements around the page's main text, and inside it (fixed values).
 FURNITURE = frozenset("nav footer aside form button menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -40,6 +45,10 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices menu menus nav navbar navigation navigate "
     "sidebar sidebars breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay footer masthead header topbar widget widgets pagination pager skip toolbar".split()
 )
+#: Hints at what readers or sellers write, which may well read like main text (fixed values).
+FOREIGN = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr comment comments commentlist disqus reply replies respond".split())
+#: With one of these, a name tells about the page and not about what the element holds (fixed values).
+STATES = frozenset("with without has have no not non open opened closed enabled disabled".split())
 #: Words of class names that mark an element's header as part of the article (fixed values).
 KEPT = frozenset("article post entry story content main body text".split())
 
@@ -54,6 +63,8 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 STOP = frozenset(STOP_WORDS)
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS | FURNITURE))})(?=[\s/>])", re.I)
+IS_MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
 
 
 @dataclass
@@ -61,11 +72,12 @@ class Block:
     text: str
     linked: int
     inside: bool
+    mark: tuple[int, bool] | None = field(default=None)  # the container that a name marks, and whether what it holds is foreign
     label: bool | None = field(default=None)
 
 
-def hinted(name: str, attrs: str, inside: bool) -> bool:
-    """The element holds something other than main text."""
+def furniture(name: str, attrs: str, inside: bool) -> bool:
+    """The element holds something other than main text, as its kind, role or style says."""
     if name in FURNITURE or name == "header" and not inside:
         return True
     if not attrs or attrs.isspace():
@@ -74,34 +86,59 @@ def hinted(name: str, attrs: str, inside: bool) -> bool:
         return True
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id"):
-            for one in value.split():
-                words = {w.lower() for w in NAME_PARTS.findall(one)}
-                if words & HINTS and not (inside and words & KEPT and words & HINTS <= {"header", "banner"}) and name not in ("body", "html"):
-                    return True
-        elif key == "role" and value.strip().lower() in ROLES or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "role" and value.strip().lower() in ROLES or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def hints(name: str, attrs: str, inside: bool) -> set[str]:
+    """The words of an element's class and id that say it holds something other than main text."""
+    found: set[str] = set()
+    if name in MAIN or name in ("body", "html") or not attrs or IS_MAIN.search(attrs):
+        return found
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id"):
+            for one in (m[2] or m[3] or m[4] or "").split():
+                words = {w.lower() for w in NAME_PARTS.findall(one)}
+                if not words & STATES and not (inside and words & KEPT and words & HINTS <= {"header", "banner"}):
+                    found |= words & HINTS
+    return found
+
+
+def after(page: str, name: str, at: int, missing: set[str]) -> int:
+    """Where the content of an element that is no text of the page ends; ``missing`` are those without any further end tag."""
+    over = None if name in missing else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    if over is None:
+        missing.add(name)
+    if name in SOLID:
+        return over.end() if over else len(page)
+    block = BLOCK_TAG.search(page, at)
+    if over and block and name not in NESTING and block.start() < over.start():
+        again = re.compile(rf"<{re.escape(name)}(?=[\s/>])", re.I).search(page, at, over.start())
+        if again and block.start() < again.start():
+            over = None  # it ends another one
+    return over.end() if over else block.start() if block else at
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without furniture."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, whether it is furniture, whether it is main
+    open_tags: list[tuple[str, bool, bool, tuple[int, bool] | None]] = []  # name, whether it is furniture, whether it is main, what marks it
     text: list[str] = []
-    linked = skipping = main = links = at = 0
+    missing: set[str] = set()
+    linked = skipping = main = links = at = marks = 0
 
     def flush() -> None:
         nonlocal linked
         said = " ".join("".join(text).split())
         if said:
-            found.append(Block(said, linked, main > 0))
+            found.append(Block(said, linked, main > 0, open_tags[-1][3] if open_tags else None))
         text.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal skipping, main
-        for _, bad, good in open_tags[k:]:
+        for _, bad, good, _ in open_tags[k:]:
             skipping -= bad
             main -= good
         del open_tags[k:]
@@ -136,13 +173,8 @@ def blocks(page: str) -> list[Block]:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in RAW:
-            if name == "head":
-                over = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-            else:
-                over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if not attrs.endswith("/") else None
-                if over is None and attrs.endswith("/"):
-                    continue
-            at = over.end() if over else end
+            if not attrs.endswith("/"):
+                at = after(page, name, at, missing)
             continue
         if name == "a":
             links = 1
@@ -159,17 +191,46 @@ def blocks(page: str) -> list[Block]:
                 close(len(open_tags) - 1)
             if name in ("li", "td", "th", "tr", "dt", "dd") and open_tags and open_tags[-1][0] == name:
                 close(len(open_tags) - 1)
-            bad = hinted(name, attrs, main > 0)
-            good = name in MAIN and not bad or bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))
-            if good and skipping and not main and all(n not in ("aside", "footer", "dialog") for n, b, _ in open_tags if b):
+            bad, hint = furniture(name, attrs, main > 0), hints(name, attrs, main > 0)
+            good = name in MAIN and not bad or bool(IS_MAIN.search(attrs))
+            if good and skipping and not main and all(n not in ("aside", "footer", "dialog") for n, b, *_ in open_tags if b):
                 close(next(i for i, x in enumerate(open_tags) if x[1]))  # furniture that was never closed
-            open_tags.append((name, bad, good))
+            mark = open_tags[-1][3] if open_tags and (main or not good) else None
+            if hint and not mark:
+                marks += 1
+                mark = marks, bool(hint & FOREIGN)
+            open_tags.append((name, bad, good, mark))
             skipping += bad
             main += good
     flush()
     return found
 
 
+def densities(b: Block) -> tuple[float, float]:
+    """Of links over all characters, and of stop words over all words."""
+    words = b.text.lower().split()
+    return b.linked / max(1, len(b.text) - len(words) + 1), sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
+
+
+def weighed(all_blocks: list[Block]) -> list[Block]:
+    """Without containers that a name marks, unless their text is dense and outweighs that of the page around them.
+
+    What readers and sellers write reads like main text, so a name that says
+    this counts unless there is no other text.
+    """
+    said: dict[tuple[int, bool] | None, int] = {None: 0}
+    dense: dict[tuple[int, bool] | None, int] = {None: 0}
+    for b in all_blocks:
+        links, stops = densities(b)
+        size = len(b.text)
+        said[b.mark] = said.get(b.mark, 0) + size
+        dense[b.mark] = dense.get(b.mark, 0) + size * (links < LINKS and (size >= LONG or size >= SHORT and stops >= STOPS))
+    kept = {m for m in said if m is None or 2 * dense[m] > said[m] and not m[1] and dense[m] > dense[None]}
+    if kept == {None} and not said[None]:
+        kept = {m for m in said if m is None or 2 * dense[m] > said[m]}
+    return [b for b in all_blocks if b.mark in kept]
+
+
 def first_pass(all_blocks: list[Block]) -> None:
     """Decides what can be decided of a block by itself."""
     has_main = any(b.inside for b in all_blocks)
@@ -178,9 +239,7 @@ def first_pass(all_blocks: list[Block]) -> None:
             b.label = False
             continue
         size = len(b.text)
-        words = b.text.lower().split()
-        links = b.linked / max(1, size - len(words) + 1)
-        stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
+        links, stops = densities(b)
         if b.inside:
             b.label = True if size >= LONG or size >= SHORT and (stops >= STOPS or links < LINKS) else None
         elif links >= LINKS:
@@ -212,7 +271,7 @@ def second_pass(all_blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found = weighed(blocks(page or ""))
     first_pass(found)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label)

@@ -447,6 +447,16 @@ def test_main_text_without_article():
     assert html_text.main_text("plain &lt;text&gt; \n b") == "plain <text> b"
 
 
+def test_main_text_under_telling_names():
+    long = "the article of the day is in the house " * 8
+    for tag in ("<article class='post comments-open'>", "<main class=has-sidebar>", "<article id=social-policy>", "<div role=main class=sidebar>", "<div class='content with-sidebar'>", "<div class='no-comments page'>", "<div id=header-and-banner>"):
+        name = tag[1:].split(" ")[0]
+        page = f"<html><body><div class=cookie-notice>We use cookies</div>{tag}<p>{long}</p><p>{long}</p></{name}><div class=comments><p>{long}</p></div></body></html>"
+        assert html_text.main_text(page) == f"{long.strip()}\n{long.strip()}", tag
+    for start in ("<html><head><title>t</title><script>a='<p>x</p>'</script><meta name=x>", "<body><svg><path d=x>", "<body><object data=x>", "<body><iframe src=x>", "<body><svg><path d=x><p></p><svg></svg>"):
+        assert html_text.main_text(f"{start}<p>{long}</p>") == long.strip(), start
+
+
 # 1: weak labels
 
 
