@@ -4,8 +4,9 @@ Seed entities are what the base patterns match. Their neighbouring words are
 lexical patterns; patterns and the tokens they stand beside form a bipartite
 graph whose scores are computed in rounds: a pattern is as good as the share of
 its tokens that are known to be of a kind, a token as good as its patterns say.
-Tokens without a base match that reach the threshold, and look like seeds of
-that kind, become spans too.
+Candidates are tokens, and runs of numbers with the spaces and brackets inside
+them, without a base match; those that reach the threshold, and have the signs
+and about the digits of that kind, become spans too.
 
 Everything is a DataFrame expression; no Python runs on the executors.
 """
@@ -31,6 +32,10 @@ PATTERNS = {
 }
 #: A token that might be an identifier: a run without white space that has a digit or an at sign.
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
+#: A run of numbers, with the sign after it where it goes on otherwise: single spaces, dots, dashes, slashes and brackets may stand inside.
+NUMBERS = r"(?<![\p{L}\p{N}@_])\+?(?:\([0-9]++\)|[0-9])(?:\)?[\x20./-]?\(?[0-9])*+[\p{L}\p{N}@_]?"
+#: What a candidate of a kind may look like, and how many digits it may have.
+GATES = {"email": (r"^\S+@\S+$", 0, 99), "ip": (r"^[0-9A-Fa-f]*(?:[.:]+[0-9A-Fa-f]+){2,}$", 1, 32), "card": (r"^[0-9][0-9\x20./-]+$", 12, 19), "phone": (r"^[+(]?[0-9][0-9\x20()./-]+$", 6, 15)}
 #: What is cut from the ends of such a token.
 EDGE = r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$"
 
@@ -85,9 +90,14 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(guards[k], checked(k)).otherwise(none()) for k in KINDS])
 
 
-def shape(m: Column) -> Column:
-    """Runs of digits and of letters as one sign each."""
-    return F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), "[0-9]+", "0")
+def digits(m: Column) -> Column:
+    return F.length(F.regexp_replace(m, "[^0-9]", ""))
+
+
+def may_be(m: Column) -> Column:
+    """The kinds whose gate lets a candidate through."""
+    kinds = [F.when(m.rlike(p) & digits(m).between(least, most), F.lit(k)) for k, (p, least, most) in GATES.items()]
+    return F.filter(F.array(*kinds), lambda k: k.isNotNull())
 
 
 def beside(text: Column, s: Column, e: Column) -> Column:
@@ -106,14 +116,17 @@ def beside(text: Column, s: Column, e: Column) -> Column:
 
 
 def places(texts: DataFrame) -> DataFrame:
-    """``texts(text_key, t)`` -> ``(text_key, kind, s, e, m, patterns)``: seeds with their kind, other tokens with null."""
+    """``texts(text_key, t)`` -> ``(text_key, kind, s, e, m, patterns)``: seeds with their kind, candidates with null."""
     t = F.col("t")
     some = texts.where(t.rlike("[0-9@]")).withColumn("base", base_spans(t))
-    tokens = F.filter(found(t, TOKEN, ""), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    apart = lambda x, spans: ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    runs = F.filter(found(t, NUMBERS, ""), lambda x: x["m"].rlike("[0-9]$") & (digits(x["m"]) >= 4) & apart(x, "base"))
+    some = some.withColumn("runs", F.transform(runs, lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))))
+    tokens = F.filter(found(t, TOKEN, ""), lambda x: apart(x, "base") & apart(x, "runs"))
     lead = lambda m: F.length(m) - F.length(F.regexp_replace(m, r"^[^\p{L}\p{N}+]++", ""))
     trimmed = F.transform(tokens, lambda x: F.struct(F.lit(None).cast("string").alias("kind"), (x["s"] + lead(x["m"])).alias("s"), (x["s"] + lead(x["m"]) + F.length(F.regexp_replace(x["m"], EDGE, ""))).alias("e"), F.regexp_replace(x["m"], EDGE, "").alias("m")))
-    likely = F.filter(trimmed, lambda x: (F.length(F.regexp_replace(x["m"], "[^0-9]", "")) >= 4) | x["m"].contains("@"))
-    rows = some.select("text_key", "t", F.explode(F.concat("base", likely)).alias("x"))
+    likely = F.filter(trimmed, lambda x: (digits(x["m"]) >= 4) | x["m"].contains("@"))
+    rows = some.select("text_key", "t", F.explode(F.concat("base", "runs", likely)).alias("x"))
     return rows.select("text_key", "x.kind", "x.s", "x.e", "x.m", beside(t, F.col("x.s"), F.col("x.e")).alias("patterns"))
 
 
@@ -123,8 +136,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pat
     edges = cut(seen.select(F.explode("patterns").alias("p"), value.alias("i")).select(F.xxhash64("p").alias("p"), "i").distinct())
     seeds = seen.where("kind is not null")
     known = cut(seeds.select(value.alias("i"), "kind", F.lit(1.0).alias("score")).distinct())
-    shapes = seeds.select("kind", shape(F.col("m")).alias("shape")).distinct()
-    open_tokens = cut(seen.where("kind is null").select(value.alias("i"), shape(F.col("m")).alias("shape")).distinct().join(shapes, "shape").select("i", "kind").distinct())
+    open_tokens = cut(seen.where("kind is null").select(value.alias("i"), F.explode(may_be(F.col("m"))).alias("kind")).distinct())
     degree = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
     scores = known
     for _ in range(rounds):

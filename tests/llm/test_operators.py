@@ -305,6 +305,19 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_patterns_discover_other_notations(spark):
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    cards = [c for c in (str(4000056655665500 + i) for i in range(400)) if luhn(c)][:30]
+    seeds = [(100 + i, f"words here card: {c} thanks and bye") for i, c in enumerate(cards)] + [(150 + i, f"words here phone: +1 (017) 555-77{10 + i} please and bye") for i in range(30)]
+    phones, dotted = ["030-1234567", "(030) 123 4567"], "4111.1111.1111.1111"
+    unseen = [(200 + i, f"other words phone: {p} please") for i, p in enumerate(phones)] + [(210, f"other words card: {dotted} thanks")]
+    docs = documents(spark, [*seeds, *unseen, (220, "other words phone: 12345 please"), (221, "the date 2020-12-31 and 030-7654321 stand elsewhere"), (222, "1 " * 6_000 + "1x")])
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert [got[200 + i] for i in range(2)] == [f"phone:19:{19 + len(p)}" for p in phones]
+    assert got[210] == f"card:18:{18 + len(dotted)}" and got[220] == got[221] == got[222] == ""
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[201] == "other words phone: <PHONE> please"
+
+
 def test_masking_overlaps(spark):
     df = spark.createDataFrame([("a@1.2.3.4 b",)], "t string").withColumn("s", pii.base_spans(F.col("t")))
     assert df.select(pii.masked(F.col("t"), F.col("s")).alias("m")).first().m == "<EMAIL> b"
