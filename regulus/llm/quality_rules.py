@@ -22,6 +22,8 @@ STOP_WORDS = (
     "de la le et les des en un du une que est pour qui dans par pas au sur avec "
     "el y los se las del con no una su al lo como más"
 ).split()
+#: Languages whose stop words are known; texts of others pass the rule on stop words.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
 SYMBOLS = "#*$%&|<>"
 
 
@@ -62,10 +64,20 @@ def passes(rule: Rule) -> Column:
     return (F.col(rule.bottom) == 0) | found
 
 
+def stops_known(docs: DataFrame, text: Column) -> Column:
+    """The text's language, by the column ``lang`` or else by its script, is one whose stop words are known."""
+    letters, latin = F.length(F.regexp_replace(text, r"\P{L}+", "")), F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))
+    by_script = 2 * latin >= letters
+    if dict(docs.dtypes).get("lang") != "string":
+        return by_script
+    lang = F.regexp_extract(F.lower("lang"), r"^\s*([a-z]+)", 1)
+    return F.when(lang.isNull() | (lang == ""), by_script).otherwise(lang.isin(*STOP_LANGUAGES))
+
+
 def statistics(docs: DataFrame, text: str = "text", keep: Sequence[Column] = ()) -> DataFrame:
     """The columns of ``keep`` and the counts of each whole text, by projections alone."""
     t = F.col("_t")
-    base = docs.select(*keep, whole_text(text).alias("_t"))
+    base = docs.select(*keep, stops_known(docs, whole_text(text)).alias("stops_known"), whole_text(text).alias("_t"))
     lists = base.withColumns({"_w": words_of(t), "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     w, at = F.col("_w"), lambda i: F.get(F.col("_w"), i)
     grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.coalesce(F.xxhash64(at(i), at(i + 1), at(i + 2)), F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
@@ -113,8 +125,8 @@ def judge(counted: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule
     for x in all_of(base)[1:]:
         ok = ok & x
     kept = ok
-    for x in all_of(rules):
-        kept = kept & x
+    for r in rules:
+        kept = kept & (passes(r) | ~F.col("stops_known") if r.top == "n_stop_words" else passes(r))
     return counted.withColumns({"base_failed": ~ok, "kept": kept})
 
 
@@ -122,11 +134,11 @@ def quality(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rule
     """One row for each input row: its id, the statistics and the verdict.
 
     A null text counts as empty: no words, rejected by the base. Repeated rows
-    are judged each; other columns, whatever their names, are not looked at. A
-    null id stays null. An empty table gives an empty result.
+    are judged each; of other columns only a string ``lang`` is looked at. A null
+    id stays null. An empty table gives an empty result.
     """
     counted = statistics(docs, text, [F.col(id_column).alias(id_column)])
-    return judge(counted, rules).drop("one", "n_distinct_words")
+    return judge(counted, rules).drop("one", "n_distinct_words", "stops_known")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:

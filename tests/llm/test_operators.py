@@ -67,6 +67,15 @@ def test_quality_keeps_columns_and_good_documents(spark, sf):
     assert all((d in kept) == bool(q) for d, q in labels.items() if d in passed)
 
 
+def test_stop_words_count_only_where_they_are_known(spark):
+    rng = random.Random(13)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(80))
+    rows = [(1, text("абвгдежз"), None), (2, text("абвгдежз"), "ru"), (3, text("bcdfghkm"), "en"), (4, text("bcdfghkm"), "pl"), (5, text("bcdfghkm"), None), (6, text("bcdfghkm"), "de-AT"), (7, text("가나다라마바"), "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {1, 2, 4, 7}
+    assert {r.doc_id for r in quality_rules.quality(docs.drop("lang")).where("kept").collect()} == {1, 2, 7}
+
+
 # 8: near duplicates
 
 
