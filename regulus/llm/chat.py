@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import small_batches
+from regulus.llm.common import few
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 
@@ -104,12 +104,11 @@ def canonical(records: DataFrame, payload: str, keep: Sequence[str], mappings: S
     row with null part, role and text, so that nothing is lost unseen. A null
     text or role in a turn counts as empty.
     """
-    small_batches(records.sparkSession)
     keep, mappings = list(keep), tuple(mappings)
 
     def each(batches):
         chosen: dict[str, Mapping | None] = {}
-        for b in batches:
+        for b in few(batches):
             at: list[int] = []
             rows: list[tuple] = []
             for i, raw in enumerate(b.column(len(keep))):

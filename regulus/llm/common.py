@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the session names, or one of our own where it names none."""
+    """The folder that driver and executors share: what the session names, or, in local mode only, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -42,9 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few rows to each Arrow batch, since one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path of :func:`scratch` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def few(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches, which Spark bounds by bytes, some rows at a time: what is made of a row may be larger than it."""
+    for b in batches:
+        for k in range(0, max(1, len(b)), rows):
+            yield b.slice(k, rows)
 
 
 def whole_text(column: str | Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import small_batches
+from regulus.llm.common import few
 from regulus.llm.quality_rules import STOP_WORDS
 
 #: A block of fewer characters is short; from so many on it is long.
@@ -284,11 +284,10 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
     far as it goes; rows that repeat come back as often and null ids stay null;
     other columns are not looked at; an empty table gives an empty result.
     """
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
 
     def each(batches):
-        for b in batches:
+        for b in few(batches):
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

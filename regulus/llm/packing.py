@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, small_batches
+from regulus.llm.common import cut, few
 
 #: Tokens to a sequence; the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -112,12 +112,11 @@ def encoder(path: str) -> WordEncoder:
 def pieces(docs: DataFrame, text: str = "text", id_column: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each text's ids and the end, cut only where longer than a sequence."""
     path = path or vocabulary()
-    small_batches(docs.sparkSession)
 
     def each(batches):
         encode = encoder(path)
         end = struct.pack("<I", END)
-        for b in batches:
+        for b in few(batches):
             at: list[int] = []
             rows: list[tuple] = []
             for i, t in enumerate(b.column(1)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, small, small_batches
+from regulus.llm.common import cut, few, small
 from regulus.llm.components import components
 from regulus.llm.similar import SHINGLE as FIVE
 from regulus.llm.similar import digest, join_similar, min_hashes, shingle_set
@@ -58,10 +58,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED, similar: bool = False) -> DataFrame:
     """``(key, fp)`` for each row, the fingerprint as a signed long; if asked, also ``name`` and ``blocks`` of its set of five-word shingles."""
-    small_batches(docs.sparkSession)
 
     def each(batches):
-        for b in batches:
+        for b in few(batches):
             texts = [t.as_py() for t in b.column(1)]
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(b))
             columns, names = [b.column(0), pa.array(fps.view(np.int64))], ["key", "fp"]
@@ -171,9 +170,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, blo
     keys = [F.struct(F.lit(i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(tables(blocks, distance))]
     placed = distinct.select("fp", F.inline(F.array(*keys))).select("t", "k", "fp")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(keys) // 2_000_000)
-    small_batches(spark, 10_000)
     found = cut(bucket_links(placed.repartition(parts, "t", "k").sortWithinPartitions("t", "k", "fp"), distance, crowd).distinct())
-    small_batches(spark)
     near = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     dense = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if dense.isEmpty():

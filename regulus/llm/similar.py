@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, small, small_batches
+from regulus.llm.common import cut, few, small
 from regulus.llm.components import components
 
 #: Similarity that links; words to a shingle; blocks; min-hashes to a block; seed.
@@ -59,10 +59,9 @@ def grams_of(docs: DataFrame, text: str, shingle: int, seed: int) -> DataFrame:
     """``(name, grams)``: each set of shingles once, in order."""
     from regulus.llm.simhash import hashes
 
-    small_batches(docs.sparkSession, 64)
 
     def each(batches):
-        for b in batches:
+        for b in few(batches):
             sets = [shingle_set(hashes(t.as_py(), shingle, seed)) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["name", "grams"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, small_batches, whole_text
+from regulus.llm.common import cut, few, whole_text
 from regulus.llm.quality_rules import statistics
 
 #: Documents that the scorer learns from, at most; places of the hash.
@@ -218,7 +218,7 @@ def learn(sample: DataFrame, places: int, most: int) -> tuple[np.ndarray, float]
     def each(batches):
         hasher = Hasher(places)
         rows, soft = [], []
-        for b in batches:
+        for b in few(batches):
             for p, t in zip(b.column(1).to_pylist(), b.column(2)):
                 if len(rows) < most:
                     rows.append(hasher(t.as_py()))
@@ -240,7 +240,6 @@ def classify(docs: DataFrame, text: str = "text", id_column: str = "doc_id", lab
     other columns are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     h = F.xxhash64(F.col(id_column), F.col(text))
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text).alias("text"), h.alias("h"))
     counted = votes(rows, "text", [], labellers).groupBy("pattern").count().collect()  # at most 3 ** labellers rows
@@ -257,7 +256,7 @@ def classify(docs: DataFrame, text: str = "text", id_column: str = "doc_id", lab
 
     def each(batches):
         scorer = Scorer(w, bias)
-        for b in batches:
+        for b in few(batches):
             sums = [scorer(t.as_py()) for t in b.column(1)]
             scores = [0.0 if z is None else 1 / (1 + exp(-min(30.0, max(-30.0, z)))) for z in sums]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([s >= keep for s in scores], pa.bool_())], names=["id", "score", "kept"])

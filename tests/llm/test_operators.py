@@ -388,11 +388,8 @@ def test_half_filled_bins_wait_for_short_pieces(spark, per_task):
 # 3: WARC
 
 
-def test_warc_round_trip(spark, sf):
-    odd = [(-1, "u", None), (-2, "u", ""), (-3, "a b\r\n", "x\r\n\r\nWARC/1.1\r\nfoo: 1\r\n\r\n"), (-4, None, "é🙂" * 90000), (-5, "u", "é🙂" * 90000), (-6, "z", "\r\n\r\nWARC/1.1\r\n" * 5), (-7, "q", "é🙂" * 90000), (-7, "q", "é🙂" * 90000), (None, "q", "new"), (None, "q", "x\r\n\r\n"), (-9, "q", "x\r\n\r\n"), (-9, "q", "x\r\n\r\n")]
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
-    pages = pages.union(spark.createDataFrame(odd, pages.schema)).withColumns({"rid": F.lit(1), "data": F.lit("x")})
-    got = collections.Counter(map(tuple, warc.archived(pages).collect()))
+def held_pages(pages):
+    """What the contract says of each page."""
     same = collections.defaultdict(list)
     for r in pages.collect():
         same[(r.html or "").encode()].append(r.page_id)
@@ -402,10 +399,61 @@ def test_warc_round_trip(spark, sf):
         most = max((i for i in ids if i is not None), default=None)
         for i in ids:
             want[(i, len(body), digest, "response" if i == most else "revisit", None if i == most else most)] += 1
-    assert got == want
+    return want
+
+
+def test_warc_round_trip(spark, sf):
+    odd = [(-1, "u", None), (-2, "u", ""), (-3, "a b\r\n", "x\r\n\r\nWARC/1.1\r\nfoo: 1\r\n\r\n"), (-4, None, "é🙂" * 90000), (-5, "u", "é🙂" * 90000), (-6, "z", "\r\n\r\nWARC/1.1\r\n" * 5), (-7, "q", "é🙂" * 90000), (-7, "q", "é🙂" * 90000), (None, "q", "new"), (None, "q", "x\r\n\r\n"), (-9, "q", "x\r\n\r\n"), (-9, "q", "x\r\n\r\n")]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    pages = pages.union(spark.createDataFrame(odd, pages.schema)).withColumns({"rid": F.lit(1), "data": F.lit("x")})
+    assert collections.Counter(map(tuple, warc.archived(pages).collect())) == held_pages(pages)
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [16, 65_536])
+def test_payloads_that_look_like_archives(spark, chunk):
+    version, size = "WARC/1.1\r\n", 65_536
+    bodies = [version, version + "abc", "\r\n" + version, "\r\n\r\n" + version, "WARC/1.1", "x\r\n\r\nWARC/1.1", "WARC/1.", "WARC", "\r\n\r\n", "\r\n\r", version * 40, "WARWARC/1.1/1.1\r\n", version + "WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"]
+    if chunk == size:
+        edges = [size - k for k in (0, 1, 4, 8, 9, 10, 12, 14)] + [2 * size]
+        bodies += ["a" * n + version + "abc" for n in edges] + ["a" * n + "\r\n\r\n" + version for n in edges] + ["a" * size + version]
+    pages = spark.createDataFrame([(i, f"http://x/{version}/WARC/1.1", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    assert collections.Counter(map(tuple, warc.archived(pages, chunk=chunk).collect())) == held_pages(pages)
+
+
+def test_long_payloads_take_linear_time(spark):
+    """As many bytes in one record as in many: about the same time, and never four times for twice as many."""
+    import time
+
+    took = []
+    for n in (4 << 20, 32 << 20):
+        pages = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.lit("abcdefg"), F.col("id").cast("string")), F.lit(n)).alias("html"))
+        began = time.time()
+        row = warc.archived(pages).collect()
+        took.append(time.time() - began)
+        assert row[0].payload_bytes == 8 * n and row[0].record_type == "response"
+        assert row[0].payload_digest == base64.b32encode(hashlib.sha1(b"abcdefg0" * n).digest()).decode()
+    assert took[1] < 16 * took[0]  # eight times the bytes; the square would be 64 times
+
+
+def test_broken_archives_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc" * 20), (2, "u", "abc" * 20), (3, "u", "z")], "page_id long, url string, html string")
+    chunks = warc.chunk_table(pages.withColumn("rid", F.col("page_id").cast("string")), "html", ["rid"], 16).select("rid", "chunk_no", "last", "data", F.col("bytes").alias("total"), F.col("digest").alias("told"))
+    assert warc.digests(chunks, ["rid"]).count() == 3
+    for bad in (chunks.where("chunk_no <> 1"), chunks.where("chunk_no = 0 or not last"), chunks.withColumn("told", F.reverse("told"))):
+        with pytest.raises(Exception, match="lacks|has|digest"):
+            warc.digests(bad, ["rid"]).collect()
+    good = str(tmp_path / "good")
+    warc.write(pages, good, chunk=16)
+    text = spark.read.text(good, lineSep="\x00").collect()
+    raw = "".join(r.value for r in text)
+    for k, bad in enumerate((raw.replace("abcabc", "abdabc", 1), raw.replace("bcabca\r\n", "bcabc\r\n", 1), raw.replace("sha1:", "sha1:A", 1))):
+        assert bad != raw
+        spark.createDataFrame([(bad,)], "value string").coalesce(1).write.text(str(tmp_path / f"bad{k}"), lineSep="\r\n")
+        with pytest.raises(Exception):
+            warc.digests(warc.read(spark, str(tmp_path / f"bad{k}")).where("record_type <> 'revisit'"), ["rid"]).collect()
+
+
 # 4: chat
 
 
