@@ -150,15 +150,15 @@ def midpoint_links(crowd: DataFrame, distance: int) -> DataFrame:
     """Links of ``crowd(fp)`` whose count grows with the rows only.
 
     Two fingerprints that differ in at most ``distance`` bits have a midpoint
-    within half of that of each; and all that lie so near one midpoint are
-    linked or share it, so a star to the least of them stands for their pairs.
-    For an odd distance a star may join two at ``distance + 1``, so it must be even.
+    within half of that of one, and within the rest of it of the other. All that
+    lie within half of it of one midpoint are linked or share it, and so is what
+    lies within the rest with any of them, so a star to the least of the former
+    stands for their pairs.
     """
-    if distance % 2:
-        raise ValueError("the distance must be even")
-    flips = [signed(sum(1 << b for b in some)) for n in range(distance // 2 + 1) for some in combinations(range(64), n)]
-    moved = crowd.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"))
-    least = moved.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("mid", "a")
+    half, rest = distance // 2, distance - distance // 2
+    flips = [F.struct(F.lit(signed(sum(1 << b for b in some))).alias("x"), F.lit(n <= half).alias("near")) for n in range(rest + 1) for some in combinations(range(64), n)]
+    moved = crowd.select("fp", F.explode(F.array(*flips)).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f.x")).alias("mid"), "f.near")
+    least = moved.groupBy("mid").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("a is not null and low < high").select("mid", "a")
     return moved.join(least, "mid").where("a <> fp").select("a", F.col("fp").alias("b"))
 
 
@@ -209,7 +209,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
-    """Of each component the rows stay whose id is the smallest; columns as they came. Rows without an id stay."""
-    found = near_duplicates(docs, text, id_column, **how)
-    gone = small(found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    """Of each component one row stays, that with the smallest id; columns as they came.
+
+    Of rows that repeat, id and text alike, one stays. Rows without an id come
+    after all others, in the order of a digest of their texts. Null and empty
+    texts have fingerprint zero, so one of them stays. Of very long texts all is
+    compared; an empty table gives an empty one.
+    """
+    key, rows = F.col(id_column), docs
+    if not docs.where(key.isNull()).isEmpty():
+        nothing = key.isNull()
+        key = F.struct(nothing.alias("without"), F.coalesce(key, F.lit(0).cast(docs.schema[id_column].dataType)).alias("id"), F.when(nothing, F.md5(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lit("")).alias("text"))
+    named = docs.select(key.alias("_key"), F.col(text).alias("_text"))
+    found = near_duplicates(named, "_text", "_key", **how)
+    gone = small(found.where(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_gone")).distinct())
+    again = cut(found.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
+    row = rows.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = row.join(gone, row["_key"] == gone["_gone"], "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        one = kept.join(again, "_key", "left_semi").groupBy("_key", F.col("_row").getField(text).alias("_text")).agg(F.first("_row").alias("_row"))
+        kept = kept.join(again, "_key", "left_anti").unionByName(one.select("_key", "_row"))
+    return kept.select("_row.*")

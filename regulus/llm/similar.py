@@ -22,10 +22,8 @@ from regulus.llm.components import components
 
 #: Similarity that links; words to a shingle; blocks; min-hashes to a block; seed.
 SIMILARITY, SHINGLE, BLOCKS, ROWS, SEED = 0.8, 5, 20, 6, 42
-#: A bucket of more texts than this is walked in several parts, each tied to the bucket's first text.
-PART = 10_000
-#: At first, a text meets so many of the texts before it in its bucket.
-STEPS = (1, 2, 3)
+#: The first round, which only saves work, compares a text with so many of those before it in its bucket, and walks longer buckets in parts; the second compares whatever the first left apart.
+STEPS, PART = (1, 2, 3), 10_000
 
 
 def shingle_set(parts: Iterator[np.ndarray]) -> np.ndarray:
@@ -68,7 +66,7 @@ def grams_of(docs: DataFrame, text: str, shingle: int, seed: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(each, "name binary, grams array<long>").groupBy("name").agg(F.first("grams").alias("grams"))
 
 
-def met(buckets: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
+def met(buckets: DataFrame, steps: tuple[int, ...]) -> DataFrame:
     """``buckets(t, k, part, first, me)`` -> pairs ``(a, b, ha, hb)`` of neighbours in a bucket, in an order drawn for each block."""
     order = Window.partitionBy("t", "k", "part").orderBy(F.xxhash64("t", "me.name"), "me.name")
     others = [F.coalesce(F.lag("me", s).over(order), F.when(F.lit(s == 1), F.col("first"))) for s in steps]
@@ -138,7 +136,7 @@ def join_similar(docs: DataFrame, marks: DataFrame, text: str, id_column: str, s
     placed = texts.select(F.struct("name", "head").alias("me"), F.posexplode("blocks").alias("t", "k"))
     full = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("first"), F.min("me.head").alias("low"), F.max("me.head").alias("high")).where("low < high")
     part = F.pmod(F.xxhash64("k", "me.name"), F.ceil(F.col("n") / PART).cast("long"))
-    pairs = cut(met(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "me")))
+    pairs = cut(met(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "me"), STEPS))
     ends = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
     near = alike(pairs, sets_of(docs, texts, ends, text, id_column, shingle, seed), similarity)
     roots = components(cut(near.union(torn)))
