@@ -13,13 +13,13 @@ Everything is a DataFrame expression; no Python runs on the executors.
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulus.functions.text import find_all
-from regulus.llm.common import cut, whole_text
+from regulus.llm.common import cut, identity, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -43,8 +43,8 @@ EDGE = r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$"
 ROUNDS, SUPPORT, PATTERN_SCORE, TOKEN_SCORE = 3, 4, 0.8, 0.9
 #: Characters looked at on each side for a neighbouring word.
 REACH = 64
-#: Spans found by patterns are broadcast to the texts up to so many texts; beyond it the join shuffles.
-BROADCAST_ROWS = 50_000
+#: Spans found by patterns are broadcast to the texts up to so many spans (under 100 bytes each); beyond it the join shuffles.
+BROADCAST_SPANS = 200_000
 
 SPAN = "struct<kind:string,s:int,e:int,m:string>"
 
@@ -130,44 +130,91 @@ def places(texts: DataFrame) -> DataFrame:
     return rows.select("text_key", "x.kind", "x.s", "x.e", "x.m", beside(t, F.col("x.s"), F.col("x.e")).alias("patterns"))
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pattern_score: float = PATTERN_SCORE, token_score: float = TOKEN_SCORE) -> DataFrame:
-    """``places`` -> ``(text_key, kind, s, e)`` of the tokens that patterns of high confidence discover."""
-    value = F.xxhash64(F.lower("m"))
-    edges = cut(seen.select(F.explode("patterns").alias("p"), value.alias("i")).select(F.xxhash64("p").alias("p"), "i").distinct())
-    seeds = seen.where("kind is not null")
-    known = cut(seeds.select(value.alias("i"), "kind", F.lit(1.0).alias("score")).distinct())
-    open_tokens = cut(seen.where("kind is null").select(value.alias("i"), F.explode(may_be(F.col("m"))).alias("kind")).distinct())
-    degree = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    scores = known
-    for _ in range(rounds):
-        per = edges.join(scores, "i").groupBy("p", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("met"))
-        good = per.join(degree, "p").withColumn("conf", F.col("mass") / (F.col("n") + 1)).where((F.col("conf") >= pattern_score) & (F.col("met") >= support)).select("p", "kind", "conf")
-        reached = edges.join(good, "p").groupBy("i", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score"))
-        new = reached.join(open_tokens, ["i", "kind"]).join(known.select("i"), "i", "left_anti").select("i", "kind", "score")
-        scores = cut(known.union(new))
-    taken = scores.join(known.select("i"), "i", "left_anti").where(F.col("score") >= token_score)
-    best = taken.groupBy("i").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
-    others = seen.where("kind is null").select("text_key", "s", "e", value.alias("i"))
+@dataclass(frozen=True)
+class Graph:
+    """``edges(p, i)`` of patterns and tokens, ``degree(p, n)`` of the patterns with support, ``known(i, kind, score)`` seeds and ``open(i, kind)``, the kinds that a candidate's gate lets through."""
+
+    edges: DataFrame
+    degree: DataFrame
+    known: DataFrame
+    open: DataFrame
+
+
+def value(m: str) -> Column:
+    """What tokens are told apart by."""
+    return identity(F.lower(m))
+
+
+def graph(seen: DataFrame, support: int = SUPPORT) -> Graph:
+    """``places`` -> the graph of its patterns and tokens, without patterns of too little support."""
+    every = seen.select(F.explode("patterns").alias("p"), value("m").alias("i")).select(identity(F.col("p")).alias("p"), "i").distinct()
+    degree = cut(every.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+    known = cut(seen.where("kind is not null").select(value("m").alias("i"), "kind", F.lit(1.0).alias("score")).distinct())
+    candidates = seen.where("kind is null").select(value("m").alias("i"), F.explode(may_be(F.col("m"))).alias("kind")).distinct()
+    return Graph(cut(every.join(degree, "p").select("p", "i", "n")), degree, known, cut(candidates.join(known.select("i"), "i", "left_anti")))
+
+
+def confident(g: Graph, scores: DataFrame, support: int, pattern_score: float) -> DataFrame:
+    """``(p, kind, conf)``: of the patterns' tokens, the share known to be of a kind."""
+    per = g.edges.join(scores, "i").groupBy("p", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
+    return per.select("p", "kind", "met", (F.col("mass") / (F.col("n") + 1)).alias("conf")).where((F.col("conf") >= pattern_score) & (F.col("met") >= support)).select("p", "kind", "conf")
+
+
+def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pattern_score: float = PATTERN_SCORE, token_score: float = TOKEN_SCORE) -> DataFrame | None:
+    """``places`` -> ``(text_key, kind, s, e)`` of the tokens that patterns of high confidence discover; None if they reach no token.
+
+    A round scores patterns by their tokens, then open tokens by their patterns.
+    It is the last one if no pattern is good enough or none has an open token.
+    """
+    g = graph(seen, support)
+    scores, reached = g.known, None
+    for _ in range(rounds if not g.open.isEmpty() else 0):
+        good = cut(confident(g, scores, support, pattern_score))
+        found = None
+        if not good.isEmpty():
+            told = g.edges.join(good, "p").groupBy("i", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score"))
+            found = cut(told.join(g.open, ["i", "kind"]).select("i", "kind", "score"))
+        if found is None or found.isEmpty():
+            break
+        reached, scores = found, g.known.union(found)
+    if reached is None:
+        return None
+    best = reached.where(F.col("score") >= token_score).groupBy("i").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
+    others = seen.where("kind is null").select("text_key", "s", "e", value("m").alias("i"))
     return others.join(best, "i").select("text_key", "kind", "s", "e").distinct()
 
 
-def discovered(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``(text_key, more)``: the spans that patterns add to a text, in the order of the list of kinds, then by start."""
-    texts = docs.select(whole_text(text).alias("t")).withColumn("text_key", F.xxhash64("t"))
+def discovered(docs: DataFrame, text: str = "text", **how) -> DataFrame | None:
+    """``(text_key, more)``: the spans that patterns add to a text, in the order of the list of kinds, then by start; None if there are none."""
+    texts = docs.select(whole_text(text).alias("t")).withColumn("text_key", identity(F.col("t")))
     new = bootstrap(cut(places(texts)), **how)
+    if new is None:
+        return None
     span = F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("o"), "s", "e", "kind")
     return cut(new.groupBy("text_key").agg(F.sort_array(F.collect_set(span)).alias("l")).select("text_key", F.transform("l", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("more")))
 
 
+def report(docs: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
+    """For each kind: seeds, open candidates its gate lets through, patterns of enough support that have a seed, and the best confidence of one."""
+    texts = docs.select(whole_text(text).alias("t")).withColumn("text_key", identity(F.col("t")))
+    g = graph(cut(places(texts)), support)
+    kinds = docs.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
+    n = lambda df, name: df.groupBy("kind").agg(F.count(F.lit(1)).alias(name))
+    scored = confident(g, g.known, 1, 0.0).groupBy("kind").agg(F.count(F.lit(1)).alias("patterns"), F.max("conf").alias("best"))
+    return kinds.join(n(g.known, "seeds"), "kind", "left").join(n(g.open, "candidates"), "kind", "left").join(scored, "kind", "left").fillna(0)
+
+
 def with_spans(docs: DataFrame, text: str, keep: list[Column], **how) -> DataFrame:
     """``keep``, the text ``_t``, its base spans ``_b`` and all its spans ``_a`` (kind, s, e)."""
     more = discovered(docs, text, **how)
-    if more.count() <= BROADCAST_ROWS:
-        more = F.broadcast(more)
     rows = docs.select(*keep, whole_text(text).alias("_t"))
     rows = rows.withColumn("_b", F.when(F.col("_t").rlike("[0-9@]"), base_spans(F.col("_t"))).otherwise(none()))
-    joined = rows.join(more, F.xxhash64("_t") == more["text_key"], "left")
     thin = F.transform("_b", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    if more is None:
+        return rows.withColumn("_a", thin)
+    if (more.agg(F.sum(F.size("more"))).first()[0] or 0) <= BROADCAST_SPANS:
+        more = F.broadcast(more)
+    joined = rows.join(more, identity(F.col("_t")) == more["text_key"], "left")
     extra = F.coalesce("more", F.array().cast("array<struct<kind:string,s:int,e:int>>"))
     ordered = F.concat(*[F.sort_array(F.concat(of_kind(thin, k), of_kind(extra, k))) for k in KINDS])
     return joined.withColumn("_a", F.when(F.col("more").isNull(), thin).otherwise(ordered)).drop("more", "text_key")

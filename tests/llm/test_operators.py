@@ -358,6 +358,89 @@ def test_patterns_discover_other_notations(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[201] == "other words phone: <PHONE> please"
 
 
+def places_of(t):
+    """Seeds and candidates of a text with the words around them, worked out one by one."""
+    import regex
+
+    base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(t))]
+    free = lambda a, b, spans: all(e <= a or b <= s for *_, s, e in spans)
+    digits = lambda m: len(re.sub("[^0-9]", "", m))
+    runs = [(None, *m.span()) for m in regex.finditer(r"(?<![\p{L}\p{N}@_])\+?(?:\([0-9]+\)|[0-9])(?:\)?[ ./-]?\(?[0-9])*+[\p{L}\p{N}@_]?", t) if regex.search("[0-9]$", m[0]) and digits(m[0]) >= 4 and free(*m.span(), base)]
+    found = base + runs
+    for m in regex.finditer(r"\S+", t):
+        if re.search("[0-9@]", m[0]) and free(*m.span(), base + runs):
+            lead = len(m[0]) - len(regex.sub(r"^[^\p{L}\p{N}+]+", "", m[0]))
+            inner = regex.sub(r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "", m[0])
+            if digits(inner) >= 4 or "@" in inner:
+                found.append((None, m.start() + lead, m.start() + lead + len(inner)))
+    for kind, a, b in found:
+        before, after, mask = t[max(0, a - 64) : a].lower(), t[b : b + 64].lower(), lambda c: re.sub("[0-9]+", "0", c)
+        one, two, then = (re.search(p, x) for p, x in ((r"(\S+)\s+$", before), (r"(\S+\s+\S+)\s+$", before), (r"^\S*\s+(\S+)", after)))
+        around = ["<" + mask(one[1]) if one else "", "<<" + mask(two[1]) if two else "", ">" + mask(then[1]) if then else "", f"<>{mask(one[1])} {mask(then[1])}" if one and then else ""]
+        yield kind, a, b, t[a:b], [x for x in around if x]
+
+
+def bootstrapped(texts, rounds, support, pattern_score, token_score):
+    """(text, kind, start, end) of what patterns discover, by dictionaries."""
+    seen = [(t, *x) for t in texts for x in places_of(t)]
+    edges = collections.defaultdict(set)
+    for *_, m, around in seen:
+        for p in around:
+            edges[p].add(m.lower())
+    known = collections.defaultdict(set)
+    for _, kind, _, _, m, _ in seen:
+        if kind:
+            known[m.lower()].add(kind)
+    gate = lambda m, k: re.search(pii.GATES[k][0], m) and pii.GATES[k][1] <= len(re.sub("[^0-9]", "", m)) <= pii.GATES[k][2]
+    still = {(m.lower(), k) for _, kind, _, _, m, _ in seen if not kind for k in pii.KINDS if gate(m, k) and m.lower() not in known}
+    fixed = {(i, k): 1.0 for i, kinds in known.items() for k in kinds}
+    reached, scores = {}, fixed
+    for _ in range(rounds):
+        good = {}
+        for p, tokens in edges.items():
+            for k in pii.KINDS:
+                mass = [scores[i, k] for i in tokens if (i, k) in scores]
+                if len(tokens) >= support and len(mass) >= support and sum(mass) / (len(tokens) + 1) >= pattern_score:
+                    good[p, k] = sum(mass) / (len(tokens) + 1)
+        doubt = collections.defaultdict(lambda: 1.0)
+        for (p, k), conf in good.items():
+            for i in edges[p]:
+                if (i, k) in still:
+                    doubt[i, k] *= 1 - conf
+        if not doubt:
+            break
+        reached = {x: 1 - d for x, d in doubt.items()}
+        scores = fixed | reached
+    best = {}
+    for (i, k), score in reached.items():
+        if score >= token_score:
+            best[i] = max(best.get(i, (0.0, "")), (score, k))
+    return {(t, best[m.lower()][1], a, b) for t, kind, a, b, m, _ in seen if not kind and m.lower() in best}
+
+
+@pytest.mark.parametrize("how", [(3, 4, 0.8, 0.9), (3, 2, 0.3, 0.5), (1, 1, 0.1, 0.1)])
+def test_pattern_graph_against_dictionaries(spark, how):
+    rng = random.Random(17)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    number = lambda: str(rng.randrange(10**15, 10**16))
+    made, hidden = [], set()
+    for k in range(120):
+        card = next(c for c in iter(number, None) if luhn(c) != (k % 12 == 0))
+        phone, word = f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", rng.choice(["ab", "cd", "ef"])
+        made += [f"{word} {k} card: {card} thanks {word}", f"{word} call {phone} please", f"{word} {rng.randrange(10**6)} {word} {number()} x"]
+        made += [f"{word} call {rng.randrange(100, 999)}-{rng.randrange(10**6, 10**7)} please"] * (k % 12 == 0)
+        hidden |= set() if luhn(card) else {card}
+    texts = list(dict.fromkeys(made)) + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'").collect()]
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string").withColumn("text_key", F.col("t"))
+    found = pii.bootstrap(pii.cut(pii.places(df)), *how)
+    got = {tuple(r) for r in found.collect()} if found is not None else set()
+    assert got == bootstrapped(list(dict.fromkeys(texts)), *how)
+    if how[0] == 3 and how[1] == 4:
+        cards = {t[a:b] for t, k, a, b in got if k == "card"}
+        assert cards == hidden and len(hidden) == 10  # all cards of the marked slot that no check digit tells, and no other number
+        assert sum(k == "phone" for _, k, *_ in got) == 10
+
+
 def test_masking_overlaps(spark):
     df = spark.createDataFrame([("a@1.2.3.4 b",)], "t string").withColumn("s", pii.base_spans(F.col("t")))
     assert df.select(pii.masked(F.col("t"), F.col("s")).alias("m")).first().m == "<EMAIL> b"
