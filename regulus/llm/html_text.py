@@ -1,11 +1,13 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at its block-level tags. The first pass decides long
-blocks from their stop-word density, length and link density; short ones that
-say little stay open. The second pass gives an open block the label of the
-nearest decided neighbours. Menus, forms and the like are known by their
-elements and roles and never become blocks. Containers whose class or id alone
-says that they hold something else are weighed by the density of their text.
+A page is cut into blocks at its block-level tags. The first pass decides
+blocks from their stop-word density, length and link density, wherever they
+stand; short ones that say little stay open. The second pass gives an open
+block the label of the nearest decided neighbours. Elements and roles that hold
+menus, forms and the like never become blocks. An element for main text is
+believed only as far as the dense text of the page lies in it. Containers whose
+class or id alone says that they hold something else are weighed by the density
+of their text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from regulus.llm.quality_rules import STOP_WORDS
 
 #: A block of fewer characters is short; from so many on it is long.
 SHORT, LONG = 70, 200
-#: Densities that decide: links over all characters, stop words over all words.
-LINKS, STOPS = 0.5, 0.2
+#: Densities that decide: links over all characters, stop words over all words. So many blocks of links in a row are a menu.
+LINKS, STOPS, MENU = 0.5, 0.2, 2
 
 #: Elements whose content is no text of the page (fixed values).
 RAW = frozenset("script style noscript template svg math iframe object canvas video audio select textarea title".split())
@@ -51,6 +53,11 @@ FOREIGN = frozenset("ad ads advert adverts advertisement advertisements advertis
 STATES = frozenset("with without has have no not non open opened closed enabled disabled".split())
 #: Words of class names that mark an element's header as part of the article (fixed values).
 KEPT = frozenset("article post entry story content main body text".split())
+#: Words that say what sort of box it is and nothing about what it holds (fixed values).
+NEUTRAL = frozenset("list lists box boxes wrap wrapper container section area block inner outer holder panel group unit slot bar row col column item items link links icon icons thread form field top bottom left right first last main page site global primary secondary js".split())
+#: Furniture that a main element inside it does not end; headings, whose links are no menu (fixed values).
+SHUT = frozenset("aside footer dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
@@ -73,7 +80,25 @@ class Block:
     linked: int
     inside: bool
     mark: tuple[int, bool] | None = field(default=None)  # the container that a name marks, and whether what it holds is foreign
+    heading: bool = False
     label: bool | None = field(default=None)
+    links: float = field(default=0.0)  # over all characters
+    stops: float = field(default=0.0)  # over all words
+
+    def __post_init__(self) -> None:
+        words = self.text.lower().split()
+        self.links = self.linked / max(1, len(self.text) - len(words) + 1)
+        self.stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
+
+    @property
+    def menu(self) -> bool:
+        return self.links >= LINKS and not self.heading
+
+    @property
+    def dense(self) -> bool:
+        """It reads like main text by itself."""
+        size = len(self.text)
+        return self.links < LINKS and (size >= LONG or size >= SHORT and self.stops >= STOPS)
 
 
 def furniture(name: str, attrs: str, inside: bool) -> bool:
@@ -92,7 +117,10 @@ def furniture(name: str, attrs: str, inside: bool) -> bool:
 
 
 def hints(name: str, attrs: str, inside: bool) -> set[str]:
-    """The words of an element's class and id that say it holds something other than main text."""
+    """The words of an element's class and id that say it holds something other than main text.
+
+    Inside main text a name counts only if it says nothing else: ``comment-list`` does, ``related-work`` doesn't.
+    """
     found: set[str] = set()
     if name in MAIN or name in ("body", "html") or not attrs or IS_MAIN.search(attrs):
         return found
@@ -100,52 +128,98 @@ def hints(name: str, attrs: str, inside: bool) -> set[str]:
         if m[1].lower() in ("class", "id"):
             for one in (m[2] or m[3] or m[4] or "").split():
                 words = {w.lower() for w in NAME_PARTS.findall(one)}
-                if not words & STATES and not (inside and words & KEPT and words & HINTS <= {"header", "banner"}):
-                    found |= words & HINTS
+                if words & STATES or inside and (words - HINTS - NEUTRAL or words & KEPT and words & HINTS <= {"header", "banner"} or words & HINTS == {"header"}):
+                    continue
+                found |= words & HINTS
     return found
 
 
-def after(page: str, name: str, at: int, missing: set[str]) -> int:
-    """Where the content of an element that is no text of the page ends; ``missing`` are those without any further end tag."""
-    over = None if name in missing else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-    if over is None:
-        missing.add(name)
-    if name in SOLID:
-        return over.end() if over else len(page)
-    block = BLOCK_TAG.search(page, at)
-    if over and block and name not in NESTING and block.start() < over.start():
-        again = re.compile(rf"<{re.escape(name)}(?=[\s/>])", re.I).search(page, at, over.start())
-        if again and block.start() < again.start():
-            over = None  # it ends another one
-    return over.end() if over else block.start() if block else at
+class Ends:
+    """Where the content of elements that are no text of the page ends; each end tag is searched for once."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def tag(self, name: str, at: int) -> tuple[int, int] | None:
+        """The next end tag of a name."""
+        if name not in self.next or self.next[name] and self.next[name][0] < at:
+            m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, at)
+            self.next[name] = m.span() if m else None
+        return self.next[name]
+
+    def after(self, name: str, at: int) -> int:
+        over = self.tag(name, at)
+        if name in SOLID:
+            return over[1] if over else len(self.page)
+        block = BLOCK_TAG.search(self.page, at)
+        if over and block and name not in NESTING and block.start() < over[0]:
+            again = re.compile(rf"<{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at, over[0])
+            if again and block.start() < again.start():
+                over = None  # it ends another one
+        return over[1] if over else block.start() if block else at
+
+
+@dataclass
+class Open:
+    """An element that is open: whether it is furniture, whether it is main, and what marks it."""
+
+    name: str
+    bad: bool
+    good: bool
+    mark: tuple[int, bool] | None
+
+
+class Stack:
+    """The open elements; finding one by name, and closing, take time in proportion to what is closed."""
+
+    def __init__(self):
+        self.all: list[Open] = []
+        self.named: dict[str, list[int]] = {}
+        self.bad: list[int] = []
+        self.main = self.shut = 0
+
+    def push(self, x: Open) -> None:
+        self.named.setdefault(x.name, []).append(len(self.all))
+        if x.bad:
+            self.bad.append(len(self.all))
+            self.shut += x.name in SHUT
+        self.main += x.good
+        self.all.append(x)
+
+    def close(self, k: int) -> None:
+        """Ends the elements from place k on."""
+        while len(self.all) > k:
+            x = self.all.pop()
+            self.named[x.name].pop()
+            if x.bad:
+                self.bad.pop()
+                self.shut -= x.name in SHUT
+            self.main -= x.good
+
+    def last(self, name: str) -> int | None:
+        at = self.named.get(name)
+        return at[-1] if at else None
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without furniture."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, tuple[int, bool] | None]] = []  # name, whether it is furniture, whether it is main, what marks it
+    stack, ends = Stack(), Ends(page)
     text: list[str] = []
-    missing: set[str] = set()
-    linked = skipping = main = links = at = marks = 0
+    linked = links = at = marks = 0
 
     def flush() -> None:
         nonlocal linked
         said = " ".join("".join(text).split())
         if said:
-            found.append(Block(said, linked, main > 0, open_tags[-1][3] if open_tags else None))
+            top = stack.all[-1] if stack.all else None
+            found.append(Block(said, linked, stack.main > 0, top.mark if top else None, bool(top) and top.name in HEADINGS))
         text.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal skipping, main
-        for _, bad, good, _ in open_tags[k:]:
-            skipping -= bad
-            main -= good
-        del open_tags[k:]
-
     def say(a: int, b: int) -> None:
         nonlocal linked
-        if a < b and not skipping:
+        if a < b and not stack.bad:
             said = unescape(page[a:b])
             text.append(said)
             if links:
@@ -167,18 +241,18 @@ def blocks(page: str) -> list[Block]:
                 links = 0
             elif name in BLOCKS or name in FURNITURE:
                 flush()
-                k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), None)
+                k = stack.last(name)
                 if k is not None:
-                    close(k)
+                    stack.close(k)
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in RAW:
             if not attrs.endswith("/"):
-                at = after(page, name, at, missing)
+                at = ends.after(name, at)
             continue
         if name == "a":
             links = 1
-        if name == "br" and not skipping:
+        if name == "br" and not stack.bad:
             text.append(" ")
         if name in VOID:
             if name == "hr":
@@ -187,72 +261,81 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS or name in FURNITURE:
             flush()
             links = 0 if name in MAIN else links
-            if open_tags and open_tags[-1][0] == "p":
-                close(len(open_tags) - 1)
-            if name in ("li", "td", "th", "tr", "dt", "dd") and open_tags and open_tags[-1][0] == name:
-                close(len(open_tags) - 1)
-            bad, hint = furniture(name, attrs, main > 0), hints(name, attrs, main > 0)
+            top = stack.all[-1].name if stack.all else ""
+            if top == "p" or top == name and name in ("li", "td", "th", "tr", "dt", "dd"):
+                stack.close(len(stack.all) - 1)
+            inside = stack.main > 0
+            bad, hint = furniture(name, attrs, inside), hints(name, attrs, inside)
             good = name in MAIN and not bad or bool(IS_MAIN.search(attrs))
-            if good and skipping and not main and all(n not in ("aside", "footer", "dialog") for n, b, *_ in open_tags if b):
-                close(next(i for i, x in enumerate(open_tags) if x[1]))  # furniture that was never closed
-            mark = open_tags[-1][3] if open_tags and (main or not good) else None
+            if good and stack.bad and not inside and not stack.shut:
+                stack.close(stack.bad[0])  # furniture that was never closed
+            mark = stack.all[-1].mark if stack.all and (stack.main or not good) else None
             if hint and not mark:
                 marks += 1
                 mark = marks, bool(hint & FOREIGN)
-            open_tags.append((name, bad, good, mark))
-            skipping += bad
-            main += good
+            stack.push(Open(name, bad, good, mark))
     flush()
     return found
 
 
-def densities(b: Block) -> tuple[float, float]:
-    """Of links over all characters, and of stop words over all words."""
-    words = b.text.lower().split()
-    return b.linked / max(1, len(b.text) - len(words) + 1), sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
-
-
 def weighed(all_blocks: list[Block]) -> list[Block]:
-    """Without containers that a name marks, unless their text is dense and outweighs that of the page around them.
+    """Without containers that a name marks, unless their text is dense.
 
-    What readers and sellers write reads like main text, so a name that says
-    this counts unless there is no other text.
+    Inside main text, density is enough; elsewhere it must outweigh that of the
+    page around it. What readers and sellers write reads like main text, so a
+    name that says this counts unless there is no other text.
     """
     said: dict[tuple[int, bool] | None, int] = {None: 0}
     dense: dict[tuple[int, bool] | None, int] = {None: 0}
+    inside: dict[tuple[int, bool] | None, bool] = {None: True}
     for b in all_blocks:
-        links, stops = densities(b)
-        size = len(b.text)
-        said[b.mark] = said.get(b.mark, 0) + size
-        dense[b.mark] = dense.get(b.mark, 0) + size * (links < LINKS and (size >= LONG or size >= SHORT and stops >= STOPS))
-    kept = {m for m in said if m is None or 2 * dense[m] > said[m] and not m[1] and dense[m] > dense[None]}
+        said[b.mark] = said.get(b.mark, 0) + len(b.text)
+        dense[b.mark] = dense.get(b.mark, 0) + len(b.text) * b.dense
+        inside[b.mark] = b.inside and inside.get(b.mark, True)
+    kept = {m for m in said if m is None or 2 * dense[m] > said[m] and not m[1] and (inside[m] or dense[m] > dense[None])}
     if kept == {None} and not said[None]:
         kept = {m for m in said if m is None or 2 * dense[m] > said[m]}
     return [b for b in all_blocks if b.mark in kept]
 
 
 def first_pass(all_blocks: list[Block]) -> None:
-    """Decides what can be decided of a block by itself."""
-    has_main = any(b.inside for b in all_blocks)
-    for b in all_blocks:
-        if has_main and not b.inside:
-            b.label = False
+    """Decides what can be decided of a block from its densities and its length.
+
+    Blocks of links in a row are a menu, inside main text as well. Where most of
+    the page's dense text lies in main elements, the rest of the page is not
+    main text.
+    """
+    held = sum(len(b.text) for b in all_blocks if b.dense and b.inside)
+    elsewhere = sum(len(b.text) for b in all_blocks if b.dense and not b.inside)
+    marked = any(b.inside for b in all_blocks) and held >= elsewhere
+    run: list[Block] = []
+    for b in [*all_blocks, None]:
+        if b is not None and b.menu:
+            run.append(b)
             continue
+        if len(run) >= MENU or sum(len(x.text) for x in run) >= LONG:
+            for x in run:
+                x.label = False
+        run = []
+    for b in all_blocks:
         size = len(b.text)
-        links, stops = densities(b)
-        if b.inside:
-            b.label = True if size >= LONG or size >= SHORT and (stops >= STOPS or links < LINKS) else None
-        elif links >= LINKS:
+        if marked and not b.inside:
+            b.label = False
+        elif b.label is None and not (b.inside and marked) and b.menu:
             b.label = False
-        elif size < SHORT:
-            b.label = False if b.linked or "©" in b.text else None
-        elif size >= LONG or stops >= STOPS:
-            b.label = True
+        elif b.label is None and not b.menu:
+            if b.dense or b.inside and marked and size >= SHORT:
+                b.label = True
+            elif not b.inside and (b.linked and not b.heading or "©" in b.text):
+                b.label = False
 
 
 def second_pass(all_blocks: list[Block]) -> None:
-    """Open blocks inherit from the nearest decided ones, on both sides, of the same part of the page."""
-    decided = [b.label for b in all_blocks]
+    """Open blocks inherit from the nearest decided ones, on both sides, of the same part of the page; headings rather from what follows.
+
+    A menu inside main text says nothing about what stands beside it.
+    """
+    decided = [None if b.menu and b.inside else b.label for b in all_blocks]
     n = len(all_blocks)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
@@ -267,21 +350,27 @@ def second_pass(all_blocks: list[Block]) -> None:
             near = [(abs(i - x[0]), x[1]) for x in (before[i], after[i]) if x]
             least = min((d for d, _ in near), default=0)
             labels = {v for d, v in near if d == least}
-            b.label = b.inside if len(labels) > 1 else labels.pop() if labels else True
+            b.label = labels.pop() if len(labels) == 1 else True if not labels else after[i][1] if b.heading else b.inside
 
 
-def main_text(page: str | None) -> str:
+def decided(page: str | None) -> list[Block]:
+    """The blocks of a page with their labels."""
     found = weighed(blocks(page or ""))
     first_pass(found)
     second_pass(found)
-    return "\n".join(b.text for b in found if b.label)
+    return found
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(b.text for b in decided(page) if b.label)
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` for each row of pages.
 
     A null page is an empty one, whose text is empty; broken mark-up is read as
-    far as it goes; rows that repeat come back as often and null ids stay null;
+    far as it goes, and very long or deeply nested pages in time that grows with
+    their length; rows that repeat come back as often and null ids stay null;
     other columns are not looked at; an empty table gives an empty result.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))

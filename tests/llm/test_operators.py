@@ -641,6 +641,65 @@ def test_main_text_under_telling_names():
         assert html_text.main_text(f"{start}<p>{long}</p>") == long.strip(), start
 
 
+PROSE = "the article of the day is in the house " * 8
+DULL = "Umsatz Gewinn Quartal Bilanz Aktie Kurs " * 8  # long, without a stop word
+
+
+def labels_of(page):
+    """Each block's text, and which pass decided what."""
+    found = html_text.weighed(html_text.blocks(page))
+    html_text.first_pass(found)
+    first = [b.label for b in found]
+    html_text.second_pass(found)
+    return [(b.text, "open" if x is None else "first", b.label) for b, x in zip(found, first)]
+
+
+def test_densities_decide_without_a_main_element():
+    links = "".join(f"<li><a href=x>Section number {k} of the site</a></li>" for k in range(9))
+    page = f"<body><div><a href=/>Home</a> <a href=/b>Blog</a></div><div><h2>Title</h2><p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p><ul>{links}</ul><p>No.</p></div><div>Read also</div><p><a href=z>{PROSE}</a></p></body>"
+    got = labels_of(page)
+    told = {t: (by, label) for t, by, label in got}
+    assert told["Home Blog"] == ("first", False) and told[PROSE.strip()][0] == "first"
+    assert told["Title"] == ("open", True) and told["Yes."] == ("open", True)
+    assert told["No."] == ("open", False) and told["Read also"] == ("open", False)
+    assert all(told[f"Section number {k} of the site"] == ("first", False) for k in range(9))
+    assert [(t, label) for t, _, label in got if t == PROSE.strip()] == [(PROSE.strip(), True), (PROSE.strip(), True), (PROSE.strip(), False)]
+
+
+def test_links_inside_an_article():
+    menu = "".join(f"<li><a href=#s{k}>Part {k}</a></li>" for k in range(5))
+    page = f"<nav>x</nav><article><h1><a href=x>Title with a link</a></h1><ul>{menu}</ul><p>{PROSE}</p><p><a href=y>The whole report</a></p><p>{DULL}</p><p><a href=1>{PROSE}</a></p><p>End.</p></article><p>{PROSE}</p>"
+    assert html_text.main_text(page).split("\n") == ["Title with a link", PROSE.strip(), "The whole report", DULL.strip(), "End."]
+
+
+def test_main_elements_without_the_text_are_not_believed():
+    card = "<article><h3>News</h3><p>Short teaser.</p></article>"
+    page = f"<body>{card}<div><p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert PROSE.strip() in html_text.main_text(page).split("\n")
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-prices", "social-history", "reply-from-minister", "ad-hoc-analysis", "widget-theory", "notice-period"])
+def test_names_inside_an_article_say_nothing_by_one_word(name):
+    page = f"<article><p>{PROSE}</p><div class='{name}'><p>Short.</p><p>{PROSE}</p></div><p>{PROSE}</p></article>"
+    assert html_text.main_text(page).split("\n") == [PROSE.strip(), "Short.", PROSE.strip(), PROSE.strip()]
+
+
+@pytest.mark.parametrize("name", ["ad", "ads-box", "comments", "comment-list", "cookie-notice", "sidebar", "related links"])
+def test_names_inside_an_article_count_if_they_say_nothing_else(name):
+    page = f"<article><p>{PROSE}</p><div class='{name}'><p>Buy now.</p></div><p>{PROSE}</p></article>"
+    assert html_text.main_text(page) == f"{PROSE.strip()}\n{PROSE.strip()}"
+    assert html_text.main_text(f"<p>{PROSE}</p><div class='{name}'><p>Buy now.</p></div><p>{PROSE}</p>") == f"{PROSE.strip()}\n{PROSE.strip()}"
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 20_000 + "</p>" * 20_000, "<div>" * 10_000 + "</p></li>" * 10_000, "<svg><p>" * 20_000 + "</svg>", "<aside>" + "<main>" * 20_000, "<noscript>" * 20_000 + "<p>x", "<a '" * 20_000, f"<p>{PROSE}</p>" * 3_000):
+        html_text.main_text(page)
+    assert time.time() - began < 20  # one of these took 31 s alone when it was quadratic
+
+
 # 1: weak labels
 
 
