@@ -109,7 +109,7 @@ class Walk:
         chars = sum(map(len, part))
         gaps = [m.start() for x in part for m in self.gap.finditer(x)]
         even = max(0.0, 1 - stdev(gaps) / 60) if len(gaps) >= 2 else 0.0
-        return sum(c.isdigit() for x in part for c in x) / max(1, chars), sum(len(x.strip()) < SHORT for x in part) / len(part), even, bool(self.keyword.search(part[0]))
+        return sum(c.isdecimal() for x in part for c in x) / max(1, chars), sum(len(x.strip()) < SHORT for x in part) / len(part), even, bool(self.keyword.search(part[0]))
 
     @staticmethod
     def score(f: tuple[float, float, float, bool]) -> float:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.functions import patterns as P
-from regulus.functions.text import any_contained, cut, distinct_sorted, find_all, let, lines, strip
-from regulus.operators import clean
+from regulus.functions.text import cut, distinct_sorted, find_all, let, lines, strip
+from regulus.operators import clean, tables
 
 #: Characters: a chunk has so many at least; one with fewer than a fragment joins the one before; what a chunk by length aims at.
 LEAST, FRAGMENT, TARGET = 100, 200, 512
@@ -155,55 +155,64 @@ def by_line(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> D
     return out.select(id_column, F.col("_run").cast("int").alias("chunk_index"), special.alias("section_type"), header["no"].alias("article_no"), F.when(header["title"] != "", header["title"]).alias("article_title"), strip(F.col("c")).alias("content"), F.length(strip(F.col("c"))).alias("char_count"))
 
 
-def special_section(line: Column) -> Column:
-    return any_contained(strip(line), P.SPECIAL_SECTIONS)
 
-
-def numbered(parts: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("part_rank", "part_order", "kind_rank")) -> DataFrame:
-    """Adds ``chunk_pos``, the place of a chunk in its document, from 0."""
-    return parts.withColumn("chunk_pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-
-
-def from_parsed(title: DataFrame, amendments: DataFrame, articles: DataFrame, chapters: DataFrame, annexes: DataFrame, key: str = "doc_id", preamble: DataFrame | None = None) -> DataFrame:
-    """The chunks of parsed documents in reading order.
+def parsed_chunks(rows: DataFrame, annex: Column | None = None, preamble: str | None = None) -> Column:
+    """``array<struct<type, content, article_number, article_title, chapter_number>>`` in reading order, of a row of :func:`regulus.operators.structure.wide`.
 
     Title, amendments, preamble, then articles with each chapter before its
-    first article, then the annex chunks. Inputs are child tables of one key:
-    ``title(key, title)``, ``amendments``, ``articles`` and ``chapters`` of
-    :mod:`regulus.operators.structure`, ``annexes(key, annex_order,
-    section_type, content)``, ``preamble(key, basic_spirit)``.
+    first article, then the chunks of ``annex``, an array of (type, content); by
+    default that of the whole annex.
     """
     none = F.lit(None).cast("string")
+    kind = "array<struct<type:string,content:string,article_number:string,article_title:string,chapter_number:string>>"
+
+    def made(type_: str | Column, content: Column, number: Column = none, title: Column = none, chapter: Column = none) -> Column:
+        type_ = F.lit(type_) if isinstance(type_, str) else type_
+        return F.struct(type_.alias("type"), content.alias("content"), number.alias("article_number"), title.alias("article_title"), chapter.alias("chapter_number"))
+
+    some = lambda when, *these: F.when(when, F.array(*these).cast(kind)).otherwise(F.array().cast(kind))
+    articles = F.col("articles")
+    history = F.array_join(F.transform("amendments", lambda x: F.concat_ws(" ", x["kind"], x["date"])), "\n")
+
+    def of(numbers: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            number = a["chapter_number"]
+            heads = F.when((number != "") & (F.array_position(numbers, number) == i + 1), F.slice(F.filter("chapters", lambda c: c["number"] == number), 1, 1))
+            before = F.coalesce(F.transform(heads, lambda c: made("chapter", F.concat_ws(" ", c["number"], c["title"]), chapter=c["number"])).cast(kind), F.array().cast(kind))
+            return F.concat(before, F.array(made("article", F.concat(a["number"], F.lit("("), a["title"], F.lit(")\n"), a["clean_body"]), a["number"], a["title"], number)).cast(kind))
 
-    def part(df: DataFrame, kind: Column, content: Column, rank: int, order: Column = F.lit, kind_rank: int = 1, **cols: Column) -> DataFrame:
-        order = order(0) if order is F.lit else order
-        named = {n: cols.get(n, none) for n in ("article_number", "article_title", "chapter_number")}
-        return df.select(key, kind.alias("type"), content.alias("content"), F.lit(rank).alias("part_rank"), order.cast("int").alias("part_order"), F.lit(kind_rank).alias("kind_rank"), *[v.alias(k) for k, v in named.items()])
+        return F.flatten(F.transform(articles, one))
 
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("amendment_order", F.concat_ws(" ", "kind", "amendment_date").alias("a")))), lambda x: x["a"]), "\n")
-    history = amendments.groupBy(key).agg(joined.alias("h"))
-    first = articles.where("chapter_number <> ''").groupBy(key, "chapter_number").agg(F.min("section_order").alias("at"))
-    heads = chapters.join(first, [key, "chapter_number"])
+    whole = some(F.col("annex_content") != "", made("annex_whole", F.col("annex_content")))
     parts = [
-        part(title.where("title <> ''"), F.lit("title"), F.col("title"), 0),
-        part(history, F.lit("amendment_history"), F.col("h"), 1),
-        part(articles, F.lit("article"), F.concat("article_number", F.lit("("), "article_title", F.lit(")\n"), "clean_body"), 3, F.col("section_order"), article_number=F.col("article_number"), article_title=F.col("article_title"), chapter_number=F.col("chapter_number")),
-        part(heads, F.lit("chapter"), F.concat_ws(" ", "chapter_number", "chapter_title"), 3, F.col("at"), 0, chapter_number=F.col("chapter_number")),
-        part(annexes, F.concat(F.lit("annex_"), F.col("section_type")), F.col("content"), 4, F.col("annex_order")),
+        some(F.coalesce("title", F.lit("")) != "", made("title", F.col("title"))),
+        some(F.size("amendments") > 0, made("amendment_history", history)),
+        *([some(F.col(preamble) != "", made("basic_spirit", F.col(preamble)))] if preamble else []),
+        let(F.transform(articles, lambda a: a["chapter_number"]), of),
+        whole if annex is None else F.transform(annex, lambda x: made(x["type"], x["content"])).cast(kind),
     ]
-    if preamble is not None:
-        parts.append(part(preamble.where("basic_spirit <> ''"), F.lit("basic_spirit"), F.col("basic_spirit"), 2))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return numbered(out, key).withColumn("char_count", F.length("content")).drop("part_rank", "part_order", "kind_rank")
-
-
-def row_chunks(chunks: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Annex table chunks replaced by one chunk for each parsed row of ``rows(key, chunk_pos, n, rank)``; those without rows stay."""
-    joined = chunks.join(rows.withColumn("_row", F.lit(True)), [key, "chunk_pos"], "left")
-    made = F.col("_row") & (F.col("type") == "annex_table_rows")
-    return joined.withColumns({"content": F.when(made, F.concat(F.col("n"), F.lit("명 → "), F.col("rank"), F.lit("번까지"))).otherwise(F.col("content")), "type": F.when(made, "table_row").otherwise(F.col("type"))}).drop("_row")
+    return F.concat(*parts)
+
+
+def exploded(rows: DataFrame, chunks: str = "chunks", key: str = "doc_id") -> DataFrame:
+    """A row for each chunk of an array of chunks, with ``chunk_pos``, its place from 0, and ``char_count``."""
+    out = rows.select(key, F.posexplode(chunks).alias("chunk_pos", "c")).select(key, "chunk_pos", "c.*")
+    return out.withColumn("char_count", F.length("content"))
+
+
+def table_rows(content: Column) -> Column:
+    """``array<struct<type, content>>``: a chunk for each row that is parsed in a table's text; none if there are none."""
+    return F.transform(tables.extracted(content), lambda r: F.struct(F.lit("table_row").alias("type"), F.concat(r["n"].cast("string"), F.lit("명 → "), r["rank"].cast("string"), F.lit("번까지")).alias("content")))
+
+
+def annex_parts(annex_chunks: DataFrame, key: str = "doc_id", rows: bool = True) -> DataFrame:
+    """``(key, annex_parts)`` of ``annex_chunks(key, annex_order, section_type, content, is_fallback)``: the chunks of a document's annex in order, tables as one chunk for each parsed row where ``rows`` is asked for and there are any."""
+    kind = F.when(F.col("is_fallback"), F.lit("annex")).otherwise(F.concat(F.lit("annex_"), F.col("section_type")))
+    whole = F.array(F.struct(kind.alias("type"), F.col("content").alias("content")))
+    made = F.when(kind == "annex_table_rows", table_rows(F.col("content"))) if rows else F.lit(None).cast("array<struct<type:string,content:string>>")
+    parts = annex_chunks.select(key, "annex_order", F.when(F.size(made) > 0, made).otherwise(whole).alias("parts"))
+    ordered = F.array_sort(F.collect_list(F.struct("annex_order", "parts")))
+    return parts.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["parts"])).alias("annex_parts"))
 
 
 def type_counts(chunks: DataFrame, key: str | None = None) -> DataFrame:

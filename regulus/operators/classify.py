@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regulus.functions import patterns as P
-from regulus.functions.text import any_contained, count_lines, lines, ratio, strip
+from regulus.functions.text import any_contained, contained, count_lines, lines, ratio, strip
 
 #: Thresholds of the type decision; characters that the digit density looks at; a line of fewer characters is short.
 PAGE_TEXT, DIGITS, TABLE, SHORT_LINES, SAMPLE, SHORT = 300, 0.10, 0.50, 0.70, 1000, 50
@@ -57,8 +57,8 @@ def decided(featured: DataFrame) -> DataFrame:
     for when, name, score in rules:
         kind, sure = kind.when(when, name), sure.when(when, score)
     kind, sure = kind.otherwise("general"), sure.otherwise(0.5)
-    why = F.concat_ws(" OR ", F.when(digits, "digits"), F.when(tabular, "table"))
-    out = featured.withColumns({"doc_type": kind, "confidence": sure, "stats_reason": F.when(why == "", "none").otherwise(why)})
+    why = F.concat_ws(" OR ", F.when(digits, F.format_string("숫자 밀도 %.1f%%", F.bround(100 * F.col("digit_density"), 1))), F.when(tabular, F.format_string("표 구조 (score=%.2f, short_line=%.0f%%)", F.bround("table_score", 2), F.bround(100 * F.col("short_line_ratio"), 0))))
+    out = featured.withColumns({"doc_type": kind, "confidence": sure, "stats_reason": F.when(why == "", "기준 미달").otherwise(why)})
     return out.withColumn("mode", F.when(F.col("doc_type").isin("law_annex", "form"), "LawMode").otherwise("VLM"))
 
 
@@ -91,6 +91,11 @@ def revision_page(page_no: Column, text: Column) -> Column:
     return (page_no == 1) & any_contained(text, P.REVISION_WORDS) & (F.regexp_count(text, F.lit(P.FULL_DATE)) >= 3)
 
 
+def bus_words(text: Column) -> Column:
+    """The words of bus timetables that a text contains, in the order of the list."""
+    return contained(F.coalesce(text, F.lit("")), P.BUS_WORDS)
+
+
 def article_token_ratio(text: Column) -> Column:
     """Article, clause and item marks over all tokens, one at most."""
     marks = sum((F.regexp_count(text, F.lit(p)) for p in P.ARTICLE_TOKENS), F.lit(0))

@@ -62,7 +62,7 @@ def articles(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
         F.col("a.number").alias("article_number"),
         F.col("a.title").alias("article_title"),
         F.col("a.chapter").alias("chapter"),
-        F.regexp_replace(F.regexp_extract("a.chapter", r"^(제\s*\d+\s*장)", 1), r"\s", "").alias("chapter_number"),
+        number_of(F.col("a.chapter")).alias("chapter_number"),
         body.alias("body"),
         clean.article_body(body).alias("clean_body"),
         distinct_sorted(F.regexp_extract_all(body, F.lit(P.AMENDED), F.lit(1))).alias("amended_dates"),
@@ -103,6 +103,16 @@ def tree(article_rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return article_rows.withColumns({"children": made, "has_empty_content": empty, "has_cross_bleed": bleeds})
 
 
+def amendment_array(t: Column, strict_parity: bool = False) -> Column:
+    """``array<struct<y, m, d, i, kind, date>>``: the amendments of a text, latest first."""
+    each = P.AMENDMENTS if strict_parity else (P.AMENDMENTS[0], P.AMENDMENTS[1], P.AMENDMENTS[3], P.BARE_AMENDMENT)
+    hits = F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, P.KIND_AND_DATE, 1).alias("kind"), F.regexp_replace(F.regexp_extract(x, P.KIND_AND_DATE, 2), r"\.+$", "").alias("date"))) for p in each])
+    known = (lambda a, x: F.exists(a, lambda h: F.contains(F.concat(h["kind"], F.lit(" "), h["date"]), x["date"]))) if strict_parity else (lambda a, x: F.exists(a, lambda h: h["date"] == x["date"]))
+    once = F.aggregate(hits, F.array().cast("array<struct<kind:string,date:string>>"), lambda a, x: F.when(known(a, x), a).otherwise(F.concat(a, F.array(x))))
+    part = lambda x, k: F.split(x["date"], r"\.")[k].cast("int")
+    return F.array_sort(F.transform(once, lambda x, i: F.struct((-part(x, 0)).alias("y"), (-part(x, 1)).alias("m"), (-part(x, 2)).alias("d"), i.alias("i"), x["kind"].alias("kind"), x["date"].alias("date"))))
+
+
 def amendments(docs: DataFrame, text: str = "text", id_column: str = "doc_id", strict_parity: bool = False) -> DataFrame:
     """One row for each amendment, latest first: ``amendment_order``, ``kind``, ``amendment_date``.
 
@@ -111,20 +121,43 @@ def amendments(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
     date lose its last digit before a closing bracket and drops dates that
     stand inside others.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    each = P.AMENDMENTS if strict_parity else (P.AMENDMENTS[0], P.AMENDMENTS[1], P.AMENDMENTS[3], P.BARE_AMENDMENT)
-    hits = F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, P.KIND_AND_DATE, 1).alias("kind"), F.regexp_replace(F.regexp_extract(x, P.KIND_AND_DATE, 2), r"\.+$", "").alias("date"))) for p in each])
-    known = (lambda a, x: F.exists(a, lambda h: F.contains(F.concat(h["kind"], F.lit(" "), h["date"]), x["date"]))) if strict_parity else (lambda a, x: F.exists(a, lambda h: h["date"] == x["date"]))
-    once = F.aggregate(hits, F.array().cast("array<struct<kind:string,date:string>>"), lambda a, x: F.when(known(a, x), a).otherwise(F.concat(a, F.array(x))))
-    part = lambda x, k: F.split(x["date"], r"\.")[k].cast("int")
-    ranked = F.array_sort(F.transform(once, lambda x, i: F.struct((-part(x, 0)).alias("y"), (-part(x, 1)).alias("m"), (-part(x, 2)).alias("d"), i.alias("i"), x["kind"].alias("kind"), x["date"].alias("date"))))
+    ranked = amendment_array(F.coalesce(F.col(text), F.lit("")), strict_parity)
     return docs.select(id_column, F.posexplode(ranked).alias("amendment_order", "a")).select(id_column, "amendment_order", F.col("a.kind").alias("kind"), F.col("a.date").alias("amendment_date"))
 
 
+def annex_text(t: Column) -> Column:
+    """What a text holds from its first annex mark on; empty without one."""
+    return strip(F.regexp_extract(t, r"(\[별표\s*\d+\][\s\S]+)", 1))
+
+
+def number_of(chapter: Column) -> Column:
+    """The number of a chapter, without white space, from its name."""
+    return F.regexp_replace(F.regexp_extract(chapter, r"^(제\s*\d+\s*장)", 1), r"\s", "")
+
+
+def wide(docs: DataFrame, text: str = "text", title: str = "title", id_column: str = "doc_id") -> DataFrame:
+    """One row for each document with all that its rendering needs, parsed once.
+
+    ``title``, ``amendments`` (kind, date), ``articles`` (number, title,
+    chapter_number, clean_body), ``chapters`` (number, title; each number at its
+    first heading) and ``annex_content`` (empty without one).
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    one = lambda a: F.struct(a["number"].alias("number"), a["title"].alias("title"), number_of(a["chapter"]).alias("chapter_number"), clean.article_body(a["body"]).alias("clean_body"))
+    return docs.select(
+        id_column,
+        F.col(title).alias("title"),
+        F.transform(amendment_array(t), lambda x: F.struct(x["kind"].alias("kind"), x["date"].alias("date"))).alias("amendments"),
+        F.transform(article_array(t), one).alias("articles"),
+        F.transform(firsts(chapter_array(t), "number"), lambda c: F.struct(c["number"].alias("number"), c["title"].alias("title"))).alias("chapters"),
+        annex_text(t).alias("annex_content"),
+    )
+
+
 def annex(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """``annex_content`` from the first annex mark to the end, with number, title and related article of the first header."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(id_column, strip(F.regexp_extract(t, r"(\[별표\s*\d+\][\s\S]+)", 1)).alias("annex_content")).where("annex_content <> ''")
+    found = docs.select(id_column, annex_text(t).alias("annex_content")).where("annex_content <> ''")
     c = F.col("annex_content")
     return found.withColumns({"annex_no": F.regexp_extract(c, P.ANNEX_HEADER, 1), "annex_title": strip(F.regexp_extract(c, P.ANNEX_HEADER, 2)), "related_article": strip(F.regexp_extract(c, P.ANNEX_RELATED, 1))})
 

@@ -72,6 +72,12 @@ def completed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     return per.select(id_column, "x.table_id", short.alias("is_generated"), F.explode(F.when(short, rule).otherwise(F.col("x.rows"))).alias("r")).select(id_column, "table_id", "is_generated", "r.n", "r.rank")
 
 
+def statistics(table_rows: DataFrame) -> DataFrame:
+    """``table_id``, ``documents`` and ``rows`` of ``completed`` tables."""
+    per = table_rows.groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("table_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("rows"))
+
+
 def answers(questions: DataFrame, table: DataFrame, question: str = "question", strict_parity: bool = False) -> DataFrame:
     """Adds ``table_id``, ``n``, ``rank`` and ``answer``: the last number asked for, in the table that the words name.
 

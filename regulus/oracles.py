@@ -2,12 +2,14 @@
 
 The documents are made by the SQL the corpus is made by; what is asked of them
 is worked out anew from their text. Its regular expressions have no look-around
-and its own flags, so patterns are written out here.
+and its own flags, so patterns are written out here (fixed values, as those of
+:mod:`regulus.functions.patterns`).
 """
 
 from __future__ import annotations
 
 from regulus.plans.corpus import DUCKDB
+from regulus.plans.render import VERSIONS
 
 ART = r"(제\d+조(?:의\d+)?)\s*[\(\[]([^\)\]]+)[\)\]]"
 TRIM = r"^\s+|\s+$"
@@ -136,6 +138,26 @@ DOC_FEATURES = r"""length(text) AS char_count, len(string_split(text, chr(10) ||
   CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) = 0 THEN 0.0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND length(trim(x)) < 50))::DOUBLE / len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) END AS short_line_ratio"""
 GOLDEN = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s(),.\-①-⑳]', '', 'g')"
 
+LENGTH = "substring(x, a + 1, 512)"
+#: Where a chunk by length ends that begins at ``a``: after the last mark inside it, of the first kind that it has.
+END = f"CASE WHEN a + 512 >= n THEN n {' '.join(f"WHEN length(regexp_extract({LENGTH}, '(?s)^(.*){p}', 1)) > 0 THEN a + length(regexp_extract({LENGTH}, '(?s)^(.*){p}', 1)) + {k}" for p, k in ((r'\n\n', 2), (r'\n', 1), (r'\. ', 2), ('。', 1)))} ELSE a + 512 END"
+PER_ARTICLE = r"per AS (SELECT c.doc_id, c.number, c.clean_body, count(l.clause_no) AS cl, coalesce(sum(l.items), 0) AS it, len(regexp_extract_all(c.body, '(?m)^\s*\d{1,2}[.)]')) AS nums, regexp_matches(c.body, '(?m)^제\d+조(?:의\d+)?\s*[\(\[]') OR regexp_matches(c.clean_body, '(?m)^제\s*\d+\s*장\s') AS bleeds FROM cleaned c LEFT JOIN clauses l ON l.doc_id = c.doc_id AND l.number = c.number GROUP BY c.doc_id, c.number, c.clean_body, c.body)"
+LAYERS = "(1 + (sum(cl) > 0)::INT + (max((nums > 0 AND cl > 0)::INT) > 0 AND sum(it) > 0)::INT)::DOUBLE / (1 + (sum(cl) > 0)::INT + max((nums > 0 AND cl > 0)::INT))"
+
+
+def prompted(version: str) -> str:
+    """The prompt of a version for a page of ``docs``."""
+    s = {k: "'" + v.replace("'", "''") + "'" for k, v in VERSIONS[version].items()}
+    return f"""md5({s["task"]} || chr(10) || {s["must"]} || chr(10) || CASE WHEN contains(text, '제1조') THEN {s["statute"]} || chr(10) ELSE '' END
+      || CASE WHEN regexp_matches(text, '개정|차|제정|시행') AND len(regexp_extract_all(text, '\\d{{4}}\\.\\d{{1,2}}\\.\\d{{1,2}}')) >= 3 THEN {s["tables"]} ELSE {s["no_tables"]} END)"""
+
+
+RULE = "repeat('=', 60)"
+SUMMARY = f"""concat_ws(chr(10), {RULE}, '문서명: ' || title, {RULE}, '', '[처리 결과]', '- PDF 텍스트: ' || format('{{:,}}', source_chars) || '자', '- 처리 텍스트: ' || format('{{:,}}', processed_chars) || '자',
+  '- 총 장: ' || chapters || '개', '- 총 조문: ' || articles || '개', '- 개정이력: ' || amendments || '건', '- 청크: ' || chunks || '개', '', '[QA 결과]',
+  '- 조문 헤더 매칭률: ' || CAST(round(match_rate * 100) AS INT) || '% (' || (len(a) - len(missing)) || '/' || len(a) || ')', '- 이상 징후: ' || CASE WHEN len(qa_flags) = 0 THEN '없음' ELSE array_to_string(qa_flags, ', ') END,
+  '- 판정: ' || CASE WHEN CASE WHEN is_annex_mode THEN text_coverage >= 0.9 ELSE match_rate >= 0.95 AND len(qa_flags) = 0 END THEN '✅ PASS' ELSE '⚠️ WARNING' END)"""
+
 SQL = {
     "article_count_by_chapter": cte(*ATTACHED) + "SELECT doc_id, chapter, count(*) AS articles FROM arts GROUP BY ALL",
     "articles": cte(*ATTACHED) + r"SELECT doc_id, CAST(section_order AS BIGINT) AS section_order, number AS article_number, title AS article_title, chapter, body, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '\[[^\n]*?(\d{4}\.\d{2}\.\d{2})[^\n]*?\]', 1))), ',') AS amended_dates, regexp_matches(body, '<삭제\s*\d{4}\.\d{2}\.\d{2}>') AS is_deleted, CAST(start AS BIGINT) AS start_pos FROM arts",
@@ -202,8 +224,36 @@ SQL = {
     )
     + "SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY a, b)) AS text_md5, CAST(length(string_agg(l, chr(10) ORDER BY a, b)) AS BIGINT) AS chars FROM md GROUP BY doc_id",
     "dual_qa": cte(*GATE) + "SELECT doc_id, CAST(len(a) AS BIGINT) AS source_articles, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra, round(match_rate, 6) AS match_rate, round(text_coverage, 6) AS text_coverage, array_to_string(qa_flags, ',') AS qa_flags, is_annex_mode, CASE WHEN is_annex_mode THEN text_coverage >= 0.9 ELSE match_rate >= 0.95 AND len(qa_flags) = 0 END AS is_pass FROM flags",
-    "hierarchy_metrics": cte(*CLAUSES, "per AS (SELECT c.doc_id, c.number, c.clean_body, count(l.clause_no) AS cl, coalesce(sum(l.items), 0) AS it, len(regexp_extract_all(c.body, '(?m)^\\s*\\d{1,2}[.)]')) AS nums FROM cleaned c LEFT JOIN clauses l ON l.doc_id = c.doc_id AND l.number = c.number GROUP BY c.doc_id, c.number, c.clean_body, c.body)")
-    + "SELECT doc_id, count(*) AS articles, CAST(sum(cl) AS BIGINT) AS clauses, CAST(sum(it) AS BIGINT) AS items, round((1 + (sum(cl) > 0)::INT + (max((nums > 0 AND cl > 0)::INT) > 0 AND sum(it) > 0)::INT)::DOUBLE / (1 + (sum(cl) > 0)::INT + max((nums > 0 AND cl > 0)::INT)), 6) AS hierarchy_preservation, round(avg((clean_body = '')::INT), 6) AS empty_article_rate, '' AS integrity_errors FROM per GROUP BY doc_id",
+    "hierarchy_metrics": cte(*CLAUSES, PER_ARTICLE) + f"SELECT doc_id, count(*) AS articles, CAST(sum(cl) AS BIGINT) AS clauses, CAST(sum(it) AS BIGINT) AS items, round({LAYERS}, 6) AS hierarchy_preservation, round(avg((clean_body = '')::INT), 6) AS empty_article_rate, '' AS integrity_errors FROM per GROUP BY doc_id",
+    "dod_pass_rate": cte(*CLAUSES, PER_ARTICLE, f"dod AS (SELECT {LAYERS} >= 0.95 AND avg(bleeds::INT) <= 0 AND avg((clean_body = '')::INT) <= 0 AS ok FROM per GROUP BY doc_id)") + "SELECT count(*) AS docs, CAST(sum(ok::INT) AS BIGINT) AS passed, avg(ok::INT) AS pass_rate FROM dod",
+    "page_prompts": cte() + f"SELECT doc_id, {prompted('0.3')} AS prompt_md5, {prompted('0.4')} AS later_prompt_md5 FROM docs",
+    "review_md": cte(
+        *CHUNKS, *GATE,
+        f"""told AS (SELECT f.*, string_split(p.text, chr(10))[1] AS title, length({strip('p.text')}) AS source_chars, length({strip('p.processed')}) AS processed_chars, (SELECT count(*) FROM chap1 x WHERE x.doc_id = f.doc_id) AS chapters,
+          (SELECT count(*) FROM cleaned x WHERE x.doc_id = f.doc_id) AS articles, (SELECT count(*) FROM amend x WHERE x.doc_id = f.doc_id) AS amendments, (SELECT count(*) FROM made x WHERE x.doc_id = f.doc_id) AS chunks FROM flags f JOIN proc p ON p.doc_id = f.doc_id)""",
+        f"""rv AS (
+          SELECT doc_id, -2 AS r, 0 AS o, 0 AS k, '```' || chr(10) || {SUMMARY} || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) AS l FROM told
+          UNION ALL SELECT doc_id, -1, 0, 0, '# ' || title || chr(10) FROM told
+          UNION ALL SELECT doc_id, r, o, k, CASE type WHEN 'chapter' THEN '## ' || content WHEN 'article' THEN '### ' || string_split(content, chr(10))[1] || chr(10) || content ELSE content END || chr(10) FROM made WHERE type <> 'title')""",
+    )
+    + "SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY r, o, k)) AS text_md5, CAST(length(string_agg(l, chr(10) ORDER BY r, o, k)) AS BIGINT) AS chars FROM rv GROUP BY doc_id",
+    "fallback_chunks": f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n FROM documents), w AS (
+        SELECT doc_id, a, {END} AS e FROM (SELECT doc_id, x, n, 0 AS a FROM t WHERE n > 0)
+        UNION ALL SELECT doc_id, a, {END} AS e FROM (SELECT t.doc_id, t.x, t.n, w.e AS a FROM w JOIN t ON t.doc_id = w.doc_id WHERE w.e < t.n)),
+      c AS (SELECT w.doc_id, a, {strip("substring(x, a + 1, e - a)")} AS content FROM w JOIN t ON t.doc_id = w.doc_id)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS chunk_index, md5(content) AS content_md5, CAST(length(content) AS BIGINT) AS char_count FROM c WHERE length(content) >= 100""",
+    "type_reason": f"""WITH d AS (SELECT doc_id, (doc_id % 10) / 10 AS score, CASE WHEN doc_id % 4 = 0 THEN repeat('7', 150) || text ELSE text END AS text FROM documents), f AS (SELECT doc_id, score, {DOC_FEATURES} FROM d)
+      SELECT doc_id, coalesce(nullif(concat_ws(' OR ', CASE WHEN round(digit_density, 3) >= 0.1 THEN format('숫자 밀도 {{:.1f}}%', 100 * digit_density) END, CASE WHEN score >= 0.5 AND round(short_line_ratio, 2) >= 0.7 THEN format('표 구조 (score={{:.2f}}, short_line={{:.0f}}%)', score, 100 * short_line_ratio) END), ''), '기준 미달') AS stats_reason FROM f""",
+    "bus_keywords": "SELECT doc_id, array_to_string(list_filter(['노선', '배차', '정류장', '첫차', '막차', '차고지', '버스'], lambda w: contains(t, w)), ',') AS words FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' 막차와 첫차의 배차' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' 버스 정류장' ELSE '' END AS t FROM documents)",
+    "table_stats": cte(*ANNEX) + "SELECT unnest(['annex_1_3급승진', 'annex_1_3급승진제외']) AS table_id, count(*) AS documents, 75 * count(*) AS rows FROM ann",
+    "golden_records": cte(
+        *CLEANED, *AMENDMENTS,
+        "ful AS (SELECT d.doc_id, string_split(any_value(d.text), chr(10))[1] || coalesce(string_agg(a.number || '(' || a.title || ')' || chr(10) || a.clean_body || chr(10), '' ORDER BY a.section_order), '') AS t, count(a.number) AS n, coalesce(string_agg(a.number || '(' || a.title || ')', '|' ORDER BY a.section_order), '') AS heads FROM docs d LEFT JOIN cleaned a ON a.doc_id = d.doc_id GROUP BY d.doc_id)",
+        "chs AS (SELECT doc_id, count(*) AS n, string_agg(number || ' ' || title, '|' ORDER BY section_order) AS heads FROM chap1 GROUP BY doc_id)",
+    )
+    + f"SELECT f.doc_id, coalesce(c.n, 0) AS total_chapters, f.n AS total_articles, (SELECT count(*) FROM amend x WHERE x.doc_id = f.doc_id) AS amendments, coalesce(c.heads, '') AS chapter_headers, md5(f.heads) AS article_headers_md5, md5({strip(GOLDEN.format('t'))}) AS checksum, CAST(length(t) AS BIGINT) AS total_char_count FROM ful f LEFT JOIN chs c ON c.doc_id = f.doc_id",
+    "benchmark_averages": "SELECT count(*) AS total_documents, round(avg(l_tax), 3) AS parse_sec, round(avg(l_discount), 3) AS golden_create_sec, round(avg(l_linenumber / 100), 3) AS golden_compare_sec, round(avg(l_quantity / 10), 3) AS total_sec, round(avg(l_quantity), 2) AS memory_mb, avg(l_tax) < 5 AND avg(l_discount) < 2 AND avg(l_linenumber / 100) < 1 AND avg(l_quantity / 10) < 10 AND avg(l_quantity) < 500 AS all_pass FROM lineitem",
+    "rewrite_cache": cte(*CLEANED) + "SELECT count(*) AS total_cached, CAST(sum(strlen(t)) AS BIGINT) AS cache_size_bytes FROM (SELECT doc_id, number, min(clean_body) AS t FROM cleaned GROUP BY ALL)",
     "kvs_normalize": r"""WITH v AS (SELECT o_custkey, o_orderstatus AS key, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN floor(o_totalprice) >= 1000 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END || '원' WHEN 1 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05' WHEN 2 THEN (o_orderkey % 60) || '분' END AS value FROM orders)
       SELECT o_custkey, key, value FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey, key ORDER BY length(value) DESC, o_orderkey) = 1""",
     "golden_structure": cte(*ATTACHED) + "SELECT doc_id, number AS article_number, chapter_number, contains(body, '①') OR contains(body, '1.') AS has_clauses, CAST(len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:[①-③]|[1-3]\\.)'))) AS BIGINT) AS clause_count, CAST(length(body) AS BIGINT) AS content_length FROM arts",

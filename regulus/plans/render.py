@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulus.operators import clean
@@ -14,39 +14,33 @@ def assembled(rows: DataFrame, key: str, order: list[str], line: str = "line", o
     return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x[line]), glue).alias(out))
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def none() -> Column:
+    return F.array().cast("array<string>")
 
 
-def block(df: DataFrame, key: str, a: int, lines: list[Column], b: Column | None = None) -> DataFrame:
-    """Rows ``key, a, b, c, line`` for the lines of one block of a document."""
-    b = F.lit(0) if b is None else b
-    return df.select(key, F.lit(a).alias("a"), b.cast("int").alias("b"), F.posexplode(F.array(*lines)).alias("c", "line"))
+def engine_md(rows: DataFrame, key: str = "doc_id", preamble: str | None = None) -> DataFrame:
+    """``(key, text)`` of the rows of :func:`regulus.operators.structure.wide`: title, amendments, preamble, articles with a heading where the chapter changes, and the annex.
 
+    A document is rendered inside its row. ``preamble`` names a column.
+    """
+    lit, articles, chapters = F.lit, F.col("articles"), F.col("chapters")
+    line = lambda *parts: F.concat(*[p if isinstance(p, Column) else lit(p) for p in parts])
+
+    def article(a: Column, i: Column) -> Column:
+        # once a chapter has begun each article has one, so the article before tells whether it changes
+        changes = (a["chapter_number"] != "") & ((i == 0) | (F.coalesce(F.get(articles, i - 1)["chapter_number"], lit("")) != a["chapter_number"]))
+        heads = F.filter(chapters, lambda c: c["number"] == a["chapter_number"])
+        head = F.when(changes, F.flatten(F.transform(F.slice(heads, 1, 1), lambda c: F.array(line("## ", F.concat_ws(" ", c["number"], c["title"])), lit(""))))).otherwise(none())
+        return F.concat(head, F.array(line("### ", a["number"], "(", a["title"], ")"), lit(""), a["clean_body"], lit("")))
 
-def engine_md(title: DataFrame, amendments: DataFrame, articles: DataFrame, chapters: DataFrame, annexes: DataFrame, key: str = "doc_id", preamble: DataFrame | None = None) -> DataFrame:
-    """``(key, text)``: title, amendments, preamble, articles with a heading where the chapter changes, and the annex."""
-    blank, lit = F.lit(""), F.lit
-    w = Window.partitionBy(key).orderBy("section_order")
-    current = F.last(F.when(F.col("chapter_number") != "", F.col("chapter_number")), ignorenulls=True)
-    marked = articles.withColumn("_before", F.coalesce(current.over(w.rowsBetween(Window.unboundedPreceding, -1)), lit("")))
-    changes = marked.where((F.col("chapter_number") != "") & (F.col("chapter_number") != F.col("_before"))).select(key, "chapter_number", "section_order")
-    headed = changes.join(chapters.select(key, "chapter_number", "chapter_title"), [key, "chapter_number"])
     parts = [
-        block(title, key, 0, [F.concat(lit("# "), F.col("title")), blank]),
-        block(amendments.select(key).distinct(), key, 1, [lit("## 개정이력"), blank]),
-        block(amendments, key, 2, [F.concat(lit("- "), F.col("kind"), lit(" "), F.col("amendment_date"))], F.col("amendment_order")),
-        block(amendments.select(key).distinct(), key, 3, [blank]),
-        block(headed, key, 6, [F.concat(lit("## "), F.concat_ws(" ", "chapter_number", "chapter_title")), blank], 2 * F.col("section_order")),
-        block(articles, key, 6, [F.concat(lit("### "), F.col("article_number"), lit("("), F.col("article_title"), lit(")")), blank, F.col("clean_body"), blank], 2 * F.col("section_order") + 1),
-        block(annexes, key, 7, [lit("## 별표"), blank, clean.annex_markdown(F.col("annex_content")), blank]),
+        F.array(line("# ", F.col("title")), lit("")),
+        F.when(F.size("amendments") > 0, F.concat(F.array(lit("## 개정이력"), lit("")), F.transform("amendments", lambda x: line("- ", x["kind"], " ", x["date"])), F.array(lit("")))).otherwise(none()),
+        *([F.when(F.col(preamble) != "", F.array(lit("## 기본정신"), lit(""), F.col(preamble), lit(""))).otherwise(none())] if preamble else []),
+        F.flatten(F.transform(articles, article)),
+        F.when(F.col("annex_content") != "", F.array(lit("## 별표"), lit(""), clean.annex_markdown(F.col("annex_content")), lit(""))).otherwise(none()),
     ]
-    if preamble is not None:
-        parts.append(block(preamble.where("basic_spirit <> ''"), key, 5, [lit("## 기본정신"), blank, F.col("basic_spirit"), blank]))
-    return assembled(union(parts), key, ["a", "b", "c"])
+    return rows.select(key, F.array_join(F.concat(*parts), "\n").alias("text"))
 
 
 def qa_summary(rows: DataFrame) -> Column:
@@ -76,33 +70,45 @@ def qa_summary(rows: DataFrame) -> Column:
     )
 
 
-def review_md(title: DataFrame, chunks: DataFrame, key: str = "doc_id", summary: DataFrame | None = None) -> DataFrame:
-    """``(key, text)``: the summary in a fence, the title, and each chunk by the rule of its type."""
-    kind, content = F.col("type"), F.col("content")
-    header = F.concat(F.lit("### "), F.col("article_number"), F.lit("("), F.col("article_title"), F.lit(")"))
-    shown = (
-        F.when(kind == "chapter", F.array(F.concat(F.lit("## "), content)))
-        .when((kind == "article") & (F.coalesce("article_number", F.lit("")) != ""), F.array(header, content))
-        .when(kind == "annex_paragraph", F.array(F.lit(""), content, F.lit("")))
-        .when(F.contains(kind, F.lit("header")), F.array(F.concat(F.lit("## "), F.get(F.split(content, "\n"), 0))))
-        .when(kind == "table_row", F.array(F.concat(F.lit("- "), content)))
-        .otherwise(F.array(content))
-    )
-    body = chunks.where(kind != "title").select(key, F.lit(2).alias("a"), F.col("chunk_pos").cast("int").alias("b"), F.posexplode(F.concat(shown, F.array(F.lit("")))).alias("c", "line"))
-    parts = [block(title.where("title <> ''"), key, 1, [F.concat(F.lit("# "), F.col("title")), F.lit("")]), body]
-    if summary is not None:
-        parts.append(block(summary, key, 0, [F.lit("```"), F.col("qa_summary"), F.lit("```"), F.lit(""), F.lit("---"), F.lit("")]))
-    return assembled(union(parts), key, ["a", "b", "c"])
-
-
-#: What a prompt is made of; a section's text is a parameter of :func:`prompt`.
-SECTIONS = {
-    "task": "Transcribe this page of a Korean regulation as Markdown, word for word, without summary or comment.",
-    "must": "Keep every article number and title, the amendment history, and the preamble (기본정신) if there is one.",
-    "statute": "Headings: # document, ## chapter, ### 제N조(title).",
-    "tables": "Write tables as Markdown tables.",
-    "no_tables": "Write tables as lists of lines.",
+def review_md(rows: DataFrame, key: str = "doc_id", chunks: str = "chunks", title: str = "title", summary: str | None = None) -> DataFrame:
+    """``(key, text)``: the summary in a fence, the title, and each chunk of an array of chunks by the rule of its type."""
+    def shown(c: Column) -> Column:
+        kind, content = c["type"], c["content"]
+        header = F.concat(F.lit("### "), c["article_number"], F.lit("("), c["article_title"], F.lit(")"))
+        lines = (
+            F.when(kind == "chapter", F.array(F.concat(F.lit("## "), content)))
+            .when((kind == "article") & (F.coalesce(c["article_number"], F.lit("")) != ""), F.array(header, content))
+            .when(kind == "annex_paragraph", F.array(F.lit(""), content, F.lit("")))
+            .when(F.contains(kind, F.lit("header")), F.array(F.concat(F.lit("## "), F.get(F.split(content, "\n"), 0))))
+            .when(kind == "table_row", F.array(F.concat(F.lit("- "), content)))
+            .otherwise(F.array(content))
+        )
+        return F.concat(lines, F.array(F.lit("")))
+
+    head = F.when(F.col(title) != "", F.array(F.concat(F.lit("# "), F.col(title)), F.lit(""))).otherwise(none())
+    fence = F.array(F.lit("```"), F.col(summary), F.lit("```"), F.lit(""), F.lit("---"), F.lit("")) if summary else none()
+    body = F.flatten(F.transform(F.filter(chunks, lambda c: c["type"] != "title"), shown))
+    return rows.select(key, F.array_join(F.concat(fence, head, body), "\n").alias("text"))
+
+
+#: What the prompts of a version are made of; a section's text is a parameter of :func:`prompt`.
+VERSIONS = {
+    "0.3": {
+        "task": "Transcribe this page of a Korean regulation as Markdown, word for word, without summary or comment.",
+        "must": "Keep every article number and title, the amendment history, and the preamble (기본정신) if there is one.",
+        "statute": "Headings: # document, ## chapter, ### 제N조(title).",
+        "tables": "Write tables as Markdown tables.",
+        "no_tables": "Write tables as lists of lines.",
+    },
+    "0.4": {
+        "task": "Transcribe this page of a Korean regulation as Markdown. Leave out nothing and add nothing: no summary, no comment, no heading of your own.",
+        "must": "Keep article numbers and titles, clause marks, amendment dates, deletions and the preamble (기본정신) as they are printed; leave out page numbers and running titles.",
+        "statute": "Headings: # document, ## chapter, ### 제N조(title). Clauses (①) and items (1.) begin lines of their own.",
+        "tables": "Write tables as Markdown tables, a row to each line.",
+        "no_tables": "Write each row of a table as a line of a list.",
+    },
 }
+SECTIONS = VERSIONS["0.3"]
 
 
 def prompt(doc_type: Column, allow_tables: Column, sections: dict[str, str] = SECTIONS) -> Column:

@@ -148,6 +148,19 @@ def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.decided(classify.features(docs)).select("doc_id", "doc_type", "confidence", "mode")
 
 
+@query
+def type_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", ((F.col("doc_id") % 10) / 10).alias("score"))
+    digits = F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit("7"), 150), F.col("text"))).otherwise(F.col("text"))
+    return classify.decided(classify.features(docs.withColumn("text", digits), table_score="score")).select("doc_id", "stats_reason")
+
+
+@query
+def bus_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" 막차와 첫차의 배차")).otherwise(F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.lit(" 버스 정류장")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", joined(classify.bus_words(said)).alias("words"))
+
+
 @query
 def doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir).withColumn("file_name", F.when(F.col("doc_id") % 5 == 0, "HR.pdf").when(F.col("doc_id") % 5 == 1, "terms.pdf").otherwise("a.pdf"))
@@ -249,6 +262,11 @@ def table_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "table_id", "is_generated").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("rank").alias("ranks"))
 
 
+@query
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.statistics(tables.completed(structure.annex(corpus.documents(spark, sf_dir)), "annex_content"))
+
+
 @query
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(corpus.documents(spark, sf_dir))
@@ -273,6 +291,11 @@ def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", md5("content").alias("content_md5"), long("char_count").alias("char_count"))
 
 
+@query
+def loose_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.loose_share(chunking.pieces(corpus.documents(spark, sf_dir)))
+
+
 @query
 def semantic_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.semantic(corpus.documents(spark, sf_dir))
@@ -280,7 +303,8 @@ def semantic_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.by_length(table(spark, sf_dir, "documents"))
+    rows = chunking.by_length(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", long("chunk_index").alias("chunk_index"), md5("content").alias("content_md5"), long("char_count").alias("char_count"))
 
 
 @query
@@ -289,27 +313,34 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", long("chunk_index").alias("chunk_index"), "section_type", "article_no", "article_title", "content")
 
 
-def parts_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = corpus.documents(spark, sf_dir)
-    annexes = structure.annex(docs)
-    return {"docs": docs, "title": docs.select("doc_id", "title"), "amendments": structure.amendments(docs), "articles": structure.articles(docs), "chapters": structure.chapters(docs), "annexes": annexes}
-
-
-def whole_annex(annexes: DataFrame) -> DataFrame:
-    return annexes.select("doc_id", F.lit(0).alias("annex_order"), F.lit("whole").alias("section_type"), F.col("annex_content").alias("content"))
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, parsed once, with the array of their chunks."""
+    rows = structure.wide(corpus.documents(spark, sf_dir))
+    return rows.withColumn("chunks", chunking.parsed_chunks(rows))
 
 
 @query
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts_of(spark, sf_dir)
-    made = chunking.from_parsed(p["title"], p["amendments"], p["articles"], p["chapters"], whole_annex(p["annexes"]))
+    made = chunking.exploded(chunked(spark, sf_dir))
     return made.select("doc_id", long("chunk_pos").alias("chunk_pos"), "type", "content", "article_number", "chapter_number", long("char_count").alias("char_count"))
 
 
 @query
 def chunk_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts_of(spark, sf_dir)
-    return chunking.type_counts(chunking.from_parsed(p["title"], p["amendments"], p["articles"], p["chapters"], whole_annex(p["annexes"])))
+    return chunking.type_counts(chunking.exploded(chunked(spark, sf_dir)))
+
+
+@query
+def chunks_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir)
+    annexes = structure.annex(docs)
+    whole = annexes.select("doc_id", long(F.length(clean.annex_canonical(F.col("annex_content")))).alias("total_chars"))
+    made = annex.chunks(annex.sections(annexes))
+    parts = chunking.annex_parts(annex.with_fallback(made, annexes, qa.loss(made, whole)))
+    rows = structure.wide(docs).join(parts, "doc_id", "left")
+    every = F.coalesce("annex_parts", F.array().cast("array<struct<type:string,content:string>>"))
+    out = chunking.exploded(rows.withColumn("chunks", chunking.parsed_chunks(rows, every)))
+    return out.select("doc_id", long("chunk_pos").alias("chunk_pos"), "type", "content", "article_number", "chapter_number", long("char_count").alias("char_count"))
 
 
 @query
@@ -322,14 +353,19 @@ def annex_fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def engine_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts_of(spark, sf_dir)
-    return render.engine_md(p["title"], p["amendments"], p["articles"], p["chapters"], p["annexes"]).select("doc_id", md5("text").alias("text_md5"), long(F.length("text")).alias("chars"))
+    made = render.engine_md(structure.wide(corpus.documents(spark, sf_dir)))
+    return made.select("doc_id", md5("text").alias("text_md5"), long(F.length("text")).alias("chars"))
 
 
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and what a processing that loses or adds headers in some of them made of their text."""
     docs = corpus.documents(spark, sf_dir)
     lost = F.when(F.col("doc_id") % 3 == 0, F.replace(F.col("text"), F.lit("제3조("), F.lit("("))).when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n제900조(추가)"))).otherwise(F.col("text"))
-    return qa.gate(docs.withColumn("processed", clean.page_dividers(lost)), "text", "processed")
+    return docs.withColumn("processed", clean.page_dividers(lost))
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.gate(processed(spark, sf_dir), "text", "processed")
 
 
 @query
@@ -340,17 +376,19 @@ def dual_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def review_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts_of(spark, sf_dir)
-    made = chunking.from_parsed(p["title"], p["amendments"], p["articles"], p["chapters"], whole_annex(p["annexes"]))
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    totals = gated(spark, sf_dir).join(n(p["articles"], "total_articles"), "doc_id", "left").join(n(p["chapters"], "total_chapters"), "doc_id", "left").join(n(p["amendments"], "total_amendments"), "doc_id", "left").join(n(made, "total_chunks"), "doc_id", "left").fillna(0)
-    return render.review_md(p["title"], made, summary=totals.select("doc_id", render.qa_summary(totals).alias("qa_summary")))
+    docs = processed(spark, sf_dir)
+    rows = structure.wide(docs.withColumn("_all", F.struct(*docs.columns)), id_column="_all").select("_all.*", "amendments", "articles", "chapters", "annex_content")
+    rows = qa.gate(rows.withColumn("chunks", chunking.parsed_chunks(rows)), "text", "processed")
+    totals = {"total_articles": F.size("articles"), "total_chapters": F.size("chapters"), "total_amendments": F.size("amendments"), "total_chunks": F.size("chunks")}
+    made = rows.withColumns(totals)
+    return render.review_md(made.withColumn("qa_summary", render.qa_summary(made)), summary="qa_summary").select("doc_id", md5("text").alias("text_md5"), long(F.length("text")).alias("chars"))
 
 
 @query
 def page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
-    return docs.select("doc_id", md5(render.prompt(F.when(F.col("text").rlike("제1조"), "statute").otherwise("general"), classify.revision_page(F.lit(1), F.col("text")))).alias("prompt_md5"))
+    of = lambda version: md5(render.prompt(F.when(F.col("text").rlike("제1조"), "statute").otherwise("general"), classify.revision_page(F.lit(1), F.col("text")), render.VERSIONS[version]))
+    return docs.select("doc_id", of("0.3").alias("prompt_md5"), of("0.4").alias("later_prompt_md5"))
 
 
 @query
@@ -398,6 +436,24 @@ def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "articles", "missing", "added", F.round("structure_score", 6).alias("structure_score"), F.round("header_score", 6).alias("header_score"), F.round("content_score", 6).alias("content_score"), "overall_pass")
 
 
+@query
+def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = golden.records(structure.wide(corpus.documents(spark, sf_dir)))
+    return rows.select("doc_id", long("structure.total_chapters").alias("total_chapters"), long("structure.total_articles").alias("total_articles"), long("headers.amendment_history_count").alias("amendments"), F.array_join("headers.chapter_headers", "|").alias("chapter_headers"), md5(F.array_join("headers.article_headers", "|")).alias("article_headers_md5"), "content.checksum", long("content.total_char_count").alias("total_char_count"))
+
+
+@query
+def benchmark_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_tax").alias("parse_sec"), F.col("l_discount").alias("golden_create_sec"), (F.col("l_linenumber") / 100).alias("golden_compare_sec"), (F.col("l_quantity") / 10).alias("total_sec"), F.col("l_quantity").alias("memory_mb"))
+    return golden.benchmark_summary(rows)
+
+
+@query
+def rewrite_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = structure.articles(corpus.documents(spark, sf_dir))
+    return qa.cache_stats(arts.select(qa.cache_key(F.col("doc_id"), F.col("article_number"), F.lit("0.4.0")).alias("cache_key"), F.col("clean_body").alias("text")))
+
+
 @query
 def rewrite_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = structure.articles(corpus.documents(spark, sf_dir))
