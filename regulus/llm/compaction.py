@@ -1,16 +1,24 @@
 """Shards that arrivals append, and size-tiered compaction of them.
 
-Arrivals become runs of small immutable Parquet files. Runs of similar size
-form a tier; when a tier has enough of them they are merged into files of a
-target size. What the store holds is what its newest manifest lists: a JSON
-file per version, renamed into place once complete, where the rename fails if
-the version exists. A lost job leaves files that no manifest lists, which
+Arrivals become runs: folders of small immutable Parquet files. Runs of similar
+size form a tier; when a tier has enough of them they are merged into one run
+of files of a target size. What the store holds is what its newest manifest
+lists: a JSON file per version, which names runs and not files, so it has a
+few lines for each tier however large the store is; Spark lists the files of a
+run in parallel. A manifest is renamed into place once complete, and the rename
+fails if the version exists. That needs a file system whose rename is atomic,
+as HDFS has; an object store needs a conditional put in the place of
+:meth:`Store.publish`. A lost job leaves folders that no manifest lists, which
 :meth:`Store.vacuum` removes. The driver handles names and sizes only.
+
+A byte is written again once for each tier it passes, that is a logarithm of
+the store's size over that of an arrival.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -22,12 +30,18 @@ from pyspark.sql import types as T
 #: Bytes to a merged file; runs that make a tier; runs of one merge at most; how far sizes of a tier may be from their mean; below this size all are similar.
 TARGET, LEAST_RUNS, MOST_RUNS, SPREAD, SMALL = 128 << 20, 4, 32, 0.5, 8 << 20
 ATTEMPTS = 10
+#: Seconds for which what a manifest listed stays when it is no longer the newest, for its readers.
+GRACE = 86_400.0
+#: Open files of a task that writes an arrival for each value of a column.
+WRITERS = 64
 
 
 @dataclass(frozen=True)
 class Run:
+    """A folder, its files' number and bytes, and how often what it holds was merged."""
+
     name: str
-    files: tuple[str, ...]
+    files: int
     bytes: int
     level: int
 
@@ -44,7 +58,7 @@ class Manifest:
     @staticmethod
     def parse(text: str) -> Manifest:
         d = json.loads(text)
-        return Manifest(d["version"], d["schema"], tuple(Run(r["name"], tuple(r["files"]), r["bytes"], r["level"]) for r in d["runs"]))
+        return Manifest(d["version"], d["schema"], tuple(Run(r["name"], r["files"], r["bytes"], r["level"]) for r in d["runs"]))
 
 
 class Conflict(Exception):
@@ -66,9 +80,12 @@ class Store:
         at = self.path(folder)
         return {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(at)} if self.fs.exists(at) else {}
 
+    def versions(self) -> list[str]:
+        return sorted(x for x in self.names("manifests") if x.endswith(".json") and not x.startswith("."))
+
     def manifest(self, version: int | None = None) -> Manifest:
         """The newest one, or that of a version."""
-        kept = sorted(x for x in self.names("manifests") if x.endswith(".json") and not x.startswith("."))
+        kept = self.versions()
         if version is not None:
             kept = [x for x in kept if x == f"{version:012d}.json"]
         if not kept:
@@ -81,30 +98,36 @@ class Store:
         finally:
             stream.close()
 
-    def commit(self, change: Callable[[Manifest], Manifest]) -> Manifest:
-        """Puts a version after the newest one. If another writer was faster, the change is worked out anew."""
+    def publish(self, new: Manifest) -> bool:
+        """Puts a manifest in its place; false if its version is there already."""
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf)
+        draft = self.path(f"manifests/.draft-{uuid.uuid4().hex}")
+        stream = self.fs.create(draft, False)
+        stream.write(bytearray(new.text().encode()))
+        stream.close()
+        try:
+            files.rename(draft, self.path(f"manifests/{new.version:012d}.json"), options)
+        except Exception as e:
+            self.fs.delete(draft, False)
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
+        return True
+
+    def commit(self, change: Callable[[Manifest], Manifest]) -> Manifest:
+        """Puts a version after the newest one. If another writer was faster, the change is worked out anew."""
         for _ in range(ATTEMPTS):
             old = self.manifest()
             new = change(old)
             new = Manifest(old.version + 1, new.schema, new.runs)
-            draft = self.path(f"manifests/.draft-{uuid.uuid4().hex}")
-            stream = self.fs.create(draft, False)
-            stream.write(bytearray(new.text().encode()))
-            stream.close()
-            try:
-                files.rename(draft, self.path(f"manifests/{new.version:012d}.json"), options)
+            if self.publish(new):
                 return new
-            except Exception as e:
-                self.fs.delete(draft, False)
-                if "FileAlreadyExists" not in str(e):
-                    raise
         raise Conflict(f"{ATTEMPTS} other commits came first")
 
     def run(self, folder: str, level: int) -> Run:
         found = {k: v for k, v in self.names(folder).items() if k.endswith(".parquet")}
-        return Run(folder, tuple(sorted(found)), sum(found.values()), level)
+        return Run(folder, len(found), sum(found.values()), level)
 
     def append(self, rows: DataFrame, arrival: Column | None = None) -> Manifest:
         """Adds rows, as one run or as one for each value of ``arrival``, in one commit."""
@@ -117,8 +140,13 @@ class Store:
             by = "arrival"
             while by.lower() in {c.lower() for c in rows.columns}:
                 by += "_"
-            self.spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "64")
-            rows.withColumn(by, arrival).write.option("compression", self.codec).partitionBy(by).parquet(f"{self.root}/{base}")
+            name = "spark.sql.maxConcurrentOutputFileWriters"
+            before = self.spark.conf.get(name)
+            self.spark.conf.set(name, str(WRITERS))
+            try:
+                rows.withColumn(by, arrival).write.option("compression", self.codec).partitionBy(by).parquet(f"{self.root}/{base}")
+            finally:
+                self.spark.conf.set(name, before)
             made = [self.run(f"{base}/{x}", 0) for x in sorted(self.names(base)) if x.startswith(f"{by}=")]
         made = [r for r in made if r.files]
 
@@ -130,7 +158,7 @@ class Store:
         return self.commit(change)
 
     def tiers(self, runs: tuple[Run, ...]) -> list[list[Run]]:
-        """Runs of similar size, from small to large; files of the target size or more are as they should be."""
+        """Runs of similar size, from small to large."""
         found: list[list[Run]] = []
         for r in sorted(runs, key=lambda r: r.bytes):
             if found:
@@ -165,7 +193,7 @@ class Store:
 
     def rows(self, manifest: Manifest, runs: list[Run] | tuple[Run, ...]) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(manifest.schema)) if manifest.schema else T.StructType([])
-        paths = [f"{self.root}/{r.name}/{x}" for r in runs for x in r.files]
+        paths = [f"{self.root}/{r.name}" for r in runs]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -173,15 +201,29 @@ class Store:
         m = self.manifest(version)
         return self.rows(m, m.runs)
 
-    def vacuum(self) -> None:
-        """Removes the folders that the newest manifest doesn't list; no writer may be at work."""
-        live = {r.name for r in self.manifest().runs}
+    def vacuum(self, grace: float = GRACE) -> None:
+        """Removes what no reader or writer of the last ``grace`` seconds can need.
+
+        That is every folder that is as old and that neither the newest manifest
+        lists nor one that was the newest within that time, and the manifests
+        before these. With no grace, no reader or writer may be at work.
+        """
+        until = time.time() - grace
+        written = {s.getPath().getName(): s.getModificationTime() / 1000 for s in self.fs.listStatus(self.path("manifests"))} if self.fs.exists(self.path("manifests")) else {}
+        names = self.versions()
+        # a manifest was the newest until the next one came
+        kept = [x for x, later in zip(names, [*names[1:], None]) if later is None or grace > 0 and written[later] >= until]
+        live = {r.name for x in kept for r in self.manifest(int(x.removesuffix(".json"))).runs}
+        old = lambda folder: grace <= 0 or self.fs.getFileStatus(self.path(folder)).getModificationTime() / 1000 < until
         for top in self.names("data"):
             below = self.names(f"data/{top}")
             parts = [f"data/{top}/{x}" for x in below if "=" in x] or [f"data/{top}"]
-            dead = [p for p in parts if p not in live]
+            dead = [p for p in parts if p not in live and old(p)]
             for p in [f"data/{top}"] if len(dead) == len(parts) else dead:
                 self.fs.delete(self.path(p), True)
+        for x in names:
+            if x not in kept:
+                self.fs.delete(self.path(f"manifests/{x}"), False)
 
 
 def compacted(rows: DataFrame, root: str, arrivals: int, key: Column, target: int = TARGET) -> DataFrame:
@@ -193,5 +235,5 @@ def compacted(rows: DataFrame, root: str, arrivals: int, key: Column, target: in
     store = Store(rows.sparkSession, root)
     store.append(rows, F.pmod(F.xxhash64(key), F.lit(arrivals)).cast("int"))
     store.compact(target)
-    store.vacuum()
+    store.vacuum(grace=0)  # nothing else knows the store yet
     return store.read()
