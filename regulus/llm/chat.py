@@ -59,16 +59,19 @@ MAPPINGS = (
 )
 
 
-def paths(value, at: str = "") -> Iterator[str]:
-    """The paths of the leaves; a field that is null has none."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from paths(v, f"{at}.{k}" if at else k)
-    elif isinstance(value, list):
-        for v in value:
-            yield from paths(v, at + "[]")
-    elif value is not None:
-        yield at
+def paths(record) -> set[str]:
+    """The paths of all fields, whether they hold a text, null or more fields; ``[]`` stands for the elements of a list."""
+    found: set[str] = set()
+    open_ = [(record, "")]
+    while open_:
+        value, at = open_.pop()
+        if at:
+            found.add(at)
+        if isinstance(value, dict):
+            open_ += [(v, f"{at}.{k}" if at else k) for k, v in value.items()]
+        elif isinstance(value, list):
+            open_ += [(v, at + "[]") for v in value]
+    return found
 
 
 def fingerprint(fields: frozenset[str]) -> str:
@@ -81,13 +84,28 @@ def get(value, path: str):
     return value
 
 
+def valid(text: str) -> str:
+    """The text with the replacement sign for each half of a pair that stands alone."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def text_of(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A text; the texts of a list of parts one after the other; anything else as JSON."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return valid(value)
+    if isinstance(value, list):
+        parts = [x.get("text") if isinstance(x, dict) else x for x in value]
+        if all(isinstance(x, str) for x in parts):
+            return valid("".join(parts))
+    return valid(json.dumps(value, ensure_ascii=False))
 
 
 def turns(record: dict, how: Mapping) -> Iterator[tuple[str, str]]:
     roles = dict(how.roles)
-    for part in get(record, how.each) or [] if how.each else [record]:
+    parts = get(record, how.each) if how.each else [record]
+    for part in parts if isinstance(parts, list) else []:
         for role, path in how.turns:
             said = text_of(get(part, path))
             if role.startswith("@"):
@@ -97,12 +115,25 @@ def turns(record: dict, how: Mapping) -> Iterator[tuple[str, str]]:
             yield roles.get(role, role), said
 
 
+def read(raw: str | None) -> dict | None:
+    """The record, if the text is a JSON object that can be held."""
+    try:
+        record = json.loads(raw or "null")
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
 def canonical(records: DataFrame, payload: str, keep: Sequence[str], mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """``keep``, ``layout``, ``fingerprint``, ``part``, ``role`` and ``text``: a row for each turn of each JSON record.
 
     A record that is no JSON object, or whose layout no mapping fits, gives one
-    row with null part, role and text, so that nothing is lost unseen. A null
-    text or role in a turn counts as empty.
+    row with null layout, part, role and text, so that nothing is lost unseen;
+    one that is nested too deeply to be read counts as no object. A record
+    without turns, as an empty list of messages, gives one row with its layout.
+    A null or missing text or role in a turn counts as empty, a list of parts
+    as their texts together; halves of surrogate pairs become the replacement
+    sign. Texts of any length are read whole. Other columns are not looked at.
     """
     keep, mappings = list(keep), tuple(mappings)
 
@@ -112,18 +143,18 @@ def canonical(records: DataFrame, payload: str, keep: Sequence[str], mappings: S
             at: list[int] = []
             rows: list[tuple] = []
             for i, raw in enumerate(b.column(len(keep))):
-                try:
-                    record = json.loads(raw.as_py() or "null")
-                except ValueError:
-                    record = None
-                fields = frozenset(paths(record)) if isinstance(record, dict) else frozenset()
+                record = read(raw.as_py())
+                fields = frozenset(paths(record)) if record is not None else frozenset()
                 print_ = fingerprint(fields)
                 if print_ not in chosen:
-                    chosen[print_] = next((m for m in mappings if m.needs <= fields), None)
-                    if len(chosen) > 10_000:
-                        chosen = {print_: chosen[print_]}
+                    if len(chosen) >= 10_000:
+                        chosen.clear()
+                    chosen[print_] = next((m for m in mappings if m.needs <= fields or m.each and get(record, m.each) == []), None) if fields else None
                 how = chosen[print_]
-                made = list(turns(record, how)) if how else []
+                try:
+                    made = list(turns(record, how)) if how else []
+                except RecursionError:
+                    made, how = [], None
                 for k, (role, said) in enumerate(made):
                     at.append(i)
                     rows.append((how.name, print_, k, role, said))
@@ -171,35 +202,41 @@ def conversations(records: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     Turns are in the order of ``turn`` (null first); of equal ones, in that of
     role and text. Null roles and texts count as empty; rows without a
     conversation id are one conversation; rows that repeat are turns each. A
-    record that no mapping fits is not a turn. An empty table gives an empty
-    result.
+    record without turns adds none, and neither does one that no mapping fits,
+    which is counted in ``n_unread``; a conversation of such records alone has
+    no turns. Conversations and texts may be of any length: a task holds one
+    turn at a time. Other columns are not looked at. An empty table gives an
+    empty result.
     """
     named = records.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(payload).alias("payload"))
-    turn_rows = canonical(named, "payload", ["conv_id", "turn"]).where("part is not null")
-    back = read_back(rendered(turn_rows).select("conv_id", "turn", "part", "formatted", "loss_start", "loss_end"))
-    rows = back.select("conv_id", "turn", "part", "role", "text", "learned", F.length("formatted").cast("long").alias("n"))
+    turn_rows = canonical(named, "payload", ["conv_id", "turn"])
+    back = read_back(rendered(turn_rows).select("conv_id", "turn", "part", F.col("layout").isNull().alias("unread"), "formatted", "loss_start", "loss_end"))
+    rows = back.select("conv_id", "turn", "part", "role", "text", "learned", F.length("formatted").cast("long").alias("n"), "unread")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "part")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = (rows.schema["conv_id"].dataType.simpleString(), "long", "string", "long", "string", "long")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unread"]
+    kinds = (rows.schema["conv_id"].dataType.simpleString(), "long", "string", "long", "string", "long", "long")
 
     def each(batches):
         state = None
 
         def done() -> list[tuple]:
-            return [(state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])] if state else []
+            return [(state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6])] if state else []
 
         def batch(out: list[tuple], kind) -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=names)
+            cols = list(zip(*out)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=names)
 
         kind = pa.int64()
         for b in batches:
             out: list[tuple] = []
             kind = b.column(0).type
-            for conv, role, said, learned, n in zip(*[b.column(k).to_pylist() for k in (0, 3, 4, 5, 6)]):
+            for conv, role, said, learned, n, unread in zip(*[b.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7)]):
                 if state is None or state[0] != conv:
                     out += done()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if n is None:
+                    state[6] += unread
+                    continue
                 state[1] += 1
                 state[2].update(f"{role}\n{said}\n".encode())
                 state[3] += len(learned or "")
@@ -213,5 +250,24 @@ def conversations(records: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
 
 def of_rows(rows: DataFrame, role: str = "role", text: str = "text", keep: Sequence[str] = ("conv_id", "turn")) -> DataFrame:
-    """Rows of a table of turns as records of one turn each."""
-    return rows.select(*keep, F.to_json(F.struct(F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))).alias("payload"))
+    """Rows of a table of turns as records of one turn each, in one of five layouts drawn by a hash of ``keep``.
+
+    Roles that a layout has other names for are written by these; a role that
+    is such a name itself is written in a layout that leaves it as it is.
+    """
+    r, t = F.coalesce(F.col(role), F.lit("")), F.col(text)
+    foreign = r.isin("human", "gpt", "bot")
+    called = lambda user, assistant: F.when(r == "user", user).when(r == "assistant", assistant).otherwise(r)
+    json_of = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    layouts = [
+        json_of(F.struct(r.alias("role"), t.alias("text"))),
+        json_of(F.struct(F.array(F.struct(r.alias("role"), t.alias("content"))).alias("messages"))),
+        json_of(F.struct(F.array(F.struct(called("human", "gpt").alias("from"), t.alias("value"))).alias("conversations"))),
+        json_of(F.struct(F.array(F.struct(called("human", "bot").alias("speaker"), t.alias("text"))).alias("dialog"))),
+        json_of(F.struct(F.array(F.struct(r.alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.coalesce(t, F.lit("")).alias("text"))).alias("content"))).alias("messages"))),
+    ]
+    drawn = F.when(foreign, F.lit(0)).otherwise(F.pmod(F.xxhash64(*keep), F.lit(len(layouts))).cast("int"))
+    payload = F.when(drawn == 0, layouts[0])
+    for k, layout in enumerate(layouts[1:], 1):
+        payload = payload.when(drawn == k, layout)
+    return rows.select(*keep, payload.alias("payload"))
