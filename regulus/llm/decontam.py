@@ -1,12 +1,14 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units of a text become typed placeholders, so that a
-question asked again with other values has the same template. Windows of
-template words of the benchmark and of the documents are joined by hash; where
-enough of an item's windows lie in a document, the values behind the aligned
-placeholders are compared: one value of the item must stand for one value of
-the document throughout. Items with too few windows that say something, such as
-sums, titles and short questions, are searched for word for word.
+question asked again with other values has the same template. A second template
+leaves names as they are, in lower case, so that copies in other letter case
+are met, too. Windows of template words of the benchmark and of the documents
+are joined by hash; where enough of an item's windows lie in a document, the
+values behind the aligned placeholders are compared: one value of the item must
+stand for one value of the document throughout. Items with too few windows that
+say something, such as sums, titles and short questions, are searched for word
+for word.
 
 Everything is a DataFrame expression; no Python runs on the executors.
 """
@@ -16,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, small, whole_text
+from regulus.llm.common import cut, identity, small, whole_text
 
 #: Words to a window; share of an item's windows a document must hold; share of aligned slots that must be consistent.
 WINDOW, COVERAGE, CONSISTENCY = 8, 0.5, 0.75
 #: Items with fewer template words than this can't be told from chance by their template, and items with fewer windows hang on one word: they are searched for word for word.
 SHORTEST, FEWEST = 4, 2
-#: The benchmark's windows are broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: The benchmark's window hashes are broadcast up to this many rows (16 bytes each), and its windows with what they belong to up to so many (64 bytes each); beyond them the joins shuffle.
+BROADCAST_ROWS, BROADCAST_WINDOWS = 2_000_000, 400_000
 
 #: Units of measure, as written after a number (fixed values).
 UNITS = (
@@ -53,28 +55,42 @@ def plain(text: Column) -> Column:
     return F.when(has_digit, F.regexp_replace(inside, r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", " ")).otherwise(t)
 
 
-def masked(plain_text: Column) -> Column:
-    """A placeholder for each number, for each unit after a number and for each capitalised word that isn't a function word.
+def typed(text: Column) -> Column:
+    """A placeholder for each unit after a number and for each number, in a text in lower case."""
+    units = F.regexp_replace(text, r"(?<![0-9a-z])([0-9]++[ \n]?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![a-z0-9])", f"$1 {UNIT}")
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(units, r"(?<![a-z0-9\x01])[0-9]++(?![a-z])", NUMBER)).otherwise(text)
+
+
+def named(plain_text: Column) -> Column:
+    """The text in lower case, with a placeholder for each capitalised word that isn't a function word.
 
     What stands before a capitalised word makes no difference, so a text has
     the same template at the beginning of a sentence and inside one.
     """
     known = "|".join(dict.fromkeys(w.capitalize() for w in FUNCTION_WORDS if len(w) > 1))
-    named = F.regexp_replace(plain_text, rf"(?<![0-9A-Za-z])(?!(?:{known})(?![A-Za-z]))[A-Z][a-z]++(?![A-Za-z])", NAME)
-    counted = F.regexp_replace(F.regexp_replace(named, r"(?<![0-9A-Za-z])([0-9]++[ \n]?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![A-Za-z0-9])", f"$1 {UNIT}"), r"(?<![A-Za-z0-9\x01])[0-9]++(?![A-Za-z])", NUMBER)
-    return F.when(plain_text.rlike("[0-9]"), counted).otherwise(named)
+    return F.lower(F.regexp_replace(plain_text, rf"(?<![0-9A-Za-z])(?!(?:{known})(?![A-Za-z]))[A-Z][a-z]++(?![A-Za-z])", NAME))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
+    """The words of a text in lower case."""
+    return F.filter(F.split(text, GAP), lambda w: w != "")
+
+
+def hashed(some: Column) -> Column:
+    return F.transform(some, lambda w: F.xxhash64(w))
+
+
+def window_hash(hashes: Column, i: Column, n: Column | int, sign: int = 1) -> Column:
+    """The hash of ``n`` words from place ``i`` on; the sign tells templates (1) from words as written (-1)."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.xxhash64(sign * n, F.slice(hashes, i + 1, n))
 
 
-def windows(template: Column, lengths: list[int], sign: int = 1) -> Column:
-    """``array<struct<at, h>>`` of the windows of each length; the sign tells templates (1) from words as written (-1)."""
+def windows(hashes: Column, lengths: list[int], sign: int = 1) -> Column:
+    """``array<struct<at, h>>`` of the windows of each length."""
     def of(n: int) -> Column:
-        at = F.sequence(F.lit(0), F.size(template) - n)
-        made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(sign * n), F.slice(template, i + 1, n)).alias("h")))
-        return F.when(F.size(template) >= n, made).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+        made = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.struct(i.alias("at"), window_hash(hashes, i, n, sign).alias("h")))
+        return F.when(F.size(hashes) >= n, made).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
     return F.concat(*[of(n) for n in lengths])
 
@@ -85,68 +101,77 @@ def bare(window: Column) -> Column:
 
 
 def items(benchmark: DataFrame, text: str, id_column: str, window: int) -> DataFrame:
+    """``(item_id, raw, tpl, n)``: both templates of each item, once if they are the same, and the words to a window."""
     t = benchmark.select(F.col(id_column).alias("item_id"), plain(whole_text(text)).alias("p")).where("item_id is not null")
-    t = t.select("item_id", words(F.col("p")).alias("raw"), words(masked(F.col("p"))).alias("tpl")).where(F.size("tpl") > 0)
+    t = t.select("item_id", words(F.lower("p")).alias("raw"), F.explode(F.array(words(typed(named(F.col("p")))), words(typed(F.lower("p"))))).alias("tpl")).where(F.size("tpl") > 0)
     return t.dropDuplicates(["item_id", "tpl", "raw"]).withColumn("n", F.least(F.lit(window), F.size("tpl")))
 
 
 def literal(every: DataFrame, totals: DataFrame, window: int) -> DataFrame:
-    """``(item_id, variant, ipos, n, h)``: windows of the words as written, of items whose template has too few."""
-    told = totals.where(F.col("item_windows") >= FEWEST).select("item_id", "variant")
-    rest = every.withColumn("variant", F.xxhash64("tpl")).join(told, ["item_id", "variant"], "left_anti")
-    rest = rest.select("item_id", "raw", F.least(F.lit(window), F.size("raw")).alias("n")).distinct()
-    at = F.transform(F.sequence(F.lit(0), F.size("raw") - F.col("n")), lambda i: F.slice("raw", i + 1, F.col("n")))
-    return rest.select("item_id", F.xxhash64("raw").alias("variant"), "n", F.posexplode(at).alias("ipos", "win")).select("item_id", "variant", "ipos", "n", F.xxhash64(-F.col("n"), F.col("win")).alias("h"))
-
-
-def word_for_word(hits: DataFrame, exact: DataFrame) -> DataFrame:
-    """The items of ``exact`` whose windows all stand in a text, one after the other."""
-    totals = exact.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"))
-    met = hits.join(exact, "h").groupBy("text_key", "item_id", "variant", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("hit_windows"))
-    whole = met.join(totals, ["item_id", "variant"]).where("hit_windows = item_windows")
+    """``(item_id, variant, ipos, n, h, raw)``: windows of the words as written, of items none of whose templates has enough."""
+    keyed = every.select("item_id", "raw", F.xxhash64("raw").alias("r"), F.xxhash64("tpl").alias("variant"))
+    told = keyed.join(totals.where(F.col("item_windows") >= FEWEST), ["item_id", "variant"], "left_semi").select("item_id", "r").distinct()
+    rest = keyed.join(told, ["item_id", "r"], "left_anti").select("item_id", "raw", "r", F.least(F.lit(window), F.size("raw")).alias("n")).dropDuplicates(["item_id", "raw"])
+    rest = rest.select("item_id", "raw", F.col("r").alias("variant"), "n", hashed(F.col("raw")).alias("hs"))
+    placed = rest.select("item_id", "variant", "raw", "n", "hs", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("n"))).alias("ipos"))
+    return placed.select("item_id", "variant", "ipos", "n", window_hash(F.col("hs"), F.col("ipos"), F.col("n"), -1).alias("h"), "raw")
+
+
+def word_for_word(hits: DataFrame, exact: DataFrame, said: DataFrame) -> DataFrame:
+    """The items of ``exact`` whose windows all stand in a text, one after the other; what they say is compared as well."""
+    totals = exact.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"), F.first("raw").alias("raw"))
+    met = hits.join(exact.drop("raw"), "h").groupBy("text_key", "item_id", "variant", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("hit_windows"))
+    whole = met.join(totals, ["item_id", "variant"]).where("hit_windows = item_windows").join(said, "text_key")
+    whole = whole.where(F.slice("draw", F.col("shift") + 1, F.size("raw")) == F.col("raw"))
     return whole.select("text_key", "item_id", "item_windows", "hit_windows", F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("slot_consistency"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """``(text_key, item_id, item_windows, hit_windows, coverage, slots, slot_consistency)``: the items that a text holds.
 
-    ``text_key`` is the hash of a document's text, so that copies, repeated
-    rows and rows without an id are all met by what they say. Null and empty
-    texts hold nothing; null item ids are left out, and so are items without
-    words. Items of fewer than ``SHORTEST`` template words, or of fewer than
-    ``FEWEST`` windows that say something, are met word for word. Of rows that share an item id each text
-    counts, and the best is returned. Empty tables give an empty result.
+    ``text_key`` is a digest of 128 bits of a document's text, so that copies,
+    repeated rows and rows without an id are all met by what they say. Texts
+    are searched whole, however long. Null and empty texts hold nothing; null
+    item ids are left out, and so are items without words. Windows that are
+    mostly placeholders say nothing; items of fewer than ``SHORTEST`` template
+    words, or of fewer than ``FEWEST`` windows that say something, are met word
+    for word. Letter case makes no difference. Of rows that share an item id,
+    of an item's templates and of equal shares the best is returned, by
+    coverage, consistency and windows, so ties give the same row. Other columns
+    are not looked at. Empty tables give an empty result.
     """
     every = cut(items(benchmark, item_text, item_id, window))
     bench = every.where(F.size("tpl") >= SHORTEST)
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most as many rows as a window has words
     if not lengths:
         lengths = [window]
-    placed = bench.select("item_id", "tpl", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("tpl") - F.col("n")), lambda i: F.slice("tpl", i + 1, F.col("n")))).alias("ipos", "win"), "n").where(~bare(F.col("win")))
-    placed = cut(placed.select("item_id", F.xxhash64("tpl").alias("variant"), "ipos", "n", F.xxhash64(F.col("n"), F.col("win")).alias("h")))
+    placed = bench.select("item_id", "tpl", "n", hashed(F.col("tpl")).alias("hs"), F.explode(F.sequence(F.lit(0), F.size("tpl") - F.col("n"))).alias("ipos")).where(~bare(F.slice("tpl", F.col("ipos") + 1, F.col("n"))))
+    placed = cut(placed.select("item_id", F.xxhash64("tpl").alias("variant"), "ipos", "n", window_hash(F.col("hs"), F.col("ipos"), F.col("n")).alias("h")))
     totals = placed.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"))
     exact = cut(literal(every, totals, window))
     as_written = sorted(r["n"] for r in exact.select("n").distinct().collect())
     known = cut(placed.select("h").union(exact.select("h")).distinct())
     rows = docs.select(whole_text(text).alias("t"))
-    rows = rows.select(F.xxhash64("t").alias("text_key"), plain(F.col("t")).alias("p"))
-    if as_written:
-        rows = rows.select("text_key", words(masked(F.col("p"))).alias("tpl"), words(F.col("p")).alias("raw"))
-        made = F.concat(windows(F.col("tpl"), lengths), windows(F.col("raw"), as_written, -1))
-    else:
-        rows, made = rows.select("text_key", words(masked(F.col("p"))).alias("tpl")), windows(F.col("tpl"), lengths)
-    seen = rows.select("text_key", F.inline(made))
+    rows = rows.select(identity(F.col("t")).alias("text_key"), plain(F.col("t")).alias("p"))
+    low = F.lower("p")
+    rows = rows.select("text_key", hashed(words(typed(named(F.col("p"))))).alias("h1"), hashed(words(typed(low))).alias("h2"), *[hashed(words(low)).alias("h0")] * bool(as_written))
+    made = [windows(F.col("h1"), lengths), windows(F.col("h2"), lengths)] + [windows(F.col("h0"), as_written, -1)] * bool(as_written)
+    seen = rows.select("text_key", F.inline(F.concat(*made)))
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     hits = cut(seen.join(known, "h", "left_semi").select("text_key", F.col("at").alias("dpos"), "h").distinct())
-    met = hits.join(placed, "h").select("text_key", "item_id", "variant", "ipos", "dpos", "n")
+    few = F.broadcast(placed) if placed.count() <= BROADCAST_WINDOWS else placed
+    met = hits.join(few, "h").select("text_key", "item_id", "variant", "ipos", "dpos", "n")
     share = met.groupBy("text_key", "item_id", "variant").agg(F.countDistinct("ipos").alias("hit_windows")).join(totals, ["item_id", "variant"])
     share = share.withColumn("coverage", F.col("hit_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
     share = cut(share)
     # the values behind the aligned placeholders
-    keys = small(share.select("text_key").distinct())
-    texts = docs.select(whole_text(text).alias("t")).select("t", F.xxhash64("t").alias("text_key")).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
-    said = texts.select("text_key", words(plain(F.col("t"))).alias("draw"))
+    asked = share.select("text_key")
+    if as_written:
+        asked = asked.union(hits.join(exact.select("h"), "h", "left_semi").select("text_key"))
+    keys = small(asked.distinct())
+    texts = docs.select(whole_text(text).alias("t")).select("t", identity(F.col("t")).alias("text_key")).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
+    said = texts.select("text_key", words(F.lower(plain(F.col("t")))).alias("draw"))
     pairs = met.join(share.select("text_key", "item_id", "variant"), ["text_key", "item_id", "variant"])
     both = pairs.join(bench.select("item_id", F.xxhash64("tpl").alias("variant"), "raw", "tpl"), ["item_id", "variant"])
     slots = both.select("text_key", "item_id", "variant", "ipos", "dpos", F.explode(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("tpl", F.col("ipos") + j).startswith("\x01"))).alias("j"), "raw")
@@ -158,20 +183,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     judged = share.join(agreed, ["text_key", "item_id", "variant"], "left").select("text_key", "item_id", "item_windows", "hit_windows", "coverage", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("slot_consistency", F.lit(1.0)).alias("slot_consistency"))
     judged = judged.where(F.col("slot_consistency") >= consistency)
     if as_written:
-        judged = judged.unionByName(word_for_word(hits, exact))
+        judged = judged.unionByName(word_for_word(hits, exact, said))
     best = judged.groupBy("text_key", "item_id").agg(F.max(F.struct("coverage", "slot_consistency", "hit_windows", "item_windows", "slots")).alias("b"))
     return cut(best.select("text_key", "item_id", "b.item_windows", "b.hit_windows", "b.coverage", "b.slots", "b.slot_consistency"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
-    """One row for each document and benchmark item it holds; clean documents have none. See :func:`contamination`."""
+    """One row for each document and benchmark item it holds; clean documents have none.
+
+    Rows that repeat have theirs each, null ids stay null, and of the columns
+    of docs only the id comes back. See :func:`contamination` for odd texts.
+    """
     found = contamination(docs, benchmark, text, id_column, **how)
-    keyed = docs.select(F.col(id_column).alias(id_column), F.xxhash64(whole_text(text)).alias("text_key"))
+    keyed = docs.select(F.col(id_column).alias(id_column), identity(whole_text(text)).alias("text_key"))
     some = keyed.join(small(found.select("text_key").distinct()), "text_key", "left_semi")
     return some.join(found, "text_key").drop("text_key")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
-    """The rows that hold no benchmark item, with the columns they came with."""
-    gone = small(contamination(docs, benchmark, text, id_column, **how).select("text_key").distinct())
-    return docs.join(gone, F.xxhash64(whole_text(docs[text])) == gone["text_key"], "left_anti")
+    """The rows that hold no benchmark item, as often and with all the columns they came with, whatever their names.
+
+    See :func:`contamination` for odd texts; rows of null or empty texts stay.
+    """
+    gone = small(contamination(docs, benchmark, text, id_column, **how).select(F.col("text_key").alias("_gone")).distinct())
+    return docs.join(gone, identity(whole_text(docs[text])) == gone["_gone"], "left_anti")

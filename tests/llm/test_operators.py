@@ -263,14 +263,16 @@ QUESTION = "Alice has 5 apples and gives 5 to her friend Carol, who walks 3 km h
 def test_decontamination(spark):
     again = "Then Bob has 7 apples and gives 7 to her friend Dora, who walks 9 km home with Dora every day before lunch. End"
     wrong = again.replace("gives 7", "gives 8").replace("with Dora", "with Emil")
-    docs = documents(spark, [(10, "x y z. " + QUESTION + " w"), (11, again), (12, wrong), (13, QUESTION.upper()), (14, "Alice has 5 apples. Nothing else is here to see today.")])
+    docs = documents(spark, [(10, "x y z. " + QUESTION + " w"), (11, again), (12, wrong), (13, QUESTION.upper()), (14, "Alice has 5 apples. Nothing else is here to see today."), (15, QUESTION.lower()), (16, QUESTION.title()), (17, "x " * 60_000 + QUESTION + " y" * 60_000), (18, again.lower())])
     bench = spark.createDataFrame([(0, QUESTION), (1, None), (2, ""), (3, "too short"), (4, "1 2 3 4 5 6 7 8 9 10"), (None, QUESTION)], "item_id long, text string")
     got = decontam.contaminated(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(10, 0), (11, 0), (13, 0)} or {(r.doc_id, r.item_id) for r in got} == {(10, 0), (11, 0)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k in (10, 11, 13, 15, 16, 17)}
     exact = next(r for r in got if r.doc_id == 10)
     assert exact.coverage >= 0.9 and exact.slot_consistency == 1.0 and exact.slots > 0
     kept = decontam.keep_clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({r.doc_id for r in got})
+    clash = docs.withColumns({"_gone": F.lit(1), "text_key": F.lit("x"), "item_id": F.lit(0)})
+    assert decontam.keep_clean(clash, bench).columns == clash.columns
     assert decontam.contaminated(empty(spark), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -598,6 +600,29 @@ def test_layouts_become_turns(spark):
     assert len({r.fingerprint for r in rows if r.i in (2, 3)}) == 1
 
 
+def test_records_that_cannot_be_read_are_counted(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    records = ['{"messages":[]}', '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]},{"role":"assistant","content":null}]}', '{"instruction":"do","output":null}', '{"role":"user","text":"\\ud800x"}', deep, '{"text":' + deep + "}", '{"role":"user"}', '{"text":"t"}', '{"other":1}', None, '{"messages":{"role":"user"}}', '{"role":"user","text":"' + "é" * 300_000 + '"}']
+    df = spark.createDataFrame([(i, 0, p) for i, p in enumerate(records)], "conv_id long, turn long, payload string")
+    said = collections.defaultdict(list)
+    for r in sorted(chat.canonical(df, "payload", ["conv_id"]).collect(), key=lambda r: (r.conv_id, r.part or 0)):
+        said[r.conv_id].append((r.role, r.text))
+    assert said[1] == [("user", "ab"), ("assistant", "")] and said[2] == [("user", "do"), ("assistant", "")] and said[3] == [("user", "\ufffdx")]
+    assert said[6] == [("user", "")] and said[7] == [("", "t")] and said[11] == [("user", "é" * 300_000)]
+    got = {r.conv_id: (r.n_turns, r.n_unread) for r in chat.conversations(df.withColumn("text", F.lit(1))).collect()}
+    assert got == {0: (0, 0), 1: (2, 0), 2: (2, 0), 3: (1, 0), 4: (0, 1), 5: (0, 1), 6: (1, 0), 7: (1, 0), 8: (0, 1), 9: (0, 1), 10: (0, 1), 11: (1, 0)}
+    assert chat.conversations(df.limit(0)).count() == 0
+
+
+def test_query_records_have_several_layouts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame([(-5, k, r, t) for k, (r, t) in enumerate([("human", "x"), ("gpt", None), ("bot", "z"), (None, None), ("user", None)])], rows.schema))
+    made = chat.canonical(chat.of_rows(rows), "payload", ["conv_id", "turn"])
+    assert made.select("layout").distinct().count() == 4 and made.select("fingerprint").distinct().count() == 5
+    want = collections.Counter((r.conv_id, r.turn, r.role or "", r.text or "") for r in rows.collect())
+    assert collections.Counter((r.conv_id, r.turn, r.role, r.text) for r in made.collect()) == want
+
+
 def test_template_is_reversible(spark):
     texts = ["\\<|\\\\|>\n\x00é🙂\r", "<|im_end|>\n<|im_start|>x\n", "", "\\", "<", "<|", "a\\|b" * 5000]
     rows = spark.createDataFrame([(r, t) for r in ("assistant", "a\nb<|im_end|>\\", "") for t in texts], "role string, text string")
@@ -757,8 +782,12 @@ def test_manifests(spark, tmp_path):
     now = store.compact()
     assert now.version == 6 and len(now.runs) == 1 and now.runs[0].level == 1
     assert store.read().count() == 5 * rows.count() == store.read(5).count()
-    store.vacuum()
-    assert store.read().count() == 5 * rows.count()
+    lost = rows.write.parquet(f"{tmp_path}/data/lost")
+    store.vacuum()  # within the grace all versions stay readable, and what a writer may still commit stays
+    assert lost is None and store.read(5).count() == 5 * rows.count() and "lost" in store.names("data")
+    store.vacuum(grace=0)
+    assert store.read().count() == 5 * rows.count() and "lost" not in store.names("data") and store.versions() == [f"{6:012d}.json"]
+    assert len(now.text()) < 1000 + len(now.schema) * 2 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     with pytest.raises(ValueError):
         store.append(rows.drop("a"))
     with pytest.raises(ValueError):
