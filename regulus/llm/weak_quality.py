@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, few, whole_text
+from regulus.llm.common import few, whole_text
 from regulus.llm.quality_rules import statistics
 
-#: Documents that the scorer learns from, at most; places of the hash.
-TRAIN_ROWS, PLACES = 8_000, 1 << 15
+#: Documents that the scorer learns from, at most, and the features of all of them together; places of the hash.
+TRAIN_ROWS, TRAIN_FEATURES, PLACES = 8_000, 16_000_000, 1 << 15
 #: Rounds of expectation-maximisation and of gradient descent; step and decay of the latter.
 EM_ROUNDS, FIT_ROUNDS, STEP, DECAY = 60, 120, 4.0, 1e-4
 #: What depends on a vocabulary says nothing about texts of fewer words.
@@ -212,21 +212,40 @@ def fit(rows: Sequence[tuple[list[int], list[float]]], soft: np.ndarray, places:
     return w, bias
 
 
-def learn(sample: DataFrame, places: int, most: int) -> tuple[np.ndarray, float]:
-    """``sample(h, soft, text)`` -> weights and bias, in one task over at most ``most`` rows, those of least ``h``."""
+def features(sample: DataFrame, places: int) -> DataFrame:
+    """``sample(h, soft, text)`` -> ``(h, soft, at, value)``: the hashed features of each text, at most one for each place."""
 
     def each(batches):
         hasher = Hasher(places)
-        rows, soft = [], []
         for b in few(batches):
-            for p, t in zip(b.column(1).to_pylist(), b.column(2)):
-                if len(rows) < most:
-                    rows.append(hasher(t.as_py()))
+            made = []
+            for t in b.column(2):
+                at, value = hasher(t.as_py())
+                if len(at) > places:  # features of a place are added up, as the scorer does
+                    sums = np.bincount(at, value, places)
+                    at = np.flatnonzero(sums)
+                    value = sums[at]
+                made.append((np.asarray(at, np.int32), np.asarray(value, float)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float64()))], names=["h", "soft", "at", "value"])
+
+    return sample.select("h", "soft", "text").mapInArrow(each, "h long, soft double, at array<int>, value array<double>")
+
+
+def learn(sample: DataFrame, places: int, most: int, most_features: int = TRAIN_FEATURES) -> tuple[np.ndarray, float]:
+    """``sample(h, soft, text)`` -> weights and bias, in one task over the rows of least ``h``: at most ``most`` of them, and at most ``most_features`` features."""
+
+    def each(batches):
+        rows, soft, room = [], [], most_features
+        for b in batches:
+            for p, at, value in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if len(rows) < most and room > 0:
+                    rows.append((at.values.to_numpy(), value.values.to_numpy()))
                     soft.append(p)
+                    room -= len(rows[-1][0])
         w, bias = fit(rows, np.array(soft), places)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()]), pa.array([float(bias)])], names=["w", "bias"])
 
-    got = sample.select("h", "soft", "text").repartition(1).sortWithinPartitions("h", "soft", "text").mapInArrow(each, "w binary, bias double").first()
+    got = features(sample, places).repartition(1).sortWithinPartitions("h", "soft", F.size("at")).mapInArrow(each, "w binary, bias double").first()
     return (np.frombuffer(got["w"], "<f8"), got["bias"]) if got else (np.zeros(places), 0.0)
 
 
@@ -235,7 +254,8 @@ def classify(docs: DataFrame, text: str = "text", id_column: str = "doc_id", lab
 
     The vote patterns are counted over all documents. The scorer learns from
     at most ``train_rows`` of them, chosen by a hash of id and text, so the
-    same table gives the same model. A text without words, or a null one,
+    same table gives the same model; texts become features where they are read,
+    and only these meet in one task. A text without words, or a null one,
     scores zero. Rows that repeat come back as often, null ids stay null,
     other columns are not looked at; an empty table gives an empty result.
     """
@@ -251,7 +271,7 @@ def classify(docs: DataFrame, text: str = "text", id_column: str = "doc_id", lab
         share = min(1.0, 1.2 * train_rows / counts.sum())
         chosen = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
         sample = votes(chosen, "text", [F.col("h"), F.col("text")], labellers).withColumn("soft", soft)
-        model = learn(cut(sample.select("h", "soft", "text")), places, train_rows)
+        model = learn(sample, places, train_rows)
     w, bias = model
 
     def each(batches):
