@@ -23,6 +23,8 @@ from regulus.operators import clean
 TABLE, CANDIDATE, PROMOTED = 0.55, 0.50, 0.45
 #: Window of lines; look-ahead of a paragraph; lines that a table may grow on either side; a shorter line is short.
 WINDOW_LEAST, WINDOW_MOST, AHEAD, GROW, SHORT = 5, 8, 5, 10, 50
+#: Blocks that the rows of one key are cut into, where a key may hold a large share of a table.
+BLOCKS_OF_A_KEY = 64
 #: A short table chunk may be a fragment of its neighbour's table.
 FRAGMENT, UNKNOWN = 50, "unknown_fragment"
 LABELS = ("3급승진제외", "3급승진")
@@ -247,13 +249,51 @@ def label(section_type: Column, content: Column, char_count: Column) -> Column:
     return F.when(F.contains(bare, F.lit(LABELS[0])), LABELS[0]).when(F.contains(bare, F.lit(LABELS[1])) & ~F.contains(bare, F.lit("제외")), LABELS[1]).when((section_type == "table_rows") & (char_count < FRAGMENT), UNKNOWN)
 
 
-def propagate(rows: DataFrame, key: list[str], order: str, value: str, is_open: Column, out: str) -> DataFrame:
-    """Adds ``out``: the value, or where the row is open the nearest one before it that is not, else the nearest after, else its own."""
-    w = Window.partitionBy(*key).orderBy(order)
+def block_of(rows: DataFrame, order: str, blocks: int) -> Column:
+    """The number of the block that a row's ``order`` falls in, of about as many rows each: bounds are that many quantiles of the table."""
+    bounds = rows.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10_000).alias("b")).first()["b"] or []
+    kind = rows.schema[order].dataType
+    at = sum((F.coalesce((F.col(order) > F.lit(x).cast(kind)).cast("int"), F.lit(0)) for x in sorted(set(bounds))), F.lit(0))
+    return at.cast("int")
+
+
+def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Rows of both sides agree on the names, nulls among them."""
+    found = F.lit(True)
+    for n in names:
+        found = found & left[n].eqNullSafe(right[n])
+    return found
+
+
+def propagate(rows: DataFrame, key: list[str], order: str, value: str, is_open: Column, out: str, blocks: int | None = None) -> DataFrame:
+    """Adds ``out``: the value, or where the row is open the nearest one before it that is not, else the nearest after, else its own.
+
+    Rows of a key meet in one window. Where a key may hold a large share of a
+    table, ``blocks`` cuts it by quantiles of ``order``: windows are as long as
+    a block, and what stands before and after it is carried in from a table of
+    blocks. Of equal places in different blocks there are none, as a block is a
+    range of places.
+    """
     known = F.when(~is_open, F.col(value))
-    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn(out, F.when(is_open, F.coalesce(before, after, F.col(value))).otherwise(F.col(value)))
+    if blocks is None:
+        w = Window.partitionBy(*key).orderBy(order)
+        before, after = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        return rows.withColumn(out, F.when(is_open, F.coalesce(before, after, F.col(value))).otherwise(F.col(value)))
+    placed = rows.withColumn("_b", block_of(rows, order, blocks))
+    ends = placed.where(known.isNotNull()).groupBy(*key, "_b").agg(F.max(F.struct(order, value))[value].alias("_last"), F.min(F.struct(order, value))[value].alias("_first"))
+    every = placed.select(*key, "_b").distinct()
+    told = every.join(ends, same(every, ends, [*key, "_b"]), "left").select(*[every[k] for k in [*key, "_b"]], "_last", "_first")
+    ws = Window.partitionBy(*key).orderBy("_b")
+    carried = told.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_b").alias("_kb"), F.last("_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"), F.first("_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias("_out"))
+    w = Window.partitionBy(*key, "_b").orderBy(order)
+    before, after = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    local = placed.withColumns({"_before": before, "_after": after, "_known": known})
+    on = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = local.join(carried, on)
+    filled = F.when(is_open, F.coalesce("_before", "_in", "_after", "_out", F.col(value))).otherwise(F.col(value))
+    return joined.withColumn(out, filled).select(*rows.columns, out) if out not in rows.columns else joined.withColumn(out, filled).select(*rows.columns)
 
 
 def regroup(annex_chunks: DataFrame, id_column: str = "doc_id", strict_parity: bool = False) -> DataFrame:
@@ -278,12 +318,27 @@ def regroup(annex_chunks: DataFrame, id_column: str = "doc_id", strict_parity: b
     return others.select(merged.columns).unionByName(merged)
 
 
-def merge_intervals(rows: DataFrame, key: str, start: str, end: str, score: str) -> DataFrame:
-    """Intervals of a key that overlap or touch become one, with the largest score: ``key, start, end, score, merged``."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col(start) <= reach + 1, 0).otherwise(1)
-    runs = rows.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merge_intervals(rows: DataFrame, key: str, start: str, end: str, score: str, blocks: int | None = None) -> DataFrame:
+    """Intervals of a key that overlap or touch become one, with the largest score: ``key, start, end, score, merged``.
+
+    ``blocks`` cuts the rows of a key by quantiles of ``start``, as
+    :func:`propagate` does: the reach and the number of runs so far are carried
+    into a block from a table of blocks.
+    """
+    if blocks is None:
+        w = Window.partitionBy(key).orderBy(start, end)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        runs = rows.withColumn("_apart", F.when(F.col(start) <= reach + 1, 0).otherwise(1)).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        placed = rows.withColumn("_b", block_of(rows, start, blocks))
+        ws = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        ends = placed.groupBy(key, "_b").agg(F.max(end).alias("_e")).select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.max("_e").over(ws).alias("_in"))
+        w = Window.partitionBy(key, "_b").orderBy(start, end)
+        on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))
+        reach = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_in"))
+        local = placed.join(ends, on).withColumn("_apart", F.when(F.col(start) <= reach + 1, 0).otherwise(1)).drop("_k", "_kb")
+        before = local.groupBy(key, "_b").agg(F.sum("_apart").alias("_n")).select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(ws), F.lit(0)).alias("_runs"))
+        runs = local.join(before, on).withColumn("_run", F.col("_runs") + F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.count(F.lit(1)).alias("merged")).drop("_run")
 
 

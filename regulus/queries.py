@@ -190,14 +190,14 @@ def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint").alias("s"), "l_quantity", "l_linenumber")
     rows = rows.select("l_suppkey", "s", (F.col("s") + F.col("l_linenumber")).cast("bigint").alias("e"), "l_quantity")
-    return annex.merge_intervals(rows, "l_suppkey", "s", "e", "l_quantity")
+    return annex.merge_intervals(rows, "l_suppkey", "s", "e", "l_quantity", blocks=annex.BLOCKS_OF_A_KEY)
 
 
 @query
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     is_open = F.col("event_type").isin("view", "click")
-    return annex.propagate(rows, ["user_id"], "event_id", "event_type", is_open, "label").select("event_id", "user_id", "label")
+    return annex.propagate(rows, ["user_id"], "event_id", "event_type", is_open, "label", blocks=annex.BLOCKS_OF_A_KEY).select("event_id", "user_id", "label")
 
 
 @query
@@ -267,9 +267,13 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.statistics(tables.completed(structure.annex(corpus.documents(spark, sf_dir)), "annex_content"))
 
 
+def pieces_shown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", long("chunk_index").alias("chunk_index"), "type", "boundary", "title", long("pos").alias("pos"), md5("content").alias("content_md5"), long("char_count").alias("char_count"))
+
+
 @query
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.pieces(corpus.documents(spark, sf_dir))
+    return pieces_shown(chunking.pieces(corpus.documents(spark, sf_dir)))
 
 
 @query
@@ -286,8 +290,7 @@ def chapter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("content"))
-    rows = rows.groupBy("conv_id", "turn").agg(F.min("content").alias("content"))
-    out = chunking.merge_fragments(rows, "conv_id", "turn")
+    out = chunking.merge_fragments(rows.withColumn("place", F.struct("turn", "content")), "conv_id", "place")
     return out.select("conv_id", "turn", md5("content").alias("content_md5"), long("char_count").alias("char_count"))
 
 
@@ -298,7 +301,7 @@ def loose_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def semantic_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.semantic(corpus.documents(spark, sf_dir))
+    return pieces_shown(chunking.semantic(corpus.documents(spark, sf_dir)))
 
 
 @query
