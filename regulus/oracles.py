@@ -167,6 +167,38 @@ PIECES = (
     f"whl AS (SELECT n.doc_id, n.pos, n.rank, n.type, n.boundary, n.title, {strip("substring(l.text, n.pos::BIGINT + 1, coalesce(n.upto, length(l.text))::BIGINT - n.pos::BIGINT)")} AS content FROM nxt n JOIN lb l ON l.doc_id = n.doc_id)",
     "pcs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, rank) AS chunk_index FROM whl WHERE length(content) >= 100)",
 )
+#: The annexes of the corpus are short enough to be one block each, which its text makes a table; the walk over longer ones has tests of its own.
+ANNEX_BLOCKS = (
+    *FEATURES,
+    r"blk AS (SELECT b.*, f.digit_density, f.short_line_ratio, f.header_hint, 0.4 * digit_density + 0.3 * short_line_ratio + CASE WHEN header_hint THEN 0.1 ELSE 0.0 END - CASE WHEN short_line_ratio < 0.3 THEN 0.05 ELSE 0.0 END AS score FROM body b JOIN feat f ON f.doc_id = b.doc_id AND f.annex_index = b.annex_index)",
+    rf"""knd AS (SELECT *, CASE WHEN score >= 0.55 OR len(list_filter(bl[1:5], lambda x: len(list_filter({HINTS}, lambda w: contains(replace(x, ' ', ''), w))) > 0)) > 0
+      AND (len(list_filter(bl, lambda x: regexp_matches(x, '^\s*\d+\.\s+'))) >= 2 OR score >= 0.45 OR len(list_filter(bl, lambda x: regexp_matches(trim(x), '^[1-9]급'))) > 0) THEN 'table_rows' ELSE 'paragraph' END AS kind FROM blk)""",
+)
+ANNEX_CHUNKS = (
+    *ANNEX_BLOCKS,
+    r"""plc AS (SELECT *, list_filter(range(len(bl)), lambda i: regexp_matches(replace(bl[i + 1], ' ', ''), '임용하고자|서열명부|직급|응시자격')) AS hd, list_filter(range(len(bl)), lambda i: regexp_matches(bl[i + 1], '^\*?\s*(비고|주|註|note|임용하고자)')) AS nt FROM knd)""",
+    "cts AS (SELECT *, CASE WHEN kind = 'table_rows' THEN list_sort(list_distinct(list_filter(list_concat(hd[2:], list_transform(nt, lambda i: i + 1)), lambda i: i > 0 AND i < len(bl)))) ELSE [] END AS c FROM plc)",
+    "prt AS (SELECT doc_id, annex_index, annex_no, header, kind, k, k = len(c) AS last, bl[coalesce(c[k], 0) + 1 : coalesce(c[k + 1], len(bl))] AS ls FROM (SELECT *, unnest(range(len(c) + 1)) AS k FROM cts))",
+    r"nts AS (SELECT *, CASE WHEN last THEN list_filter(range(len(ls)), lambda i: regexp_matches(trim(ls[i + 1]), '^\*\s*(.+)$'))[1] END AS nix FROM prt)",
+    f"""pcsx AS (
+      SELECT DISTINCT doc_id, annex_index, annex_no, -1 AS k, 0 AS h, 'header' AS section_type, header AS content FROM nts
+      UNION ALL SELECT doc_id, annex_index, annex_no, k, 0, kind, {strip("array_to_string(CASE WHEN nix IS NULL THEN ls ELSE ls[1:nix] END, chr(10))")} FROM nts
+      UNION ALL SELECT doc_id, annex_index, annex_no, k, 1, 'note', {strip("array_to_string(ls[nix + 1:], chr(10))")} FROM nts WHERE nix IS NOT NULL)""",
+    "achk AS (SELECT doc_id, annex_index, annex_no, row_number() OVER (PARTITION BY doc_id, annex_index ORDER BY k, h) - 1 AS chunk_order, section_type, content, length(content) AS char_count FROM pcsx WHERE content <> '')",
+)
+ANNEX_LOSS = (
+    *ANNEX_CHUNKS,
+    "los AS (SELECT c.doc_id, length(c.t) AS total_chars, coalesce(sum(a.char_count), 0) AS kept_chars, count(a.content) AS chunk_count, coalesce(bool_or(a.section_type = 'header'), false) AS has_header, coalesce(bool_or(a.section_type <> 'header'), false) AS has_content FROM canon c LEFT JOIN achk a ON a.doc_id = c.doc_id GROUP BY c.doc_id, c.t)",
+    "vld AS (SELECT *, CASE WHEN total_chars = 0 THEN 0.0 ELSE greatest(total_chars - kept_chars, 0)::DOUBLE / total_chars END <= 0.03 AS is_valid FROM los)",
+    """afb AS (SELECT a.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY annex_index, chunk_order) AS annex_order, section_type, content, false AS is_fallback FROM achk a JOIN vld v ON v.doc_id = a.doc_id AND v.is_valid
+      UNION ALL SELECT n.doc_id, 1, 'whole', n.content, true FROM ann n JOIN vld v ON v.doc_id = n.doc_id AND NOT v.is_valid)""",
+)
+REGROUPED = (
+    *ANNEX_CHUNKS,
+    "own AS (SELECT *, CASE WHEN contains(regexp_replace(content, '[ \n]', '', 'g'), '3급승진제외') THEN '3급승진제외' WHEN contains(regexp_replace(content, '[ \n]', '', 'g'), '3급승진') AND NOT contains(regexp_replace(content, '[ \n]', '', 'g'), '제외') THEN '3급승진' WHEN char_count < 50 THEN '?' END AS label FROM achk WHERE section_type = 'table_rows')",
+    """spr AS (SELECT *, CASE WHEN label = '?' THEN coalesce(last_value(nullif(label, '?') IGNORE NULLS) OVER (PARTITION BY doc_id, annex_index ORDER BY chunk_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      first_value(nullif(label, '?') IGNORE NULLS) OVER (PARTITION BY doc_id, annex_index ORDER BY chunk_order ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) ELSE label END AS table_label FROM own)""",
+)
 RULE = "repeat('=', 60)"
 SUMMARY = f"""concat_ws(chr(10), {RULE}, '문서명: ' || title, {RULE}, '', '[처리 결과]', '- PDF 텍스트: ' || format('{{:,}}', source_chars) || '자', '- 처리 텍스트: ' || format('{{:,}}', processed_chars) || '자',
   '- 총 장: ' || chapters || '개', '- 총 조문: ' || articles || '개', '- 개정이력: ' || amendments || '건', '- 청크: ' || chunks || '개', '', '[QA 결과]',
@@ -211,6 +243,21 @@ SQL = {
       SELECT l_suppkey, min(s) AS s, max(e) AS e, max(l_quantity) AS l_quantity, count(*) AS merged FROM z GROUP BY l_suppkey, run""",
     "label_propagation": """SELECT event_id, user_id, CASE WHEN open THEN coalesce(last_value(known IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(known IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), event_type) ELSE event_type END AS label FROM (
       SELECT event_id, user_id, event_type, event_type IN ('view', 'click') AS open, CASE WHEN event_type NOT IN ('view', 'click') THEN event_type END AS known FROM events)""",
+    "annex_blocks": cte(*ANNEX_BLOCKS) + 'SELECT doc_id, CAST(annex_index AS BIGINT) AS annex_index, 0::BIGINT AS block_order, kind, 0::BIGINT AS start, CAST(len(bl) AS BIGINT) AS "end", round(score, 6) AS score FROM knd',
+    "annex_chunks": cte(*ANNEX_CHUNKS) + "SELECT doc_id, CAST(annex_index AS BIGINT) AS annex_index, annex_no, chunk_order, section_type, content, CAST(char_count AS BIGINT) AS char_count FROM achk",
+    "validate_subchunks": cte(*ANNEX_LOSS) + "SELECT doc_id, CAST(total_chars AS BIGINT) AS total_chars, CAST(kept_chars AS BIGINT) AS kept_chars, chunk_count, is_valid, has_header, has_content, CASE WHEN is_valid THEN 'ok' ELSE 'loss' END AS reason FROM vld",
+    "annex_fallback_chunks": cte(*ANNEX_LOSS) + "SELECT doc_id, annex_order, section_type, content, is_fallback FROM afb",
+    "logical_regroup": cte(*REGROUPED)
+    + """SELECT doc_id, CAST(annex_index AS BIGINT) AS annex_index, annex_no, chunk_order, section_type, content, CAST(char_count AS BIGINT) AS char_count, NULL AS table_label, 1::BIGINT AS merged_count FROM achk WHERE section_type <> 'table_rows'
+      UNION ALL SELECT doc_id, CAST(annex_index AS BIGINT), annex_no, min(chunk_order), 'table_rows', string_agg(content, chr(10) ORDER BY chunk_order), CAST(sum(char_count) AS BIGINT), any_value(table_label), count(*) FROM spr GROUP BY doc_id, annex_index, annex_no, coalesce(table_label, '#' || chunk_order)""",
+    "chunks_with_tables": cte(
+        *CHUNKS, *[x for x in ANNEX_LOSS if x not in CHUNKS],
+        r"rwx AS (SELECT *, CASE WHEN section_type = 'table_rows' AND NOT is_fallback THEN regexp_extract_all(content, '(?m)^\d+\s+\d+번까지') ELSE [] END AS hits FROM afb)",
+        r"""evr AS (SELECT doc_id, r, o, k, type, content, article_number, chapter_number FROM made WHERE type <> 'annex_whole'
+          UNION ALL SELECT doc_id, 4, annex_order, 0, CASE WHEN is_fallback THEN 'annex' ELSE 'annex_' || section_type END, content, NULL, NULL FROM rwx WHERE len(hits) = 0
+          UNION ALL SELECT doc_id, 4, annex_order, k, 'table_row', regexp_extract(hits[k], '^(\d+)', 1) || '명 → ' || regexp_extract(hits[k], '\s(\d+)번', 1) || '번까지', NULL, NULL FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM rwx))""",
+    )
+    + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r, o, k) - 1 AS BIGINT) AS chunk_pos, type, content, article_number, chapter_number, CAST(length(content) AS BIGINT) AS char_count FROM evr",
     "annex_boundaries": cte(*SECTIONS) + r"""SELECT doc_id, CAST(annex_index AS BIGINT) AS annex_index, array_to_string(list_sort(list_distinct(list_filter(list_concat(hd[2:], list_transform(nt, lambda i: i + 1)), lambda i: i > 0 AND i < len(bl)))), ',') AS boundaries FROM (
       SELECT doc_id, annex_index, bl, list_filter(range(len(bl)), lambda i: regexp_matches(replace(bl[i + 1], ' ', ''), '임용하고자|서열명부|직급|응시자격')) AS hd, list_filter(range(len(bl)), lambda i: regexp_matches(bl[i + 1], '^\*?\s*(비고|주|註|note|임용하고자)')) AS nt FROM body)""",
     "loss_check": """SELECT doc_id, CAST(t AS BIGINT) AS total_chars, CAST(t - n + 1 AS BIGINT) AS kept_chars, CAST(n AS BIGINT) AS chunk_count, round(l, 6) AS loss_rate, l <= 0.03 AS is_valid FROM (

@@ -203,12 +203,13 @@ def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = annex.sections(structure.annex(corpus.documents(spark, sf_dir)))
-    return rows.select("doc_id", "annex_index", F.posexplode(annex.blocks(F.col("body_lines"))).alias("block_order", "b")).select("doc_id", "annex_index", "block_order", "b.kind", "b.start", "b.end", "b.score")
+    return rows.select("doc_id", "annex_index", F.posexplode(annex.blocks(F.col("body_lines"))).alias("block_order", "b")).select("doc_id", long("annex_index").alias("annex_index"), long("block_order").alias("block_order"), "b.kind", long("b.start").alias("start"), long("b.end").alias("end"), F.round("b.score", 6).alias("score"))
 
 
 @query
 def annex_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annex.chunks(annex.sections(structure.annex(corpus.documents(spark, sf_dir))))
+    rows = annex.chunks(annex.sections(structure.annex(corpus.documents(spark, sf_dir))))
+    return rows.select("doc_id", long("annex_index").alias("annex_index"), "annex_no", long("chunk_order").alias("chunk_order"), "section_type", "content", long("char_count").alias("char_count"))
 
 
 @query
@@ -219,7 +220,8 @@ def annex_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def logical_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annex.regroup(annex.chunks(annex.sections(structure.annex(corpus.documents(spark, sf_dir)))))
+    rows = annex.regroup(annex.chunks(annex.sections(structure.annex(corpus.documents(spark, sf_dir)))))
+    return rows.select("doc_id", long("annex_index").alias("annex_index"), "annex_no", long("chunk_order").alias("chunk_order"), "section_type", "content", long("char_count").alias("char_count"), "table_label", long("merged_count").alias("merged_count"))
 
 
 @query
@@ -351,7 +353,8 @@ def annex_fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     annexes = structure.annex(corpus.documents(spark, sf_dir))
     whole = annexes.select("doc_id", long(F.length(clean.annex_canonical(F.col("annex_content")))).alias("total_chars"))
     made = annex.chunks(annex.sections(annexes))
-    return annex.with_fallback(made, annexes, qa.loss(made, whole))
+    rows = annex.with_fallback(made, annexes, qa.loss(made, whole))
+    return rows.select("doc_id", long("annex_order").alias("annex_order"), "section_type", "content", "is_fallback")
 
 
 @query

@@ -26,7 +26,11 @@ def pdf_pages(content: bytes | None) -> list[str]:
 
 def pdf(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text, page_count)`` of the PDF files below a path; pages that have a text are joined by a blank line, all are counted."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    return pdf_texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path))
+
+
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` -> ``(path, text, page_count)``."""
 
     def read(batches):
         for b in batches:

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from regulus.operators import structure
+from regulus.sources import documents
 
 
 def arriving(spark: SparkSession, path: str, schema: str = "doc_id long, title string, text string", files: int = 100) -> DataFrame:
@@ -20,6 +22,18 @@ def arriving(spark: SparkSession, path: str, schema: str = "doc_id long, title s
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def arriving_texts(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """``(path, text)`` of text files below a folder as they arrive, each whole."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def arriving_pdfs(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """``(path, text, page_count)`` of PDF files below a folder as they arrive."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return documents.pdf_texts(raw.option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).load(path))
+
+
 def run(docs: DataFrame, out: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = structure.articles, **trigger) -> StreamingQuery:
     """Writes what ``make`` makes of each batch to a folder of its own below ``out``."""
 

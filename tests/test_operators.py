@@ -71,6 +71,60 @@ def test_text_table_hints(spark):
     assert annex.Walk(lines).blocks()[0][0] == "table_rows"
 
 
+def test_text_table_becomes_a_table():
+    """A block of text with header words and numbered items is promoted; without header words it isn't."""
+    lines = ["직급    응시자격    비고", "1급", "1. 공무원 4급이상으로 1년이상 재직한 자", "2. 경찰공무원 총경이상으로 1년이상 재직한 자", "2급", "1. 공무원 5급이상으로 1년이상 재직한 자"]
+    walk = annex.Walk(lines)
+    assert walk.promoted("paragraph", 0, len(lines), 0.0) == "table_rows"
+    assert annex.Walk(["가나다"] + ["1. 라마바", "2. 사아자"]).promoted("paragraph", 0, 3, 0.9) == "paragraph"
+    assert annex.Walk(["직급 안내", "가"]).promoted("paragraph", 0, 2, 0.44) == "paragraph" and annex.Walk(["직급 안내", "가"]).promoted("paragraph", 0, 2, 0.45) == "table_rows"
+
+
+def test_second_annex_is_chunked_as_a_table(spark):
+    text = "[별표 2] 제한경쟁채용시험 응시자격(직급별 경력기준)\n<제10조제1항 관련>\n\n제한경쟁채용시험 응시자격(직급별 경력기준)\n\n직급    응시자격    비고\n\n" + "".join(f"{k}급\n" + "".join(f"{i}. 공무원 {k + 3}급이상으로 1년이상 재직한 자\n" for i in range(1, 5)) + "\n" for k in (1, 2, 3))
+    made = annex.chunks(annex.sections(structure.annex(docs(spark, text)))).orderBy("chunk_order").collect()
+    assert made[0].section_type == "header" and made[0].content.startswith("[별표 2]") and any(r.section_type == "table_rows" for r in made)
+    lines = [x for r in made for x in r.content.split("\n")]
+    want = [x for x in text.replace("    ", " ").split("\n") if x]
+    assert lines == want  # every line once, in order
+
+
+def test_walk_merges_and_separates_blocks():
+    table, prose = [f"{k}    {k + 10}    {k + 20}" for k in range(10, 15)], ["이 규정은 공정한 업무 처리를 위하여 필요한 사항을 정함을 목적으로 하며 모든 직원은 이를 지켜야 한다고 정한다 " * 2] * 12
+    found = annex.Walk(prose + table * 3 + prose).blocks()
+    assert [k for k, *_ in found] == ["paragraph", "table_rows", "paragraph"]
+    assert annex.Walk.apart([["table_rows", 0, 5, 0.6], ["table_rows", 5, 9, 0.7]]) == [["table_rows", 0, 9, 0.7]]
+    assert annex.Walk.apart([["paragraph", 0, 6, 0.2], ["table_rows", 4, 9, 0.7]]) == [["paragraph", 0, 4, 0.2], ["table_rows", 4, 9, 0.7]]
+    assert annex.Walk.apart([["table_rows", 0, 6, 0.6], ["paragraph", 4, 9, 0.2]]) == [["table_rows", 0, 6, 0.6], ["paragraph", 6, 9, 0.2]]
+    assert annex.Walk(["①②③ 가나"]).features(0, 1)[0] == 0.0  # only decimal digits count, as in the column form
+
+
+def test_hot_keys_are_cut_into_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), i, rng.choice(["a", "b", "open", "open", "open", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, i long, v string")
+    is_open = F.coalesce(F.col("v") == "open", F.lit(False))
+    whole, cut = annex.propagate(df, ["k"], "i", "v", is_open, "out"), annex.propagate(df, ["k"], "i", "v", is_open, "out", blocks=16)
+    assert cut.columns == whole.columns and sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    spans = spark.createDataFrame([(k or 0, s, s + rng.randrange(4), rng.random()) for k, s, _ in rows for s in [rng.randrange(900)]], "k long, s long, e long, x double")
+    assert sorted(map(str, annex.merge_intervals(spans, "k", "s", "e", "x", blocks=16).collect())) == sorted(map(str, annex.merge_intervals(spans, "k", "s", "e", "x").collect()))
+    assert annex.propagate(df.limit(0), ["k"], "i", "v", is_open, "out", blocks=4).count() == 0
+
+
+def test_annex_parts_in_chunks(spark):
+    rows = spark.createDataFrame([(1, 1, "header", "[별표1] a", False), (1, 2, "table_rows", "1 5번까지\n2 10번까지", False), (1, 3, "note", "*b", False), (2, 1, "whole", "[별표1] c\n1 5번까지", True)], "doc_id long, annex_order int, section_type string, content string, is_fallback boolean")
+    got = {r.doc_id: [(x.type, x.content) for x in r.annex_parts] for r in chunking.annex_parts(rows).collect()}
+    assert got == {1: [("annex_header", "[별표1] a"), ("table_row", "1명 → 5번까지"), ("table_row", "2명 → 10번까지"), ("annex_note", "*b")], 2: [("annex", "[별표1] c\n1 5번까지")]}
+    assert {r.doc_id: len(r.annex_parts) for r in chunking.annex_parts(rows, rows=False).collect()} == {1: 3, 2: 1}
+
+
+def test_strict_parity_keeps_all_layers(spark):
+    nodes = structure.tree(structure.articles(docs(spark, "제1조(a) b\n1. d\n제2조(g) ① x\n")))
+    assert qa.hierarchy(nodes, strict_parity=True).first().hierarchy_preservation == 1.0
+
+
 def test_walk_covers_every_line_once():
     for n in range(1, 40):
         rows = [("12 34 56" if i % 5 else "가나다라마바사아자차카타파하" * 6) for i in range(n)]

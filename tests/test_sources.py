@@ -49,3 +49,17 @@ def test_stream(spark, tmp_path):
     q = stream.run(stream.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select(F.count(F.lit(1))).first()[0] == 2
+
+
+def test_texts_and_pdfs_arrive(spark, tmp_path):
+    for name, body in (("a.txt", b"one\ntwo"), ("b.txt", "가".encode())):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    q = stream.run(stream.arriving_texts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b)
+    assert q.awaitTermination(60)
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one\ntwo", "가"]
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "x.pdf").write_bytes(b"no pdf")
+    q = stream.run(stream.arriving_pdfs(spark, str(tmp_path / "pdf")), str(tmp_path / "out2"), str(tmp_path / "cp2"), lambda b: b)
+    assert q.awaitTermination(60)
+    assert [(r.text, r.page_count) for r in spark.read.parquet(str(tmp_path / "out2")).collect()] == [("", 0)]
