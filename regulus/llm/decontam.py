@@ -15,6 +15,8 @@ Everything is a DataFrame expression; no Python runs on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def named(plain_text: Column) -> Column:
     the same template at the beginning of a sentence and inside one.
     """
     known = "|".join(dict.fromkeys(w.capitalize() for w in FUNCTION_WORDS if len(w) > 1))
-    return F.lower(F.regexp_replace(plain_text, rf"(?<![0-9A-Za-z])(?!(?:{known})(?![A-Za-z]))[A-Z][a-z]++(?![A-Za-z])", NAME))
+    return F.lower(F.regexp_replace(plain_text, rf"(?=[A-Z])(?<![0-9A-Za-z])(?!(?:{known})(?![A-Za-z]))[A-Z][a-z]++(?![A-Za-z])", NAME))
 
 
 def words(text: Column) -> Column:
@@ -76,23 +78,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
-def hashed(some: Column) -> Column:
-    return F.transform(some, lambda w: F.xxhash64(w))
+def hashed(some: Column, sign: int = 1) -> Column:
+    """A hash of each word; the sign tells templates (1) from words as written (-1)."""
+    return F.transform(some, lambda w: F.xxhash64(F.lit(sign), w))
+
 
+def windowed(rows: DataFrame, hashes: str, n: int, out: str) -> DataFrame:
+    """Adds ``out``, the hashes of the windows of ``n`` words, from the hashes of ``m`` words.
+
+    A window is hashed from two shorter ones, that overlap where ``n`` is no
+    power of two, so a text costs three steps a word for windows of eight.
+    """
+    w, long, shifts = F.col(hashes), 1, []
+    while 2 * long <= n:
+        shifts.append(long)
+        long *= 2
+    if long < n:
+        shifts.append(n - long)
+    for i, k in enumerate(shifts):  # columns, as each is used twice
+        rows = rows.withColumn(f"{out}_{i}", F.zip_with(w, F.slice(w, k + 1, F.col("m")), lambda a, b: F.xxhash64(a, b)))
+        w = F.col(f"{out}_{i}")
+    return rows.withColumn(out, F.slice(w, F.lit(1), F.greatest(F.col("m") - n + 1, F.lit(0)))).drop(*[f"{out}_{i}" for i in range(len(shifts))])
 
-def window_hash(hashes: Column, i: Column, n: Column | int, sign: int = 1) -> Column:
-    """The hash of ``n`` words from place ``i`` on; the sign tells templates (1) from words as written (-1)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.xxhash64(sign * n, F.slice(hashes, i + 1, n))
 
+def placed_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``rows(hs, m, n, ...)`` with ``ipos`` and ``h``: a row for each window of ``n`` words."""
+    parts = [windowed(rows.where(F.col("n") == n), "hs", n, "w").select(*rows.columns, F.posexplode("w").alias("ipos", "h")) for n in lengths]
+    return reduce(DataFrame.union, parts)
 
-def windows(hashes: Column, lengths: list[int], sign: int = 1) -> Column:
-    """``array<struct<at, h>>`` of the windows of each length."""
-    def of(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.struct(i.alias("at"), window_hash(hashes, i, n, sign).alias("h")))
-        return F.when(F.size(hashes) >= n, made).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
-    return F.concat(*[of(n) for n in lengths])
+def lengths_of(rows: DataFrame) -> list[int]:
+    """The different ``n``, at most as many as a window has words; one for none."""
+    return sorted(r["n"] for r in rows.select("n").distinct().collect()) or [1]
 
 
 def bare(window: Column) -> Column:
@@ -103,7 +120,8 @@ def bare(window: Column) -> Column:
 def items(benchmark: DataFrame, text: str, id_column: str, window: int) -> DataFrame:
     """``(item_id, raw, tpl, n)``: both templates of each item, once if they are the same, and the words to a window."""
     t = benchmark.select(F.col(id_column).alias("item_id"), plain(whole_text(text)).alias("p")).where("item_id is not null")
-    t = t.select("item_id", words(F.lower("p")).alias("raw"), F.explode(F.array(words(typed(named(F.col("p")))), words(typed(F.lower("p"))))).alias("tpl")).where(F.size("tpl") > 0)
+    t = t.select("item_id", F.lower("p").alias("low"), named(F.col("p")).alias("named"))
+    t = t.select("item_id", words(F.col("low")).alias("raw"), F.explode(F.array(words(typed(F.col("named"))), words(typed(F.col("low"))))).alias("tpl")).where(F.size("tpl") > 0)
     return t.dropDuplicates(["item_id", "tpl", "raw"]).withColumn("n", F.least(F.lit(window), F.size("tpl")))
 
 
@@ -112,9 +130,8 @@ def literal(every: DataFrame, totals: DataFrame, window: int) -> DataFrame:
     keyed = every.select("item_id", "raw", F.xxhash64("raw").alias("r"), F.xxhash64("tpl").alias("variant"))
     told = keyed.join(totals.where(F.col("item_windows") >= FEWEST), ["item_id", "variant"], "left_semi").select("item_id", "r").distinct()
     rest = keyed.join(told, ["item_id", "r"], "left_anti").select("item_id", "raw", "r", F.least(F.lit(window), F.size("raw")).alias("n")).dropDuplicates(["item_id", "raw"])
-    rest = rest.select("item_id", "raw", F.col("r").alias("variant"), "n", hashed(F.col("raw")).alias("hs"))
-    placed = rest.select("item_id", "variant", "raw", "n", "hs", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("n"))).alias("ipos"))
-    return placed.select("item_id", "variant", "ipos", "n", window_hash(F.col("hs"), F.col("ipos"), F.col("n"), -1).alias("h"), "raw")
+    rest = cut(rest.select("item_id", F.col("r").alias("variant"), "raw", "n", F.size("raw").alias("m"), hashed(F.col("raw"), -1).alias("hs")))
+    return placed_windows(rest, lengths_of(rest)).select("item_id", "variant", "ipos", "n", "h", "raw")
 
 
 def word_for_word(hits: DataFrame, exact: DataFrame, said: DataFrame) -> DataFrame:
@@ -142,24 +159,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     """
     every = cut(items(benchmark, item_text, item_id, window))
     bench = every.where(F.size("tpl") >= SHORTEST)
-    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most as many rows as a window has words
-    if not lengths:
-        lengths = [window]
-    placed = bench.select("item_id", "tpl", "n", hashed(F.col("tpl")).alias("hs"), F.explode(F.sequence(F.lit(0), F.size("tpl") - F.col("n"))).alias("ipos")).where(~bare(F.slice("tpl", F.col("ipos") + 1, F.col("n"))))
-    placed = cut(placed.select("item_id", F.xxhash64("tpl").alias("variant"), "ipos", "n", window_hash(F.col("hs"), F.col("ipos"), F.col("n")).alias("h")))
+    lengths = lengths_of(bench)
+    some = bench.select("item_id", F.xxhash64("tpl").alias("variant"), "tpl", "n", F.size("tpl").alias("m"), hashed(F.col("tpl")).alias("hs"))
+    placed = placed_windows(some, lengths).where(~bare(F.slice("tpl", F.col("ipos") + 1, F.col("n"))))
+    placed = cut(placed.select("item_id", "variant", "ipos", "n", "h"))
     totals = placed.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"))
     exact = cut(literal(every, totals, window))
     as_written = sorted(r["n"] for r in exact.select("n").distinct().collect())
     known = cut(placed.select("h").union(exact.select("h")).distinct())
     rows = docs.select(whole_text(text).alias("t"))
     rows = rows.select(identity(F.col("t")).alias("text_key"), plain(F.col("t")).alias("p"))
-    low = F.lower("p")
-    rows = rows.select("text_key", hashed(words(typed(named(F.col("p"))))).alias("h1"), hashed(words(typed(low))).alias("h2"), *[hashed(words(low)).alias("h0")] * bool(as_written))
-    made = [windows(F.col("h1"), lengths), windows(F.col("h2"), lengths)] + [windows(F.col("h0"), as_written, -1)] * bool(as_written)
-    seen = rows.select("text_key", F.inline(F.concat(*made)))
+    rows = rows.select("text_key", F.lower("p").alias("low"), named(F.col("p")).alias("named"))  # columns, as each is used more than once
+    rows = rows.select("text_key", hashed(words(typed(F.col("named")))).alias("h1"), hashed(words(typed(F.col("low")))).alias("h2"), *[hashed(words(F.col("low")), -1).alias("h0")] * bool(as_written))
+    rows = rows.withColumn("m", F.size("h1"))  # all three have a hash for each word
+    kinds = [(h, n) for h in ("h1", "h2") for n in lengths] + [("h0", n) for n in as_written]
+    for i, (h, n) in enumerate(kinds):
+        rows = windowed(rows, h, n, f"w{i}")
+    seen = rows.select("text_key", "m", F.posexplode(F.concat(*[F.col(f"w{i}") for i in range(len(kinds))])).alias("pos", "h"))
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    hits = cut(seen.join(known, "h", "left_semi").select("text_key", F.col("at").alias("dpos"), "h").distinct())
+    found = seen.join(known, "h", "left_semi")
+    # the place of a window among those of its kind
+    at, before = F.when(F.lit(False), 0), F.lit(0)
+    for _, n in kinds:
+        after = before + F.greatest(F.col("m") - n + 1, F.lit(0))
+        at, before = at.when(F.col("pos") < after, F.col("pos") - before), after
+    hits = cut(found.select("text_key", at.alias("dpos"), "h").distinct())
     few = F.broadcast(placed) if placed.count() <= BROADCAST_WINDOWS else placed
     met = hits.join(few, "h").select("text_key", "item_id", "variant", "ipos", "dpos", "n")
     share = met.groupBy("text_key", "item_id", "variant").agg(F.countDistinct("ipos").alias("hit_windows")).join(totals, ["item_id", "variant"])
