@@ -50,6 +50,27 @@ CODE_FENCE, CODE_FENCE_END = r"```[a-zA-Z0-9_-]*\s*", r"\s*```"
 PAGE_MARKERS = (r"\b\d{3,4}\s*-\s*\d{1,2}\b", r"(?i)Page\s+\d+\s*/\s*\d+", r"(?md)^\s*-\s*\d+\s*-\s*$")
 PAGE_NUMBER = r"\b\d{3,4}-\d{1,2}\b"
 
+# what is replaced in article bodies, and how numbers stand beside their units
+BODY_RULES = (
+    (r"(?md)제\d+장\s+[가-힣\s]+$", ""),
+    (r'(?md)^\.(\s*"[가-힣]+"\s*란)', "1.$1"),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+)
+SPACING_RULES = (
+    (r"제\s*(\d+)\s*조\s*의\s*(\d+)", "제$1조의$2"),
+    (r"제\s*(\d+)\s*조", "제$1조"),
+    (r"표\s*(\d+)", "표$1"),
+    (r"\[별표\s*(\d+)\]", "[별표$1]"),
+    (r"(\d+)\s*(만원|억원|천원|원)", "$1$2"),
+    (r"(\d+)\s*(명|개|건|회|년|월|일)", "$1$2"),
+    (r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})", "$1.$2.$3"),
+)
+CLOSE_UNITS = ("원", "분", "%")
+#: Article numbers up to this one are taken for real.
+LAST_ARTICLE = 200
+ARTICLE_NUMBER = r"제\s?(\d+)조(?:의\s?(\d+))?"
+
 # chunk boundaries
 STRICT = r"(?md)^[\s⟨<\[]*(제\s*\d+(?:의\d+)?\s*조)\s*\("
 LOOSE = r"(?md)^[\s⟨<\[]*(제\s*\d+(?:의\d+)?\s*조)(?=\s|$)"

@@ -25,7 +25,7 @@ def divider_count(c: Column) -> Column:
 
 def article_body(c: Column) -> Column:
     """Without the head of the next chapter, with lost clause numbers restored and spacing evened."""
-    return strip(replace_all(c, (r"(?md)제\d+장\s+[가-힣\s]+$", ""), (r'(?md)^\.(\s*"[가-힣]+"\s*란)', "1.$1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")))
+    return strip(replace_all(c, *P.BODY_RULES))
 
 
 def annex_markdown(c: Column) -> Column:
@@ -42,16 +42,7 @@ def annex_canonical(c: Column) -> Column:
 
 def law_spacing(c: Column) -> Column:
     """Numbers with their units, and particles with a space after them."""
-    c = replace_all(
-        c,
-        (r"제\s*(\d+)\s*조\s*의\s*(\d+)", "제$1조의$2"),
-        (r"제\s*(\d+)\s*조", "제$1조"),
-        (r"표\s*(\d+)", "표$1"),
-        (r"\[별표\s*(\d+)\]", "[별표$1]"),
-        (r"(\d+)\s*(만원|억원|천원|원)", "$1$2"),
-        (r"(\d+)\s*(명|개|건|회|년|월|일)", "$1$2"),
-        (r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})", "$1.$2.$3"),
-    )
+    c = replace_all(c, *P.SPACING_RULES)
     return replace_all(c, *[(rf"([가-힣]+)\s?{p}\s?([가-힣]+)", f"$1{p} $2") for p in P.PARTICLES])
 
 
@@ -78,21 +69,16 @@ def squeezed(c: Column, most: int = 1000) -> Column:
     return F.substring(strip(F.regexp_replace(c, r"\s+", " ")), 1, most)
 
 
-#: Article numbers up to this one are taken for real.
-LAST_ARTICLE = 200
-ARTICLE_NUMBER = r"제\s?(\d+)조(?:의\s?(\d+))?"
-
-
 def repaired_numbers(text: Column, scan: Column) -> Column:
     """Article numbers beyond the range are page numbers misread; the first one in range of the scan stands for them."""
-    no = lambda x: F.regexp_extract(x, ARTICLE_NUMBER, 1).cast("decimal(38,0)")
+    no = lambda x: F.regexp_extract(x, P.ARTICLE_NUMBER, 1).cast("decimal(38,0)")
 
     def written(x: Column) -> Column:
-        again = F.regexp_extract(x, ARTICLE_NUMBER, 2)
-        return F.concat(F.lit("제"), F.regexp_extract(x, ARTICLE_NUMBER, 1), F.lit("조"), F.when(again != "", F.concat(F.lit("의"), again)).otherwise(F.lit("")))
+        again = F.regexp_extract(x, P.ARTICLE_NUMBER, 2)
+        return F.concat(F.lit("제"), F.regexp_extract(x, P.ARTICLE_NUMBER, 1), F.lit("조"), F.when(again != "", F.concat(F.lit("의"), again)).otherwise(F.lit("")))
 
-    right = F.get(F.filter(F.regexp_extract_all(scan, F.lit(ARTICLE_NUMBER), F.lit(0)), lambda x: no(x) <= LAST_ARTICLE), 0)
-    wrong = F.transform(F.filter(F.regexp_extract_all(text, F.lit(ARTICLE_NUMBER), F.lit(0)), lambda x: no(x) > LAST_ARTICLE), written)
+    right = F.get(F.filter(F.regexp_extract_all(scan, F.lit(P.ARTICLE_NUMBER), F.lit(0)), lambda x: no(x) <= P.LAST_ARTICLE), 0)
+    wrong = F.transform(F.filter(F.regexp_extract_all(text, F.lit(P.ARTICLE_NUMBER), F.lit(0)), lambda x: no(x) > P.LAST_ARTICLE), written)
     return F.when(right.isNull(), text).otherwise(F.aggregate(wrong, text, lambda a, w: F.replace(a, w, written(right))))
 
 
@@ -108,4 +94,6 @@ def kvs_value(c: Column) -> Column:
     v = F.when(digits != "", F.replace(v, digits, grouped)).otherwise(v)
     hour = F.regexp_extract(v, r"^(\d{1,2}):(\d{2})", 1)
     v = F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.regexp_extract(v, r"^(\d{1,2}):(\d{2})", 2))).otherwise(v)
-    return F.replace(F.replace(F.replace(v, F.lit(" 원"), F.lit("원")), F.lit(" 분"), F.lit("분")), F.lit(" %"), F.lit("%"))
+    for unit in P.CLOSE_UNITS:
+        v = F.replace(v, F.lit(f" {unit}"), F.lit(unit))
+    return v
