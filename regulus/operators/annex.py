@@ -337,8 +337,10 @@ def merge_intervals(rows: DataFrame, key: str, start: str, end: str, score: str,
         on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))
         reach = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_in"))
         local = placed.join(ends, on).withColumn("_apart", F.when(F.col(start) <= reach + 1, 0).otherwise(1)).drop("_k", "_kb")
+        # counted in the same order as above, as equal intervals may stand in another one after a join
+        local = local.withColumn("_so_far", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         before = local.groupBy(key, "_b").agg(F.sum("_apart").alias("_n")).select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(ws), F.lit(0)).alias("_runs"))
-        runs = local.join(before, on).withColumn("_run", F.col("_runs") + F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = local.join(before, on).withColumn("_run", F.col("_runs") + F.col("_so_far"))
     return runs.groupBy(key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.count(F.lit(1)).alias("merged")).drop("_run")
 
 
