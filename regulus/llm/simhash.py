@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, few, small
+from regulus.llm.common import BROADCAST_KEYS, cut, few, small
 from regulus.llm.components import components
 from regulus.llm.similar import SHINGLE as FIVE
 from regulus.llm.similar import digest, join_similar, min_hashes, shingle_set
@@ -216,16 +216,19 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **h
     texts have fingerprint zero, so one of them stays. Of very long texts all is
     compared; an empty table gives an empty one.
     """
-    key, rows = F.col(id_column), docs
+    key = F.col(id_column)
     if not docs.where(key.isNull()).isEmpty():
         nothing = key.isNull()
         key = F.struct(nothing.alias("without"), F.coalesce(key, F.lit(0).cast(docs.schema[id_column].dataType)).alias("id"), F.when(nothing, F.md5(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lit("")).alias("text"))
     named = docs.select(key.alias("_key"), F.col(text).alias("_text"))
     found = near_duplicates(named, "_text", "_key", **how)
-    gone = small(found.where(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_gone")).distinct())
-    again = cut(found.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
-    row = rows.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = row.join(gone, row["_key"] == gone["_gone"], "left_anti")
+    # of each key whether it goes and how often it is there, written out once for the few that matter
+    per = found.groupBy("_key").agg((F.max("component_id") != F.col("_key")).alias("goes"), F.count(F.lit(1)).alias("n"))
+    told = cut(per.where("goes or n > 1"))
+    gone = F.broadcast(told) if told.count() <= BROADCAST_KEYS else told
+    row = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = row.join(gone.where("goes").select(F.col("_key").alias("_gone")), F.col("_key") == F.col("_gone"), "left_anti")
+    again = told.where("not goes").select("_key")
     if not again.isEmpty():
         again = small(again)
         one = kept.join(again, "_key", "left_semi").groupBy("_key", F.col("_row").getField(text).alias("_text")).agg(F.first("_row").alias("_row"))
