@@ -30,7 +30,6 @@ def components(links: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("n"))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("at"), F.least(rank("a"), F.col("m"))["n"].alias("to"))
         best = cut(best)
-        best = best.hint("merge")  # many small joins by key: broadcasts would each pass the driver
         roots = cut(roots.join(best, roots["root"] == best["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
         left, right = best.select(F.col("at").alias("a"), F.col("to").alias("na")), best.select(F.col("at").alias("b"), F.col("to").alias("nb"))
         open_links = cut(open_links.join(left, "a").join(right, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
