@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from regulus.llm import chat, compaction, components, decontam, html_text, packing, pii, quality_rules, queries, similar, simhash, warc, weak_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = [(None, "a null id and some more words to read"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "same text here again"), (5, "same text here again"), (6, "same text here again"), (7, "ünï 🙂 x\x00y " * 3000)]
+ODD = [(None, "a null id and some more words to read"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "same text here again"), (5, "same text here again"), (6, "same text here again"), (7, "ünï 🙂 x\x00y " * 9000)]
 
 
 def documents(spark, rows=()):
