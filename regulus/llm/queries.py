@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import chat, compaction, decontam, html_text, importance, packing, pii, quality_rules, simhash, warc, weak_quality
+from regulus.llm import chat, compaction, decontam, html_text, importance, packing, pii, quality_rules, simhash, warc, weak_quality, whitening
 from regulus.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_weak_quality, op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op6_html_text, op7_compaction, op8_simhash, op9_packing, op10_personal_data, op12_importance)
+    found = (op1_weak_quality, op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op6_html_text, op7_compaction, op8_simhash, op9_packing, op10_personal_data, op12_importance, op13_whitening)
     return {f.__name__: f for f in found}
 
 
