@@ -57,10 +57,10 @@ def gains(source: DataFrame, target: DataFrame) -> DataFrame:
     """``(bucket, gain)`` of every bucket, from the counts of both tables: thousandths of the log-ratio of smoothed shares."""
     spark = source.sparkSession
     both = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(source.select("bucket", F.col("n").alias("s")), "bucket", "left").join(target.select("bucket", F.col("n").alias("t")), "bucket", "left").fillna(0, ["s", "t"])
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    d = lambda c: F.col(c).cast("double")
-    ratio = ((d("t") + 1) * (d("all_s") + BUCKETS)) / ((d("s") + 1) * (d("all_t") + BUCKETS))
-    return both.join(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
+    both = cut(both)
+    all_s, all_t = both.agg(F.sum("s"), F.sum("t")).first()
+    ratio = ((F.col("t").cast("double") + 1) * float(all_s + BUCKETS)) / ((F.col("s").cast("double") + 1) * float(all_t + BUCKETS))
+    return both.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
 
 
 def noise(id_column: Column, seed: int = SEED) -> Column:
