@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import chat, compaction, decontam, html_text, importance, packing, pii, quality_rules, simhash, warc, weak_quality, whitening
+from regulus.llm import chat, compaction, decontam, html_text, importance, language_model, packing, pii, quality_rules, simhash, warc, weak_quality, whitening
 from regulus.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +74,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_weak_quality, op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op6_html_text, op7_compaction, op8_simhash, op9_packing, op10_personal_data, op12_importance, op13_whitening)
+    found = (op1_weak_quality, op2_decontamination, op3_warc, op4_chat, op5_quality_rules, op6_html_text, op7_compaction, op8_simhash, op9_packing, op10_personal_data, op11_language_model, op12_importance, op13_whitening)
     return {f.__name__: f for f in found}
 
 
