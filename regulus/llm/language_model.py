@@ -211,7 +211,7 @@ def symbols(rows: DataFrame, known: Vocabulary) -> DataFrame:
                 if found.is_valid and len(found.values):
                     n[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
                 other = np.flatnonzero(at < 0)
-                symbol, share, base = (x[at] if len(x) else np.zeros(len(at), x.dtype) for x in of_head)
+                symbol, share, base = (x[np.maximum(at, 0)] if len(x) else np.zeros(len(at), x.dtype) for x in of_head)
                 which = -1 - at[other]
                 rare = known.rare(n, groups)
                 symbol[other], share[other], base[other] = rare[0][which], rare[1][which], known.base(n)[which]
