@@ -205,6 +205,37 @@ SUMMARY = f"""concat_ws(chr(10), {RULE}, '문서명: ' || title, {RULE}, '', '[
   '- 조문 헤더 매칭률: ' || CAST(round(match_rate * 100) AS INT) || '% (' || (len(a) - len(missing)) || '/' || len(a) || ')', '- 이상 징후: ' || CASE WHEN len(qa_flags) = 0 THEN '없음' ELSE array_to_string(qa_flags, ', ') END,
   '- 판정: ' || CASE WHEN CASE WHEN is_annex_mode THEN text_coverage >= 0.9 ELSE match_rate >= 0.95 AND len(qa_flags) = 0 END THEN '✅ PASS' ELSE '⚠️ WARNING' END)"""
 
+#: Two versions of each document, their articles paired rule by rule (places that pairs have in both), and the longest rising run of each document, found from its last element on.
+PAIR_RULES = ("number, text", "text", "number, title", "title", "number")
+VERSIONS_OF = (
+    *ATTACHED,
+    """nowv AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN section_order + 1 WHEN doc_id % 6 = 2 AND section_order = 0 THEN 1000 ELSE section_order END AS pos,
+      CASE WHEN doc_id % 3 = 0 THEN '제' || (regexp_extract(number, '\\d+')::INT + 1) || '조' ELSE number END AS number, CASE WHEN doc_id % 15 = 10 AND section_order = 0 THEN 'x' ELSE title END AS title,
+      CASE WHEN doc_id % 3 = 1 AND section_order % 2 = 1 THEN body || ' x1' ELSE body END AS body FROM arts WHERE NOT (doc_id % 3 = 2 AND section_order = 1)
+      UNION ALL SELECT doc_id, 0, '제1조', '신설', '새 조문 ' || doc_id FROM arts WHERE doc_id % 3 = 0 AND section_order = 0)""",
+    f"g0 AS (SELECT doc_id, section_order AS pos, number, title, {strip(GOLDEN.format('body'))} AS text FROM arts)",
+    f"c0 AS (SELECT doc_id, pos, number, title, {strip(GOLDEN.format('body'))} AS text FROM nowv)",
+    *[
+        step
+        for k, rule in enumerate(PAIR_RULES)
+        for step in (
+            f"m{k} AS (SELECT g.doc_id, g.pos AS ga, c.pos AS ca FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {rule} ORDER BY pos) AS nth FROM g{k}) g JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, {rule} ORDER BY pos) AS nth FROM c{k}) c USING (doc_id, {rule}, nth))",
+            f"g{k + 1} AS (SELECT * FROM g{k} g WHERE NOT EXISTS (SELECT 1 FROM m{k} m WHERE m.doc_id = g.doc_id AND m.ga = g.pos))",
+            f"c{k + 1} AS (SELECT * FROM c{k} c WHERE NOT EXISTS (SELECT 1 FROM m{k} m WHERE m.doc_id = c.doc_id AND m.ca = c.pos))",
+        )
+    ],
+    f"pairs AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM m{k}' for k in range(len(PAIR_RULES)))})",
+    "chain AS (SELECT doc_id, ga, ca, 1 AS n FROM pairs UNION SELECT p.doc_id, p.ga, p.ca, h.n + 1 FROM chain h JOIN pairs p ON p.doc_id = h.doc_id AND p.ga > h.ga AND p.ca > h.ca)",
+    "longest AS MATERIALIZED (SELECT doc_id, ga, ca, max(n) AS n FROM chain GROUP BY ALL)",
+    "back AS (SELECT doc_id, max(ga) AS ga, arg_max(ca, ga) AS ca, n FROM longest WHERE (doc_id, n) IN (SELECT doc_id, max(n) FROM longest GROUP BY doc_id) GROUP BY doc_id, n UNION ALL SELECT doc_id, ga, ca, n FROM (SELECT l.*, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.ga DESC) AS r FROM back b JOIN longest l ON l.doc_id = b.doc_id AND l.n = b.n - 1 AND l.ga < b.ga AND l.ca < b.ca) WHERE r = 1)",
+    """told AS (SELECT coalesce(g.doc_id, c.doc_id) AS doc_id, g.number AS number_then, c.number AS number_now, g.title AS title_then, c.title AS title_now, g.pos AS at_then, c.pos AS at_now, b.n IS NOT NULL AS in_place,
+      CASE WHEN g.pos IS NULL OR c.pos IS NULL THEN 0.0 WHEN g.text = c.text THEN 1.0 ELSE 1 - levenshtein(g.text, c.text)::DOUBLE / greatest(length(g.text), length(c.text)) END AS similarity,
+      CASE WHEN c.pos IS NULL THEN 'missing' WHEN g.pos IS NULL THEN 'added' WHEN g.text = c.text AND g.title = c.title AND g.number = c.number THEN 'same'
+        ELSE concat_ws('+', CASE WHEN g.text <> c.text THEN 'body' END, CASE WHEN g.title <> c.title THEN 'title' END, CASE WHEN g.number <> c.number THEN 'number' END) END AS status
+      FROM g0 g LEFT JOIN pairs p ON p.doc_id = g.doc_id AND p.ga = g.pos FULL JOIN c0 c ON c.doc_id = p.doc_id AND c.pos = p.ca LEFT JOIN back b ON b.doc_id = g.doc_id AND b.ga = g.pos)""",
+)
+
+
 SQL = {
     "article_count_by_chapter": cte(*ATTACHED) + "SELECT doc_id, chapter, count(*) AS articles FROM arts GROUP BY ALL",
     "articles": cte(*ATTACHED) + r"SELECT doc_id, CAST(section_order AS BIGINT) AS section_order, number AS article_number, title AS article_title, chapter, body, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '\[[^\n]*?(\d{4}\.\d{2}\.\d{2})[^\n]*?\]', 1))), ',') AS amended_dates, regexp_matches(body, '<삭제\s*\d{4}\.\d{2}\.\d{2}>') AS is_deleted, CAST(start AS BIGINT) AS start_pos FROM arts",
@@ -335,6 +366,9 @@ SQL = {
     + f"SELECT doc_id, CAST(length(t) AS BIGINT) AS total_char_count, md5({strip(GOLDEN.format('t'))}) AS checksum FROM ful",
     "golden_diff": cte(*ATTACHED, "cur AS (SELECT doc_id, number, section_order, CASE WHEN doc_id % 5 = 0 AND section_order = 0 THEN 'x' ELSE title END AS title FROM arts WHERE NOT (doc_id % 3 = 0 AND number = '제2조'))", "bth AS (SELECT a.doc_id, c.number IS NULL AS gone, coalesce(a.title = c.title, false) AS t FROM arts a LEFT JOIN cur c ON c.doc_id = a.doc_id AND c.number = a.number)")
     + "SELECT doc_id, count(*) AS articles, CAST(sum(gone::INT) AS BIGINT) AS missing, 0::BIGINT AS added, round(1 - avg(gone::INT), 6) AS structure_score, round(avg(t::INT), 6) AS header_score, round(1 - avg(gone::INT), 6) AS content_score, sum(gone::INT) = 0 AND avg(t::INT) >= 0.95 AS overall_pass FROM bth GROUP BY doc_id",
+    "golden_alignment": cte(*VERSIONS_OF).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT doc_id, number_then, number_now, at_then, at_now, status, in_place, round(similarity, 6) AS similarity FROM told",
+    "golden_report": cte(*VERSIONS_OF, "s AS (SELECT doc_id, count(*) AS articles, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'added') AS added, count(*) FILTER (number_then IS NOT NULL AND number_now IS NOT NULL AND NOT in_place) AS moved, count(*) FILTER (number_then <> number_now) AS renumbered, count(*) FILTER (title_then <> title_now) AS retitled, count(*) FILTER (number_then IS NOT NULL AND number_now IS NOT NULL AND similarity < 1) AS edited, avg(in_place::INT) AS st, count(*) FILTER (number_then = number_now AND title_then = title_now)::DOUBLE / count(*) AS he, avg(similarity) AS co FROM told GROUP BY doc_id)").replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT doc_id, articles, missing, added, moved, renumbered, retitled, edited, round(st, 6) AS structure_score, round(he, 6) AS header_score, round(co, 6) AS content_score, round((st + he + co) / 3, 6) AS overall_score, st >= 1 AND he >= 0.95 AND co >= 0.9 AS overall_pass FROM s",
     "rewrite_sanity": cte(*ATTACHED, f"o AS (SELECT *, {OLD} AS old FROM arts)", f"n AS (SELECT *, {NEW} AS new FROM o)", rf"""k AS (SELECT doc_id, number, contains(new, number || '(' || title || ')') AS h, list_sort(list_distinct(regexp_extract_all(old, '\d+(?:\.\d+)?'))) = list_sort(list_distinct(regexp_extract_all(new, '\d+(?:\.\d+)?'))) AS d, len(list_filter({TERMS}, lambda x: contains(old, x) AND NOT contains(new, x))) = 0 AS l, len(regexp_extract_all(old, '(?m)[①-⑳]|^\d+\.')) = len(regexp_extract_all(new, '(?m)[①-⑳]|^\d+\.')) AS s FROM n)""")
     + "SELECT doc_id, number AS article_number, h AS header_preserved, d AS numbers_intact, l AS legal_terms_intact, s AS structure_preserved, h AND d AND l AND s AS is_valid, md5(doc_id || '_' || number || '_0.4.0') AS cache_key FROM k",
 }

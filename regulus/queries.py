@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.operators import annex, chunking, classify, clean, golden, kvs, qa, structure, tables
+from regulus.operators import align, annex, chunking, classify, clean, golden, kvs, qa, structure, tables
 from regulus.plans import corpus, render
 
 FOUND = {}
@@ -442,6 +442,34 @@ def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "articles", "missing", "added", F.round("structure_score", 6).alias("structure_score"), F.round("header_score", 6).alias("header_score"), F.round("content_score", 6).alias("content_score"), "overall_pass")
 
 
+def amended(arts: DataFrame) -> DataFrame:
+    """The articles as another version might have them: a third with one more article in front and all numbers moved on, a third with edited bodies and titles, a third with a missing and a moved article."""
+    doc, at = F.col("doc_id"), F.col("section_order")
+    kind = doc % 3
+    number = F.when(kind == 0, F.concat(F.lit("제"), (F.regexp_extract("article_number", r"\d+", 0).cast("int") + 1).cast("string"), F.lit("조"))).otherwise(F.col("article_number"))
+    body = F.when((kind == 1) & (at % 2 == 1), F.concat("body", F.lit(" x1"))).otherwise(F.col("body"))
+    title = F.when((kind == 1) & (at == 0) & (doc % 5 == 0), "x").otherwise(F.col("article_title"))
+    place = F.when(kind == 0, at + 1).when((kind == 2) & (doc % 2 == 0) & (at == 0), 1000).otherwise(at)
+    now = F.struct(place.cast("int").alias("section_order"), number.alias("article_number"), title.alias("article_title"), body.alias("body"))
+    new = F.struct(at.cast("int"), F.lit("제1조").alias("article_number"), F.lit("신설").alias("article_title"), F.concat(F.lit("새 조문 "), doc.cast("string")).alias("body"))
+    both = F.array(F.when(~((kind == 2) & (at == 1)), now), F.when((kind == 0) & (at == 0), new))
+    return arts.select("doc_id", F.inline(F.filter(both, lambda x: x.isNotNull())))
+
+
+@query
+def golden_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = structure.articles(corpus.documents(spark, sf_dir))
+    rows = align.aligned(arts, amended(arts))
+    return rows.select("doc_id", "number_then", "number_now", "at_then", "at_now", "status", "in_place", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def golden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = structure.articles(corpus.documents(spark, sf_dir))
+    rows = align.report(align.aligned(arts, amended(arts)))
+    return rows.select("doc_id", "articles", "missing", "added", "moved", "renumbered", "retitled", "edited", *[F.round(f"{c}_score", 6).alias(f"{c}_score") for c in ("structure", "header", "content", "overall")], "overall_pass")
+
+
 @query
 def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = golden.records(structure.wide(corpus.documents(spark, sf_dir)))

@@ -243,7 +243,7 @@ def test_language_model_learns_order_and_sums_to_one(spark, tmp_path):
     for i in range(700):
         w = [rng.choice("abc")]
         while len(w) < 40:
-            w.append(follow[w[-1]] if rng.random() < 0.9 else rng.choice(["a", "b", "c", f"r{rng.randrange(2000)}"]))
+            w.append(follow.get(w[-1], "a") if rng.random() < 0.9 else rng.choice(["a", "b", "c", f"r{rng.randrange(2000)}"]))
         texts.append((i, " ".join(w)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     score = lambda rounds: {r.doc_id: r for r in language_model.score(docs, rounds=rounds, own=8).collect() if r.held_out}
