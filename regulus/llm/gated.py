@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Entries of the state; words to a class; steps of a window; texts side by side when learning and when scoring.
-STATE, PER_CLASS, STEPS, LEARN_LANES, SCORE_LANES = 16, 32, 32, 128, 512
+STATE, PER_CLASS, STEPS, LEARN_LANES, SCORE_LANES = 16, 32, 32, 256, 512
 #: Adam's step, decay rates and guard; largest norm of a gradient.
 RATE, DECAYS, GUARD, NORM = 0.01, (0.9, 0.99), 1e-8, 1.0
 
@@ -61,7 +61,8 @@ class Shape:
         return sum(int(np.prod(s)) for s in self.parts().values())
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < self.own, symbols // PER_CLASS, symbols - self.own + self.word_classes)
+        known = np.arange(self.start)
+        return np.where(known < self.own, known // PER_CLASS, known - self.own + self.word_classes).astype(np.int16)[symbols]
 
 
 def untrained(shape: Shape, counts: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -187,7 +188,7 @@ class Network:
             grads["to_class"] += states.T @ d
             grads["class_bias"] += d.sum(axis=0)
             back = d @ w["to_class"].T
-        by_class = np.argsort(of_class, kind="stable")
+        by_class = np.argsort(of_class, kind="stable")  # of short integers, so in linear time
         ends = np.searchsorted(of_class[by_class], np.arange(shape.word_classes + 1))
         for k in range(shape.word_classes):
             mine = by_class[ends[k] : ends[k + 1]]
@@ -229,7 +230,7 @@ class Network:
             d_state += d * z[t]
             d_state *= keep[t][:, None]
         grads["again"] += before.reshape(-1, h).T @ d_moved.reshape(-1, 3 * h)
-        flat, rows = inputs.reshape(-1), d_x.reshape(-1, 3 * h)
+        flat, rows = inputs.reshape(-1).astype(np.int16), d_x.reshape(-1, 3 * h)
         order = np.argsort(flat, kind="stable")
         names, first = np.unique(flat[order], return_index=True)
         grads["inputs"][names] += np.add.reduceat(rows[order], first)
@@ -244,7 +245,7 @@ class Network:
             run = self.forward(inputs, (inputs != self.shape.start).astype(np.float32), state[: at.shape[1]])
             state = run["after"][-1]
             places = at[there]
-            logs[places] = self.output(run["after"][there], dealt.targets[places].astype(np.int64))[0]
+            logs[places] = self.output(run["after"][there], dealt.targets[places])[0]
         return dealt.sums(logs)
 
     def learn(self, texts: list[np.ndarray], moments: Moments, lanes: int = LEARN_LANES, steps: int = STEPS) -> int:
@@ -259,8 +260,11 @@ class Network:
             keep = (inputs != self.shape.start).astype(np.float32)
             run = self.forward(inputs, keep, state[: at.shape[1]])
             state = run["after"][-1]
-            d_after = np.zeros_like(run["after"])
-            d_after[there] = self.output(run["after"][there], dealt.targets[at[there]].astype(np.int64), grads)[1]
+            if there.all():
+                d_after = self.output(run["after"].reshape(-1, self.shape.state), dealt.targets[at.reshape(-1)], grads)[1].reshape(run["after"].shape)
+            else:
+                d_after = np.zeros_like(run["after"])
+                d_after[there] = self.output(run["after"][there], dealt.targets[at[there]], grads)[1]
             self.backward(run, keep, inputs, d_after, grads)
             change /= there.sum()
             moments.step(self.flat, change)
