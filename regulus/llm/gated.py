@@ -19,6 +19,8 @@ import numpy as np
 
 #: Entries of the state; words to a class; steps of a window; texts side by side when learning and when scoring.
 STATE, PER_CLASS, STEPS, LEARN_LANES, SCORE_LANES = 16, 32, 32, 256, 512
+#: Windows that a pass should have at least, and lanes that it keeps all the same.
+WINDOWS, LEAST_LANES = 100, 8
 #: Adam's step, decay rates and guard; largest norm of a gradient.
 RATE, DECAYS, GUARD, NORM = 0.01, (0.9, 0.99), 1e-8, 1.0
 
@@ -249,7 +251,8 @@ class Network:
         return dealt.sums(logs)
 
     def learn(self, texts: list[np.ndarray], moments: Moments, lanes: int = LEARN_LANES, steps: int = STEPS) -> int:
-        """One pass over the texts by truncated backpropagation; the number of symbols."""
+        """One pass over the texts by truncated backpropagation, in fewer lanes where there is little to learn from; the number of symbols."""
+        lanes = max(LEAST_LANES, min(lanes, sum(map(len, texts)) // (steps * WINDOWS)))
         dealt = Lanes(texts, lanes, self.shape.start)
         state = np.zeros((len(dealt.lengths), self.shape.state), np.float32)
         change = np.zeros_like(self.flat)
