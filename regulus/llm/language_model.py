@@ -26,6 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,22 @@ CHUNK, FAN = 4_000_000, 8
 EDGE = 1 << 14
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words between ASCII white space with A-Z in lower case, and the end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+def tokens(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """How many tokens each text has, the different ones, and which of these each token is.
+
+    Words stand between ASCII white space, with A-Z in lower case; each text ends
+    with the end.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column)))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = flat.dictionary_encode()
+    names, which = words.dictionary.cast(pa.binary()).to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    if b"" in names:  # a text without words is split into one empty word
+        real = which != names.index(b"")
+        sizes = np.add.reduceat(real, np.cumsum([0, *sizes])[:-1], dtype=np.int64)
+        which = which[real]
+    ends = np.cumsum(sizes)
+    return sizes + 1, [*names, END], np.insert(which, ends, len(names)).astype(np.int32)
 
 
 def key(word: bytes) -> bytes:
@@ -74,10 +86,6 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     """``(word, n)`` over ``texts(text)``: each task counts what it reads, ``most`` different words at a time."""
 
@@ -87,20 +95,14 @@ def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
 
         counted: Counter[bytes] = Counter()
         for b in few(batches):
-            for t in texts_of(b.column(0)):
-                counted.update(tokens(t))
+            _, names, which = tokens(b.column(0))
+            for w, n in zip(names, np.bincount(which, minlength=len(names)).tolist()):
+                if n:
+                    counted[key(w)] += n
             if len(counted) > most:
-                yield told(short(counted))
+                yield told(counted)
                 counted.clear()
-        yield told(short(counted))
-
-    def short(c: Counter[bytes]) -> Counter[bytes]:
-        if all(len(w) <= LONGEST for w in c):
-            return c
-        out: Counter[bytes] = Counter()
-        for w, n in c.items():
-            out[key(w)] += n
-        return out
+        yield told(counted)
 
     return texts.mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -172,6 +174,12 @@ def vocabulary(counts: DataFrame, head: int, own: int) -> tuple[Vocabulary, int]
     return Vocabulary(words, n, own, totals, seen[:bands], sum(r["tokens"] for r in steps), sum(r["words"] for r in steps), bands), least
 
 
+def packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The values between each two starts, as one binary entry."""
+    ends = starts * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
 def coded(rows: DataFrame, known: Vocabulary) -> DataFrame:
     """``rows(row, id, held, text)`` with the places of its words in the head, ``-1 - j`` for the j-th other word, and these words."""
     words = known.head
@@ -180,19 +188,21 @@ def coded(rows: DataFrame, known: Vocabulary) -> DataFrame:
     def each(batches):
         places = {w: i for i, w in enumerate(words)}
         for b in few(batches):
-            codes, others, groups = [], [], []
-            for t in texts_of(b.column(3)):
-                mine: dict[bytes, int] = {}
-                at = list(map(places.get, found := tokens(t)))
-                if None in at:
-                    for i, a in enumerate(at):
-                        if a is None:
-                            w = key(found[i])
-                            at[i] = places[w] if w in places else mine.setdefault(w, -1 - len(mine))
-                codes.append(np.array(at, np.int32).tobytes())
-                others.append(list(mine))
-                groups.append(bytes(map(ending, mine)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(codes, pa.binary()), pa.array(others, pa.list_(pa.binary())), pa.array(groups, pa.binary())], names=["row", "id", "held", "codes", "others", "groups"])
+            sizes, names, which = tokens(b.column(3))
+            names = list(map(key, names))
+            codes = np.array([places.get(w, -1) for w in names], np.int32)[which]
+            starts = np.cumsum([0, *sizes])
+            others: list[list[bytes]] = [[] for _ in sizes]
+            rare = np.flatnonzero(codes < 0)
+            doc = np.searchsorted(starts, rare, "right") - 1
+            cuts = np.searchsorted(doc, np.arange(len(sizes) + 1))
+            for i in np.unique(doc).tolist():
+                mine = rare[cuts[i] : cuts[i + 1]]
+                different, at = np.unique(which[mine], return_inverse=True)
+                codes[mine] = -1 - at
+                others[i] = [names[w] for w in different.tolist()]
+            groups = [bytes(map(ending, ws)) for ws in others]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed(codes, starts), pa.array(others, pa.list_(pa.binary())), pa.array(groups, pa.binary())], names=["row", "id", "held", "codes", "others", "groups"])
 
     return rows.select("row", "id", "held", "text").mapInArrow(each, f"row long, id {kind}, held boolean, codes binary, others array<binary>, groups binary")
 
@@ -204,23 +214,25 @@ def symbols(rows: DataFrame, known: Vocabulary) -> DataFrame:
     def each(batches):
         of_head = known.of_head()
         for b in few(batches):
-            out, shares, bases, sizes, seen = [], [], [], [], []
-            for codes, groups, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
-                at, groups = np.frombuffer(codes, np.int32), np.frombuffer(groups, np.uint8).astype(np.int64)
-                n = np.zeros(len(groups), np.int64)
-                if found.is_valid and len(found.values):
-                    n[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
-                other = np.flatnonzero(at < 0)
-                symbol, share, base = (x[np.maximum(at, 0)] if len(x) else np.zeros(len(at), x.dtype) for x in of_head)
-                which = -1 - at[other]
-                rare = known.rare(n, groups)
-                symbol[other], share[other], base[other] = rare[0][which], rare[1][which], known.base(n)[which]
-                out.append(symbol.astype(np.int16).tobytes())
-                shares.append(float(share.sum()))
-                bases.append(float(base.sum()))
-                sizes.append(len(at))
-                seen.append(len(at) - int((n[which] == 0).sum()))
-            made = [pa.array(out, pa.binary()), pa.array(shares, pa.float64()), pa.array(bases, pa.float64()), pa.array(sizes, pa.int64()), pa.array(seen, pa.int64())]
+            codes, groups, found = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
+            at = np.frombuffer(b"".join(codes), np.int32)
+            sizes = np.array([len(c) // 4 for c in codes], np.int64)
+            starts = np.cumsum([0, *sizes])
+            # the other words of all texts one after the other, and how often each was counted
+            other = np.frombuffer(b"".join(groups), np.uint8).astype(np.int64)
+            begins = np.cumsum([0, *map(len, groups)])
+            n, told = np.zeros(len(other), np.int64), found.flatten()
+            of = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+            n[begins[of] + told.field(0).to_numpy()] = told.field(1).to_numpy()
+            symbol, share, base = (x[np.maximum(at, 0)] if len(x) else np.zeros(len(at), x.dtype) for x in of_head)
+            rare = np.flatnonzero(at < 0)
+            which = begins[np.searchsorted(starts, rare, "right") - 1] - 1 - at[rare]
+            symbol[rare], share[rare] = (x[which] for x in known.rare(n, other))
+            base[rare] = known.base(n)[which]
+            unknown = np.zeros(len(at), np.int64)
+            unknown[rare] = n[which] == 0
+            sums = lambda x: np.add.reduceat(x, starts[:-1]) if len(b) else x  # noqa: E731  each text has an end
+            made = [packed(symbol.astype(np.int16), starts), pa.array(sums(share), pa.float64()), pa.array(sums(base), pa.float64()), pa.array(sizes, pa.int64()), pa.array(sizes - sums(unknown), pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["id", "held", "symbols", "share", "base", "n_tokens", "n_known"])
 
     return rows.select("id", "held", "codes", "groups", "found").mapInArrow(each, f"id {kind}, held boolean, symbols binary, share double, base double, n_tokens long, n_known long")
