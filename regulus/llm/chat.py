@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 
 from regulus.llm.common import few
 
+#: Turns that a layout may leave out; the field of earlier turns, pairs of a user's and an assistant's.
+OPTIONAL, HISTORY = frozenset(["input", "system"]), "history"
+#: Fields that never hold what was said.
+ASIDE = frozenset("type id source lang language model timestamp".split())
+SIGNS = re.compile(r"[\\.\[\]=]")
 START, STOP = "<|im_start|>", "<|im_end|>"
 
 
@@ -44,13 +51,13 @@ MAPPINGS = (
     mapping("messages", "messages[].role messages[].content", [("@role", "content")], each="messages"),
     mapping("conversation", "conversations[].from conversations[].value", [("@from", "value")], each="conversations", human="user", gpt="assistant"),
     mapping("dialog", "dialog[].speaker dialog[].text", [("@speaker", "text")], each="dialog", bot="assistant", human="user"),
-    mapping("instruction_input", "instruction input output", [("user", "instruction"), ("user", "input"), ("assistant", "output")]),
-    mapping("instruction_response", "instruction response", [("user", "instruction"), ("assistant", "response")]),
-    mapping("instruction", "instruction output", [("user", "instruction"), ("assistant", "output")]),
+    mapping("instruction_input", "instruction input output", [("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")]),
+    mapping("instruction_response", "instruction response", [("system", "system"), ("user", "instruction"), ("assistant", "response")]),
+    mapping("instruction", "instruction output", [("system", "system"), ("user", "instruction"), ("assistant", "output")]),
     mapping("system_prompt", "system prompt response", [("system", "system"), ("user", "prompt"), ("assistant", "response")]),
     mapping("prompt_response", "prompt response", [("user", "prompt"), ("assistant", "response")]),
-    mapping("prompt_completion", "prompt completion", [("user", "prompt"), ("assistant", "completion")]),
-    mapping("question", "question answer", [("user", "question"), ("assistant", "answer")]),
+    mapping("prompt_completion", "prompt completion", [("system", "system"), ("user", "prompt"), ("assistant", "completion")]),
+    mapping("question", "question answer", [("system", "system"), ("user", "question"), ("assistant", "answer")]),
     mapping("nested_question", "data.question data.answer", [("user", "data.question"), ("assistant", "data.answer")]),
     mapping("turn", "role text", [("@role", "text")]),
     mapping("turn_content", "role content", [("@role", "content")]),
@@ -60,7 +67,10 @@ MAPPINGS = (
 
 
 def paths(record) -> set[str]:
-    """The paths of all fields, whether they hold a text, null or more fields; ``[]`` stands for the elements of a list."""
+    """The paths of all fields, whether they hold a text, null or more fields; ``[]`` stands for the elements of a list, ``=[]`` for an empty one.
+
+    Dots and brackets in a field's own name are escaped, so no name looks like a path.
+    """
     found: set[str] = set()
     open_ = [(record, "")]
     while open_:
@@ -68,9 +78,26 @@ def paths(record) -> set[str]:
         if at:
             found.add(at)
         if isinstance(value, dict):
-            open_ += [(v, f"{at}.{k}" if at else k) for k, v in value.items()]
+            open_ += [(v, f"{at}.{SIGNS.sub(r'\\\g<0>', k)}" if at else SIGNS.sub(r"\\\g<0>", k)) for k, v in value.items()]
         elif isinstance(value, list):
             open_ += [(v, at + "[]") for v in value]
+            if not value:
+                found.add(at + "=[]")
+    return found
+
+
+def texts(record) -> Counter[str]:
+    """The texts that a record holds, but for fields that never hold what was said."""
+    found: Counter[str] = Counter()
+    open_ = [record]
+    while open_:
+        value = open_.pop()
+        if isinstance(value, dict):
+            open_ += [v for k, v in value.items() if k not in ASIDE]
+        elif isinstance(value, list):
+            open_ += value
+        elif isinstance(value, str) and value:
+            found[value] += 1
     return found
 
 
@@ -102,15 +129,27 @@ def text_of(value) -> str:
     return valid(json.dumps(value, ensure_ascii=False))
 
 
-def turns(record: dict, how: Mapping) -> Iterator[tuple[str, str]]:
-    roles = dict(how.roles)
+def element(part, how: Mapping, mappings: Sequence[Mapping]) -> Mapping:
+    """The mapping for an element of a list: its own, unless it has none of that one's texts and all fields of another."""
+    if isinstance(part, dict) and not any(path in part for _, path in how.turns):
+        named = lambda m: [path for role, path in m.turns] + [role[1:] for role, _ in m.turns]
+        return next((m for m in mappings if m.each and all(f in part for f in named(m))), how)
+    return how
+
+
+def turns(record: dict, how: Mapping, mappings: Sequence[Mapping] = ()) -> Iterator[tuple[str, str]]:
+    for pair in record.get(HISTORY) or [] if not how.each and isinstance(record.get(HISTORY), list) else []:
+        if isinstance(pair, list) and len(pair) == 2:
+            yield from zip(("user", "assistant"), map(text_of, pair))
     parts = get(record, how.each) if how.each else [record]
     for part in parts if isinstance(parts, list) else []:
-        for role, path in how.turns:
+        mine = element(part, how, mappings) if how.each else how
+        roles = dict(mine.roles)
+        for role, path in mine.turns:
             said = text_of(get(part, path))
             if role.startswith("@"):
                 role = text_of(get(part, role[1:]))
-            elif not said and how.name == "instruction_input" and path == "input":
+            elif not said and path in OPTIONAL:
                 continue  # an instruction without input is one turn
             yield roles.get(role, role), said
 
@@ -124,8 +163,27 @@ def read(raw: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
+def left_out(record: dict, made: Sequence[tuple[str, str]], mappings: Sequence[Mapping]) -> int:
+    """How many texts of a record are in none of its turns, neither whole nor as a part of one."""
+    rest = texts(record)
+    if not rest:
+        return 0
+    names = {k: v for m in mappings for k, v in m.roles}
+    for role, said in made:
+        for used in (said, role, *(k for k, v in names.items() if v == role)):
+            if rest.get(used):
+                rest[used] -= 1
+    whole = [said for _, said in made]
+    return sum(n for t, n in rest.items() if n and not any(valid(t) in said for said in whole))
+
+
 def canonical(records: DataFrame, payload: str, keep: Sequence[str], mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """``keep``, ``layout``, ``fingerprint``, ``part``, ``role`` and ``text``: a row for each turn of each JSON record.
+    """``keep``, ``layout``, ``fingerprint``, ``part``, ``role``, ``text`` and ``left_out``: a row for each turn of each JSON record.
+
+    The mapping depends on the fingerprint alone, so the order of records does
+    not matter. An element of a list that is laid out as those of another list
+    mapping is read by that one. Texts of a record that no turn holds are
+    counted in ``left_out`` of its first row.
 
     A record that is no JSON object, or whose layout no mapping fits, gives one
     row with null layout, part, role and text, so that nothing is lost unseen;
@@ -149,25 +207,26 @@ def canonical(records: DataFrame, payload: str, keep: Sequence[str], mappings: S
                 if print_ not in chosen:
                     if len(chosen) >= 10_000:
                         chosen.clear()
-                    chosen[print_] = next((m for m in mappings if m.needs <= fields or m.each and get(record, m.each) == []), None) if fields else None
+                    chosen[print_] = next((m for m in mappings if m.needs <= fields), None) or next((m for m in mappings if m.each and f"{m.each}=[]" in fields), None)
                 how = chosen[print_]
                 try:
-                    made = list(turns(record, how)) if how else []
+                    made = list(turns(record, how, mappings)) if how else []
                 except RecursionError:
                     made, how = [], None
+                rest = left_out(record, made, mappings) if record is not None else 0
                 for k, (role, said) in enumerate(made):
                     at.append(i)
-                    rows.append((how.name, print_, k, role, said))
+                    rows.append((how.name, print_, k, role, said, 0 if k else rest))
                 if not made:
                     at.append(i)
-                    rows.append((how.name if how else None, print_, None, None, None))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*keep, "layout", "fingerprint", "part", "role", "text"])
+                    rows.append((how.name if how else None, print_, None, None, None, rest))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*keep, "layout", "fingerprint", "part", "role", "text", "left_out"])
 
     rows = records.select(*[F.col(c) for c in keep], F.col(payload).alias("_payload"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_payload")
-    return rows.mapInArrow(each, f"{schema}, layout string, fingerprint string, part int, role string, text string")
+    return rows.mapInArrow(each, f"{schema}, layout string, fingerprint string, part int, role string, text string, left_out int")
 
 
 def escaped(text: Column) -> Column:
@@ -204,36 +263,37 @@ def conversations(records: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     conversation id are one conversation; rows that repeat are turns each. A
     record without turns adds none, and neither does one that no mapping fits,
     which is counted in ``n_unread``; a conversation of such records alone has
-    no turns. Conversations and texts may be of any length: a task holds one
+    no turns. Texts of its records that no turn holds are in ``n_left_out``. Conversations and texts may be of any length: a task holds one
     turn at a time. Other columns are not looked at. An empty table gives an
     empty result.
     """
     named = records.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(payload).alias("payload"))
     turn_rows = canonical(named, "payload", ["conv_id", "turn"])
-    back = read_back(rendered(turn_rows).select("conv_id", "turn", "part", F.col("layout").isNull().alias("unread"), "formatted", "loss_start", "loss_end"))
-    rows = back.select("conv_id", "turn", "part", "role", "text", "learned", F.length("formatted").cast("long").alias("n"), "unread")
+    back = read_back(rendered(turn_rows).select("conv_id", "turn", "part", F.col("layout").isNull().alias("unread"), "left_out", "formatted", "loss_start", "loss_end"))
+    rows = back.select("conv_id", "turn", "part", "role", "text", "learned", F.length("formatted").cast("long").alias("n"), "unread", "left_out")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "part")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unread"]
-    kinds = (rows.schema["conv_id"].dataType.simpleString(), "long", "string", "long", "string", "long", "long")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unread", "n_left_out"]
+    kinds = (rows.schema["conv_id"].dataType.simpleString(), "long", "string", "long", "string", "long", "long", "long")
 
     def each(batches):
         state = None
 
         def done() -> list[tuple]:
-            return [(state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6])] if state else []
+            return [(state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:])] if state else []
 
         def batch(out: list[tuple], kind) -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=names)
+            cols = list(zip(*out)) or [()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=names)
 
         kind = pa.int64()
         for b in batches:
             out: list[tuple] = []
             kind = b.column(0).type
-            for conv, role, said, learned, n, unread in zip(*[b.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7)]):
+            for conv, role, said, learned, n, unread, rest in zip(*[b.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7, 8)]):
                 if state is None or state[0] != conv:
                     out += done()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                state[7] += rest
                 if n is None:
                     state[6] += unread
                     continue
@@ -250,7 +310,7 @@ def conversations(records: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
 
 def of_rows(rows: DataFrame, role: str = "role", text: str = "text", keep: Sequence[str] = ("conv_id", "turn")) -> DataFrame:
-    """Rows of a table of turns as records of one turn each, in one of five layouts drawn by a hash of ``keep``.
+    """Rows of a table of turns as records of one turn each, in one of eight layouts drawn by a hash of ``keep``, some with empty fields of others beside them.
 
     Roles that a layout has other names for are written by these; a role that
     is such a name itself is written in a layout that leaves it as it is.
@@ -265,6 +325,9 @@ def of_rows(rows: DataFrame, role: str = "role", text: str = "text", keep: Seque
         json_of(F.struct(F.array(F.struct(called("human", "gpt").alias("from"), t.alias("value"))).alias("conversations"))),
         json_of(F.struct(F.array(F.struct(called("human", "bot").alias("speaker"), t.alias("text"))).alias("dialog"))),
         json_of(F.struct(F.array(F.struct(r.alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.coalesce(t, F.lit("")).alias("text"))).alias("content"))).alias("messages"))),
+        json_of(F.struct(F.array().cast("array<string>").alias("messages"), r.alias("role"), t.alias("text"))),
+        json_of(F.struct(F.lit(None).cast("string").alias("messages"), t.alias("text"), r.alias("role"))),
+        json_of(F.struct(F.lit("").alias("data.question"), F.lit("").alias("data.answer"), r.alias("role"), t.alias("content"))),
     ]
     drawn = F.when(foreign, F.lit(0)).otherwise(F.pmod(F.xxhash64(*keep), F.lit(len(layouts))).cast("int"))
     payload = F.when(drawn == 0, layouts[0])
