@@ -77,7 +77,6 @@ IS_MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
 @dataclass
 class Block:
     text: str
-    linked: int
     inside: bool
     mark: tuple[int, bool] | None = field(default=None)  # the container that a name marks, and whether what it holds is foreign
     heading: bool = False
@@ -85,9 +84,11 @@ class Block:
     links: float = field(default=0.0)  # over all characters
     stops: float = field(default=0.0)  # over all words
 
+    def measure(self, linked: int) -> None:
+        self.links = linked / max(1, len(self.text) - self.text.count(" "))
+
     def __post_init__(self) -> None:
         words = self.text.lower().split()
-        self.links = self.linked / max(1, len(self.text) - len(words) + 1)
         self.stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
 
     @property
@@ -206,24 +207,30 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack, ends = Stack(), Ends(page)
     text: list[str] = []
-    linked = links = at = marks = 0
+    linked: dict[int, int] = {}  # characters in links, by block
+    link: dict[int, int] | None = None  # those of the link that is open
+    at = marks = 0
 
     def flush() -> None:
-        nonlocal linked
         said = " ".join("".join(text).split())
         if said:
             top = stack.all[-1] if stack.all else None
-            found.append(Block(said, linked, stack.main > 0, top.mark if top else None, bool(top) and top.name in HEADINGS))
+            found.append(Block(said, stack.main > 0, top.mark if top else None, bool(top) and top.name in HEADINGS))
         text.clear()
-        linked = 0
 
     def say(a: int, b: int) -> None:
-        nonlocal linked
         if a < b and not stack.bad:
             said = unescape(page[a:b])
             text.append(said)
-            if links:
-                linked += len("".join(said.split()))
+            if link is not None and (n := len("".join(said.split()))):
+                link[len(found)] = link.get(len(found), 0) + n
+
+    def unlink(whole: bool) -> None:
+        """Ends the open link; one without an end tag goes no further than the block it began in."""
+        nonlocal link
+        for block, n in list((link or {}).items())[: None if whole else 1]:
+            linked[block] = linked.get(block, 0) + n
+        link = None
 
     end = len(page)
     while at < end:
@@ -238,7 +245,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if m["end"] or m["end2"]:
             if name == "a":
-                links = 0
+                unlink(True)
             elif name in BLOCKS or name in FURNITURE:
                 flush()
                 k = stack.last(name)
@@ -251,7 +258,8 @@ def blocks(page: str) -> list[Block]:
                 at = ends.after(name, at)
             continue
         if name == "a":
-            links = 1
+            unlink(False)
+            link = {len(found): 0}
         if name == "br" and not stack.bad:
             text.append(" ")
         if name in VOID:
@@ -260,7 +268,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS or name in FURNITURE:
             flush()
-            links = 0 if name in MAIN else links
+            if name in MAIN:
+                unlink(False)
             top = stack.all[-1].name if stack.all else ""
             if top == "p" or top == name and name in ("li", "td", "th", "tr", "dt", "dd"):
                 stack.close(len(stack.all) - 1)
@@ -275,6 +284,10 @@ def blocks(page: str) -> list[Block]:
                 mark = marks, bool(hint & FOREIGN)
             stack.push(Open(name, bad, good, mark))
     flush()
+    unlink(False)
+    for i, n in linked.items():
+        if i < len(found):
+            found[i].measure(n)
     return found
 
 
@@ -308,16 +321,17 @@ def first_pass(all_blocks: list[Block]) -> None:
     held = sum(len(b.text) for b in all_blocks if b.dense and b.inside)
     elsewhere = sum(len(b.text) for b in all_blocks if b.dense and not b.inside)
     marked = any(b.inside for b in all_blocks) and held >= elsewhere
+    last = max((i for i, b in enumerate(all_blocks) if b.dense), default=-1)
     run: list[Block] = []
     for b in [*all_blocks, None]:
         if b is not None and b.menu:
             run.append(b)
             continue
-        if len(run) >= MENU or sum(len(x.text) for x in run) >= LONG:
+        if len(run) >= MENU:
             for x in run:
                 x.label = False
         run = []
-    for b in all_blocks:
+    for i, b in enumerate(all_blocks):
         size = len(b.text)
         if marked and not b.inside:
             b.label = False
@@ -326,7 +340,7 @@ def first_pass(all_blocks: list[Block]) -> None:
         elif b.label is None and not b.menu:
             if b.dense or b.inside and marked and size >= SHORT:
                 b.label = True
-            elif not b.inside and (b.linked and not b.heading or "©" in b.text):
+            elif not b.inside and i > last and "©" in b.text:  # a short line after all that is dense
                 b.label = False
 
 
