@@ -1,11 +1,12 @@
 """Packing documents into sequences of a fixed number of tokens.
 
 Texts become token ids once, in the tasks that read them; what is shuffled for
-packing is the length of each piece. Each task packs some tens of thousands of
-pieces, longest first, by best fit: a bitset has a bit for each free space that
-some open bin has, so the tightest bin is the lowest bit at or above the
-length. Every bin stays open to the end of its task, as the short pieces that
-fill it come last; the bound on open bins only guards a worker's memory.
+packing is the length of each piece. Pieces arrive at a task in an order drawn
+by a hash, some thousand at a time, and are placed once and for all, the longest
+of those at hand first. A bitset has a bit for each free space that some open
+bin has, so the tightest bin for a piece is the lowest bit at or above its
+length. The number of open bins is fixed: where a piece needs a new one and all
+are open, the fullest closes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,8 +27,8 @@ from regulus.llm.common import cut, few
 
 #: Tokens to a sequence; the id that ends a document.
 CAPACITY, END = 2048, 0
-#: Pieces that one task packs; its open bins, which are far more, so that none closes before the short pieces come (about 40 bytes each).
-PER_TASK, OPEN_BINS = 100_000, 1 << 20
+#: Pieces that one task packs; those at hand at once; open bins of a task.
+PER_TASK, AT_HAND, OPEN_BINS = 100_000, 10_000, 4096
 #: Entries of each half of a worker's two caches.
 CACHED = 250_000
 VOCABULARY = "word_bpe_49k.json"
@@ -167,17 +169,33 @@ class OpenBins:
         return at
 
 
-def place(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PER_TASK) -> DataFrame:
+def place(rows: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PER_TASK, at_hand: int = AT_HAND) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``."""
     rows = cut(rows)
     tasks = max(1, -(-rows.count() // per_task))
     key, names = rows.columns[0], rows.columns
-    mixed = rows.repartition(tasks, F.xxhash64(key, "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), key, "piece", "ids_crc32")
+    drawn = F.xxhash64(key, "piece", "ids_crc32")
+    mixed = rows.repartition(tasks, drawn).sortWithinPartitions(drawn, F.desc("length"), key, "piece", "ids_crc32")
     lengths = names.index("length")
 
+    def some(batches):
+        """The rows that are at hand at once, the longest first."""
+        held, n = [], 0
+        for b in batches:
+            for k in range(0, len(b), at_hand):
+                held.append(b.slice(k, at_hand))
+                n += len(held[-1])
+                if n >= at_hand:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held)
+
     def each(batches):
         bins, task = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for t in some(batches):
+            longest = np.argsort(-t.column(lengths).to_numpy(), kind="stable")
+            b = t.take(pa.array(longest)).combine_chunks().to_batches()[0]
             placed = [bins.place(n) for n in b.column(lengths).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([task + p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64())], names=[*names, "sequence_id", "offset"])
 
