@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructType
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -73,14 +74,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
-#: Keys of 8 bytes are broadcast up to so many.
-BROADCAST_KEYS = 1_000_000
+#: Tables of keys are broadcast up to so many rows, and bytes of text or digests in all of them.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 16 << 20
+
+
+def leaves(kind: DataType, c: Column) -> list[Column]:
+    """The texts and byte strings of a column, inside structs as well."""
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields for x in leaves(f.dataType, c.getField(f.name))]
+    return [c] if isinstance(kind, (StringType, BinaryType)) else []
+
+
+def is_small(keys: DataFrame, most: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, which should be written out, may be broadcast: by its rows, and by the bytes of what has no fixed size."""
+    of = sum((F.coalesce(F.octet_length(x), F.lit(0)) for f in keys.schema.fields for x in leaves(f.dataType, F.col(f"`{f.name}`"))), F.lit(0))
+    n, size = keys.agg(F.count(F.lit(1)), F.sum(of.cast("long"))).first()
+    return n <= most and (size or 0) <= most_bytes
 
 
 def small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """A table of keys, written out and counted: to be broadcast if it is small, else joined by a shuffle."""
     keys = cut(keys)
-    return F.broadcast(keys) if keys.count() <= most else keys
+    return F.broadcast(keys) if is_small(keys, most) else keys
 
 
 def held(c: Column) -> Column:

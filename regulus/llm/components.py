@@ -20,17 +20,17 @@ def components(links: DataFrame) -> DataFrame:
     and by splitting skewed joins. Nulls at an end are no link; repeated
     links, links both ways and loops change nothing.
     """
-    ends = links.where("a is not null and b is not null").select("a", "b")
-    roots = cut(ends.select(F.col("a").alias("node")).union(ends.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
-    open_links = cut(ends.where("a <> b").distinct())
-    turn = 0
+    ends = cut(links.where("a is not null and b is not null").select("a", "b").distinct())
+    open_links, maps, turn = ends.where("a <> b"), [], 0
     while not open_links.isEmpty():
         turn += 1
         both = open_links.union(open_links.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("n"))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("at"), F.least(rank("a"), F.col("m"))["n"].alias("to"))
-        best = cut(best)
-        roots = cut(roots.join(best, roots["root"] == best["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
-        left, right = best.select(F.col("at").alias("a"), F.col("to").alias("na")), best.select(F.col("at").alias("b"), F.col("to").alias("nb"))
+        maps.append(cut(best))
+        left, right = maps[-1].select(F.col("at").alias("a"), F.col("to").alias("na")), maps[-1].select(F.col("at").alias("b"), F.col("to").alias("nb"))
         open_links = cut(open_links.join(left, "a").join(right, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    return roots
+    roots = ends.select(F.col("a").alias("node")).union(ends.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node"))
+    for best in maps:
+        roots = roots.join(best, roots["root"] == best["at"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(roots)

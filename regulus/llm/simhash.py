@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import BROADCAST_KEYS, cut, few, small
+from regulus.llm.common import cut, few, is_small, small
 from regulus.llm.components import components
 from regulus.llm.similar import SHINGLE as FIVE
 from regulus.llm.similar import digest, join_similar, min_hashes, shingle_set
@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **h
     # of each key whether it goes and how often it is there, written out once for the few that matter
     per = found.groupBy("_key").agg((F.max("component_id") != F.col("_key")).alias("goes"), F.count(F.lit(1)).alias("n"))
     told = cut(per.where("goes or n > 1"))
-    gone = F.broadcast(told) if told.count() <= BROADCAST_KEYS else told
+    gone = F.broadcast(told) if is_small(told) else told
     row = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     kept = row.join(gone.where("goes").select(F.col("_key").alias("_gone")), F.col("_key") == F.col("_gone"), "left_anti")
     again = told.where("not goes").select("_key")

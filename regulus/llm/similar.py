@@ -137,16 +137,17 @@ def join_similar(docs: DataFrame, marks: DataFrame, text: str, id_column: str, s
     full = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("first"), F.min("me.head").alias("low"), F.max("me.head").alias("high")).where("low < high")
     part = F.pmod(F.xxhash64("k", "me.name"), F.ceil(F.col("n") / PART).cast("long"))
     pairs = cut(met(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "me"), STEPS))
-    ends = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
+    ends = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name")))
     near = alike(pairs, sets_of(docs, texts, ends, text, id_column, shingle, seed), similarity)
-    roots = components(cut(near.union(torn)))
+    roots = components(near.union(torn))
     # what the neighbours left apart
     now = cut(texts.join(roots, texts["head"] == roots["node"], "left").select("name", F.coalesce("root", "head").alias("head"), "blocks", "key"))
-    apart = cut(mixed(now))
-    grams = sets_of(docs, now, apart, text, id_column, shingle, seed)
-    more = cut(alike(candidates(grams.join(now.select("name", "head"), "name"), similarity), grams, similarity))
-    if not more.isEmpty():
-        later = cut(components(more).select(F.col("node").alias("old"), F.col("root").alias("new")))
+    grams = sets_of(docs, now, mixed(now), text, id_column, shingle, seed)
+    more = None
+    if not grams.isEmpty():
+        more = cut(alike(candidates(grams.join(now.select("name", "head"), "name"), similarity), grams, similarity))
+    if more is not None and not more.isEmpty():
+        later = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))
         fresh = later.join(roots, later["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
         roots = cut(roots.join(later, roots["root"] == later["old"], "left").select("node", F.coalesce("new", "root").alias("root")).union(fresh))
     return roots.join(roots.groupBy("root").agg(F.min("node").alias("head")), "root").select(F.col("node").alias("was"), "head")
