@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 from regulus.functions import patterns as P
 from regulus.functions.text import cut, distinct_sorted, find_all, let, lines, ratio, strip, unlines
 from regulus.operators import clean
+from regulus.operators.asof import HEAVY, parted
 
 #: A score makes a table from the first on, a candidate from the second; a paragraph gives way to what scores the second.
 TABLE, CANDIDATE, PROMOTED = 0.55, 0.50, 0.45
 #: Window of lines; look-ahead of a paragraph; lines that a table may grow on either side; a shorter line is short.
 WINDOW_LEAST, WINDOW_MOST, AHEAD, GROW, SHORT = 5, 8, 5, 10, 50
-#: Blocks that the rows of one key are cut into, where a key may hold a large share of a table.
-BLOCKS_OF_A_KEY = 64
 #: A short table chunk may be a fragment of its neighbour's table.
 FRAGMENT, UNKNOWN = 50, "unknown_fragment"
 LABELS = ("3급승진제외", "3급승진")
@@ -249,14 +248,6 @@ def label(section_type: Column, content: Column, char_count: Column) -> Column:
     return F.when(F.contains(bare, F.lit(LABELS[0])), LABELS[0]).when(F.contains(bare, F.lit(LABELS[1])) & ~F.contains(bare, F.lit("제외")), LABELS[1]).when((section_type == "table_rows") & (char_count < FRAGMENT), UNKNOWN)
 
 
-def block_of(rows: DataFrame, order: str, blocks: int) -> Column:
-    """The number of the block that a row's ``order`` falls in, of about as many rows each: bounds are that many quantiles of the table."""
-    bounds = rows.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10_000).alias("b")).first()["b"] or []
-    kind = rows.schema[order].dataType
-    at = sum((F.coalesce((F.col(order) > F.lit(x).cast(kind)).cast("int"), F.lit(0)) for x in sorted(set(bounds))), F.lit(0))
-    return at.cast("int")
-
-
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Rows of both sides agree on the names, nulls among them."""
     found = F.lit(True)
@@ -265,21 +256,20 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return found
 
 
-def propagate(rows: DataFrame, key: list[str], order: str, value: str, is_open: Column, out: str, blocks: int | None = None) -> DataFrame:
+def propagate(rows: DataFrame, key: list[str], order: str, value: str, is_open: Column, out: str, heavy: int | None = HEAVY) -> DataFrame:
     """Adds ``out``: the value, or where the row is open the nearest one before it that is not, else the nearest after, else its own.
 
-    Rows of a key meet in one window. Where a key may hold a large share of a
-    table, ``blocks`` cuts it by quantiles of ``order``: windows are as long as
-    a block, and what stands before and after it is carried in from a table of
-    blocks. Of equal places in different blocks there are none, as a block is a
-    range of places.
+    Rows of a key meet in one window. A key of more than ``heavy`` rows is cut
+    into ranges of ``order`` (:func:`regulus.operators.asof.parted`): windows are
+    as long as a range, and what stands before and after it is carried in from a
+    table of ranges. Other keys are left as they are.
     """
     known = F.when(~is_open, F.col(value))
-    if blocks is None:
+    placed = parted(rows, key, order, heavy) if heavy else None
+    if placed is None:
         w = Window.partitionBy(*key).orderBy(order)
         before, after = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
         return rows.withColumn(out, F.when(is_open, F.coalesce(before, after, F.col(value))).otherwise(F.col(value)))
-    placed = rows.withColumn("_b", block_of(rows, order, blocks))
     ends = placed.where(known.isNotNull()).groupBy(*key, "_b").agg(F.max(F.struct(order, value))[value].alias("_last"), F.min(F.struct(order, value))[value].alias("_first"))
     every = placed.select(*key, "_b").distinct()
     told = every.join(ends, same(every, ends, [*key, "_b"]), "left").select(*[every[k] for k in [*key, "_b"]], "_last", "_first")
@@ -305,7 +295,7 @@ def regroup(annex_chunks: DataFrame, id_column: str = "doc_id", strict_parity: b
     key = [id_column, "annex_index"]
     is_table = F.col("section_type") == "table_rows"
     labelled = annex_chunks.withColumn("_own", label(F.col("section_type"), F.col("content"), F.col("char_count")))
-    tables = propagate(labelled.where(is_table), key, "chunk_order", "_own", F.coalesce(F.col("_own") == UNKNOWN, F.lit(False)), "table_label")
+    tables = propagate(labelled.where(is_table), key, "chunk_order", "_own", F.coalesce(F.col("_own") == UNKNOWN, F.lit(False)), "table_label", heavy=None)  # a document's chunks are few
     tables = tables.withColumn("table_label", F.when(F.col("table_label") != UNKNOWN, F.col("table_label"))).drop("_own")
     group = F.coalesce("table_label", F.concat(F.lit("#"), F.col("chunk_order")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", "content"))), lambda x: x["content"]), "\n")
@@ -318,19 +308,19 @@ def regroup(annex_chunks: DataFrame, id_column: str = "doc_id", strict_parity: b
     return others.select(merged.columns).unionByName(merged)
 
 
-def merge_intervals(rows: DataFrame, key: str, start: str, end: str, score: str, blocks: int | None = None) -> DataFrame:
+def merge_intervals(rows: DataFrame, key: str, start: str, end: str, score: str, heavy: int | None = HEAVY) -> DataFrame:
     """Intervals of a key that overlap or touch become one, with the largest score: ``key, start, end, score, merged``.
 
-    ``blocks`` cuts the rows of a key by quantiles of ``start``, as
+    A key of more than ``heavy`` rows is cut into ranges of ``start``, as
     :func:`propagate` does: the reach and the number of runs so far are carried
-    into a block from a table of blocks.
+    into a range from a table of ranges.
     """
-    if blocks is None:
+    placed = parted(rows, [key], start, heavy) if heavy else None
+    if placed is None:
         w = Window.partitionBy(key).orderBy(start, end)
         reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
         runs = rows.withColumn("_apart", F.when(F.col(start) <= reach + 1, 0).otherwise(1)).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     else:
-        placed = rows.withColumn("_b", block_of(rows, start, blocks))
         ws = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         ends = placed.groupBy(key, "_b").agg(F.max(end).alias("_e")).select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.max("_e").over(ws).alias("_in"))
         w = Window.partitionBy(key, "_b").orderBy(start, end)

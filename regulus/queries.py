@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.operators import align, annex, chunking, classify, clean, golden, kvs, qa, structure, tables
+from regulus.operators import align, annex, asof, chunking, classify, clean, golden, intervals, kvs, qa, structure, tables
 from regulus.plans import corpus, render
 
 FOUND = {}
@@ -190,14 +190,14 @@ def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint").alias("s"), "l_quantity", "l_linenumber")
     rows = rows.select("l_suppkey", "s", (F.col("s") + F.col("l_linenumber")).cast("bigint").alias("e"), "l_quantity")
-    return annex.merge_intervals(rows, "l_suppkey", "s", "e", "l_quantity", blocks=annex.BLOCKS_OF_A_KEY)
+    return annex.merge_intervals(rows, "l_suppkey", "s", "e", "l_quantity")
 
 
 @query
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     is_open = F.col("event_type").isin("view", "click")
-    return annex.propagate(rows, ["user_id"], "event_id", "event_type", is_open, "label", blocks=annex.BLOCKS_OF_A_KEY).select("event_id", "user_id", "label")
+    return annex.propagate(rows, ["user_id"], "event_id", "event_type", is_open, "label").select("event_id", "user_id", "label")
 
 
 @query
@@ -498,5 +498,43 @@ def rewrite_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "article_number", "header_preserved", "numbers_intact", "legal_terms_intact", "structure_preserved", "is_valid", key.alias("cache_key"))
 
 
+DAY, MINUTE = 86_400_000_000, 60_000_000
+
+
+def micros(c: str) -> Column:
+    """A moment as a whole number, read in the session's time zone where it has none."""
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+@query
+def in_transit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order, the customer's line items that were under way, a day for each piece, in the two weeks from its date on."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", micros("o_orderdate").alias("placed"))
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    shipped = lines.select("o_custkey", "l_quantity", micros("l_shipdate").alias("sent"), (micros("l_shipdate") + F.col("l_quantity").cast("long") * DAY).alias("there"))
+    pairs = intervals.overlapping(shipped, orders.withColumn("until", F.col("placed") + 14 * DAY), ("sent", "there"), ("placed", "until"), ["o_custkey"])
+    return pairs.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("line_items"), F.sum(long("l_quantity")).alias("pieces"), long(F.min("sent")).alias("first_sent"))
+
+
+@query
+def errors_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error, how many other events, which last a quarter of an hour, go on within ten minutes of it."""
+    e = table(spark, sf_dir, "events").withColumn("at", micros("ts"))
+    errors = e.where("event_type = 'error'").select("event_id", F.col("at").alias("e_start"), (F.col("at") + 10 * MINUTE).alias("e_end"))
+    others = e.where("event_type <> 'error'").select("user_id", F.col("at").alias("o_start"), (F.col("at") + 15 * MINUTE).alias("o_end"))
+    pairs = intervals.overlapping(errors, others, ("e_start", "e_end"), ("o_start", "o_end"))
+    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
+
+
+@query
+def last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order, placed anew at a moment of the events' month, what its user did last before."""
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("o_orderkey") * 7919 % 2_592_000 * 1_000_000)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("user_id"), at.alias("at"))
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+    got = asof.as_of(orders, events, ["user_id"], "at", "ts", ["event_id"])
+    return got.select("o_orderkey", "user_id", "last.event_id", "last.event_type", "last.value")
+
+
 def queries():
     return dict(FOUND)

@@ -106,11 +106,11 @@ def test_hot_keys_are_cut_into_blocks(spark):
     rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), i, rng.choice(["a", "b", "open", "open", "open", None])) for i in range(600)]
     df = spark.createDataFrame(rows, "k long, i long, v string")
     is_open = F.coalesce(F.col("v") == "open", F.lit(False))
-    whole, cut = annex.propagate(df, ["k"], "i", "v", is_open, "out"), annex.propagate(df, ["k"], "i", "v", is_open, "out", blocks=16)
+    whole, cut = annex.propagate(df, ["k"], "i", "v", is_open, "out"), annex.propagate(df, ["k"], "i", "v", is_open, "out", heavy=20)
     assert cut.columns == whole.columns and sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
     spans = spark.createDataFrame([(k or 0, s, s + rng.randrange(4), rng.random()) for _ in range(5) for k, s, _ in rows for s in [rng.randrange(3000)]], "k long, s long, e long, x double")
-    assert sorted(map(str, annex.merge_intervals(spans, "k", "s", "e", "x", blocks=16).collect())) == sorted(map(str, annex.merge_intervals(spans, "k", "s", "e", "x").collect()))
-    assert annex.propagate(df.limit(0), ["k"], "i", "v", is_open, "out", blocks=4).count() == 0
+    assert sorted(map(str, annex.merge_intervals(spans, "k", "s", "e", "x", heavy=20).collect())) == sorted(map(str, annex.merge_intervals(spans, "k", "s", "e", "x").collect()))
+    assert annex.propagate(df.limit(0), ["k"], "i", "v", is_open, "out", heavy=4).count() == 0
 
 
 def test_annex_parts_in_chunks(spark):
