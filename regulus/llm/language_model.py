@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
+from itertools import repeat
 from math import log, log10
 from zlib import crc32
 
@@ -51,22 +52,9 @@ CHUNK, FAN = 4_000_000, 8
 EDGE = 1 << 14
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """How many tokens each text has, the different ones, and which of these each token is.
-
-    Words stand between ASCII white space, with A-Z in lower case; each text ends
-    with the end.
-    """
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column)))
-    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = flat.dictionary_encode()
-    names, which = words.dictionary.cast(pa.binary()).to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-    if b"" in names:  # a text without words is split into one empty word
-        real = which != names.index(b"")
-        sizes = np.add.reduceat(real, np.cumsum([0, *sizes])[:-1], dtype=np.int64)
-        which = which[real]
-    ends = np.cumsum(sizes)
-    return sizes + 1, [*names, END], np.insert(which, ends, len(names)).astype(np.int32)
+def words_of(column: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each text, between ASCII white space, with A-Z in lower case; the end is not among them."""
+    return (t.lower().split() for t in column.cast(pa.binary()).to_pylist())
 
 
 def key(word: bytes) -> bytes:
@@ -95,14 +83,18 @@ def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
 
         counted: Counter[bytes] = Counter()
         for b in few(batches):
-            _, names, which = tokens(b.column(0))
-            for w, n in zip(names, np.bincount(which, minlength=len(names)).tolist()):
-                if n:
-                    counted[key(w)] += n
+            for words in words_of(b.column(0)):
+                counted.update(words)
+            counted[END] += len(b)
             if len(counted) > most:
-                yield told(counted)
+                yield told(short(counted))
                 counted.clear()
-        yield told(counted)
+        yield told(short(counted))
+
+    def short(c: Counter[bytes]) -> Counter[bytes]:
+        for w in [w for w in c if len(w) > LONGEST]:
+            c[key(w)] += c.pop(w)
+        return c
 
     return texts.mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -188,19 +180,18 @@ def coded(rows: DataFrame, known: Vocabulary) -> DataFrame:
     def each(batches):
         places = {w: i for i, w in enumerate(words)}
         for b in few(batches):
-            sizes, names, which = tokens(b.column(3))
-            names = list(map(key, names))
-            codes = np.array([places.get(w, -1) for w in names], np.int32)[which]
-            starts = np.cumsum([0, *sizes])
-            others: list[list[bytes]] = [[] for _ in sizes]
-            rare = np.flatnonzero(codes < 0)
-            doc = np.searchsorted(starts, rare, "right") - 1
-            cuts = np.searchsorted(doc, np.arange(len(sizes) + 1))
-            for i in np.unique(doc).tolist():
-                mine = rare[cuts[i] : cuts[i + 1]]
-                different, at = np.unique(which[mine], return_inverse=True)
-                codes[mine] = -1 - at
-                others[i] = [names[w] for w in different.tolist()]
+            codes, others = [], []
+            for found in words_of(b.column(3)):
+                found.append(END)
+                at = np.fromiter(map(places.get, found, repeat(-1)), np.int32, len(found))
+                mine: dict[bytes, int] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    w = key(found[i])
+                    at[i] = places[w] if w in places else mine.setdefault(w, -1 - len(mine))
+                codes.append(at)
+                others.append(list(mine))
+            starts = np.cumsum([0, *map(len, codes)])
+            codes = np.concatenate(codes) if codes else np.empty(0, np.int32)
             groups = [bytes(map(ending, ws)) for ws in others]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], packed(codes, starts), pa.array(others, pa.list_(pa.binary())), pa.array(groups, pa.binary())], names=["row", "id", "held", "codes", "others", "groups"])
 
