@@ -218,3 +218,13 @@ def annex_parts(annex_chunks: DataFrame, key: str = "doc_id", rows: bool = True)
 def type_counts(chunks: DataFrame, key: str | None = None) -> DataFrame:
     kind = F.coalesce("type", F.lit("unknown")).alias("type")
     return chunks.groupBy(*([key] if key else []), kind).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def type_totals(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Chunks and their characters by type and by each choice of the columns ``by``, in one pass: with all subtotals.
+
+    ``grouping`` has a bit for each column, the type's the lowest, set where a
+    row is about all of its values, so a null value is told apart from a total.
+    """
+    kind = chunks.select(*by, F.coalesce("type", F.lit("unknown")).alias("type"), F.length("content").cast("long").alias("n"))
+    return kind.cube(*by, "type").agg(F.grouping_id().cast("long").alias("grouping"), F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("chars"))

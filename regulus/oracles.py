@@ -373,7 +373,10 @@ SQL = {
     + "SELECT doc_id, number AS article_number, h AS header_preserved, d AS numbers_intact, l AS legal_terms_intact, s AS structure_preserved, h AND d AND l AND s AS is_valid, md5(doc_id || '_' || number || '_0.4.0') AS cache_key FROM k",
 }
 
+PROFILED = r"prof AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'law_hr' WHEN doc_id % 5 = 1 THEN 'law_terms' WHEN contains(text, '기본정신') THEN 'law_hr' WHEN len(regexp_extract_all(text, '제\d+조')) > 5 THEN 'law_generic' ELSE 'vlm_general' END AS profile, CASE WHEN regexp_matches(text, '제\d+조') THEN 'legal' WHEN contains(text, '[별표') THEN 'annex_only' ELSE 'unknown' END AS route FROM docs)"
 SQL |= {
+    "chunk_totals": cte(*CHUNKS, PROFILED) + "SELECT profile, route, type, CAST(grouping(profile, route, type) AS BIGINT) AS grouping, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM made JOIN prof USING (doc_id) GROUP BY CUBE (profile, route, type)",
+    "event_sessions": "WITH s AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM s) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events, round(sum(value), 4) AS total FROM r GROUP BY user_id, n",
     "in_transit": "SELECT r.o_orderkey, count(*) AS line_items, CAST(sum(l.l_quantity) AS BIGINT) AS pieces, epoch_us(min(l.l_shipdate)) AS first_sent FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN orders r ON r.o_custkey = o.o_custkey AND l.l_shipdate <= r.o_orderdate + INTERVAL 14 DAY AND r.o_orderdate <= l.l_shipdate + l.l_quantity::INT * INTERVAL 1 DAY GROUP BY r.o_orderkey",
     "errors_around": "SELECT e.event_id, count(*) AS events, count(DISTINCT o.user_id) AS users FROM events e JOIN events o ON o.event_type <> 'error' AND o.ts <= e.ts + INTERVAL 10 MINUTE AND e.ts <= o.ts + INTERVAL 15 MINUTE WHERE e.event_type = 'error' GROUP BY e.event_id",
     "last_event": "WITH o AS (SELECT o_orderkey, o_custkey % 200 AS user_id, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000) AS at_ FROM orders), e AS (SELECT user_id, ts, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, ts) SELECT o.o_orderkey, o.user_id, e.event_id, e.event_type, e.value FROM o ASOF LEFT JOIN e ON e.user_id = o.user_id AND e.ts <= o.at_",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from regulus.operators import align, annex, asof, chunking, classify, clean, golden, intervals, kvs, qa, structure, tables
 from regulus.plans import corpus, render
+from regulus.streaming import state
 
 FOUND = {}
 
@@ -536,5 +537,18 @@ def last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", "user_id", "last.event_id", "last.event_type", "last.value")
 
 
+@query
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.sessions(table(spark, sf_dir, "events"))
+    return rows.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events", F.round("total", 4).alias("total"))
+
+
+@query
+def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.documents(spark, sf_dir).withColumn("file_name", F.when(F.col("doc_id") % 5 == 0, "HR.pdf").when(F.col("doc_id") % 5 == 1, "terms.pdf").otherwise("a.pdf"))
+    told = docs.select("doc_id", classify.profile(F.col("file_name"), F.col("text")).alias("profile"), classify.route(F.col("text")).alias("route"))
+    return chunking.type_totals(chunking.exploded(chunked(spark, sf_dir)).join(told, "doc_id"), ["profile", "route"])
+
+
 def queries():
     return dict(FOUND)
