@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.functions.text import find_all
@@ -41,6 +41,8 @@ EDGE = r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$"
 
 #: Rounds over the graph; tokens a pattern must have met; what a pattern and what a token must reach.
 ROUNDS, SUPPORT, PATTERN_SCORE, TOKEN_SCORE = 3, 4, 0.8, 0.9
+#: What a token that may be of a kind counts for before it is known, and what is added to a pattern's tokens.
+DOUBT, PRIOR = 0.1, 0.5
 #: Characters looked at on each side for a neighbouring word.
 REACH = 64
 #: Spans found by patterns are broadcast to the texts up to so many spans (under 100 bytes each); beyond it the join shuffles.
@@ -155,9 +157,18 @@ def graph(seen: DataFrame, support: int = SUPPORT) -> Graph:
 
 
 def confident(g: Graph, scores: DataFrame, support: int, pattern_score: float) -> DataFrame:
-    """``(p, kind, conf)``: of the patterns' tokens, the share known to be of a kind."""
+    """``(p, kind, conf)``: of a pattern's tokens, the share that is of a kind.
+
+    Tokens known to be of another kind and those that cannot be of this one
+    count against it. A token that may be of the kind says little until it is
+    known, or a pattern could only ever find what is rare beside it.
+    """
     per = g.edges.join(scores, "i").groupBy("p", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
-    return per.select("p", "kind", "met", (F.col("mass") / (F.col("n") + 1)).alias("conf")).where((F.col("conf") >= pattern_score) & (F.col("met") >= support)).select("p", "kind", "conf")
+    per = per.withColumn("told", F.sum("met").over(Window.partitionBy("p"))).where(F.col("met") >= support)  # a pattern has a row for each kind at most
+    unsure = g.edges.join(g.open.join(scores.select("i"), "i", "left_anti"), "i").groupBy("p", "kind").agg(F.count(F.lit(1)).alias("u"))
+    u = F.coalesce("u", F.lit(0))
+    against = F.col("told") + DOUBT * u + F.greatest(F.col("n") - F.col("told") - u, F.lit(0)) + PRIOR
+    return per.join(unsure, ["p", "kind"], "left").select("p", "kind", (F.col("mass") / against).alias("conf")).where(F.col("conf") >= pattern_score)
 
 
 def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pattern_score: float = PATTERN_SCORE, token_score: float = TOKEN_SCORE) -> DataFrame | None:

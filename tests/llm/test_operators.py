@@ -360,6 +360,18 @@ def test_patterns_discover_other_notations(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[201] == "other words phone: <PHONE> please"
 
 
+def test_a_slot_of_many_unknown_numbers(spark):
+    """Five numbers behind a word that stands before twelve phones are phones; those behind another word, or in a mixed slot, are not."""
+    seeds = [(100 + i, f"x{i} phone: +49 30 55{i:02d} 7712 y{i}") for i in range(12)]
+    unseen = [(200 + i, f"x{i} phone: 030-55{i}771{i} y") for i in range(5)]
+    other = [(300 + i, f"x{i} order no: 030-66{i}881{i} y") for i in range(5)]
+    mixed = [(400 + i, f"x{i} ref: +49 40 66{i:02d} 8813 y") for i in range(6)] + [(420 + i, f"x{i} ref: 7{i}8a9{i}5b6 y") for i in range(6)] + [(440, "x ref: 040-1239876 y")]
+    docs = documents(spark, seeds + unseen + other + mixed)
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert all(got[200 + i].startswith("phone:") for i in range(5)) and not any(got[300 + i] for i in range(5))
+    assert got[440] == "" and not any(got[420 + i] for i in range(6))
+
+
 def places_of(t):
     """Seeds and candidates of a text with the words around them, worked out one by one."""
     import regex
@@ -402,8 +414,11 @@ def bootstrapped(texts, rounds, support, pattern_score, token_score):
         for p, tokens in edges.items():
             for k in pii.KINDS:
                 mass = [scores[i, k] for i in tokens if (i, k) in scores]
-                if len(tokens) >= support and len(mass) >= support and sum(mass) / (len(tokens) + 1) >= pattern_score:
-                    good[p, k] = sum(mass) / (len(tokens) + 1)
+                told = sum((i, x) in scores for i in tokens for x in pii.KINDS)
+                unsure = sum((i, k) in still and not any((i, x) in scores for x in pii.KINDS) for i in tokens)
+                conf = sum(mass) / (told + pii.DOUBT * unsure + max(0, len(tokens) - told - unsure) + pii.PRIOR)
+                if len(tokens) >= support and len(mass) >= support and conf >= pattern_score:
+                    good[p, k] = conf
         doubt = collections.defaultdict(lambda: 1.0)
         for (p, k), conf in good.items():
             for i in edges[p]:
