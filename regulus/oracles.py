@@ -374,7 +374,15 @@ SQL = {
 }
 
 PROFILED = r"prof AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'law_hr' WHEN doc_id % 5 = 1 THEN 'law_terms' WHEN contains(text, '기본정신') THEN 'law_hr' WHEN len(regexp_extract_all(text, '제\d+조')) > 5 THEN 'law_generic' ELSE 'vlm_general' END AS profile, CASE WHEN regexp_matches(text, '제\d+조') THEN 'legal' WHEN contains(text, '[별표') THEN 'annex_only' ELSE 'unknown' END AS route FROM docs)"
+#: The annexes with both tables as text, the part of the text that belongs to each table, and its rows or those of the rule.
+TABLE_TEXTS = r"""WITH texts AS (SELECT c_custkey AS doc_id, '[별표1] 승진후보자범위(3급승진제외)' || chr(10) || coalesce((SELECT string_agg(n || ' ' || (5 * n + c_custkey % 4) || '번까지' || chr(10), '' ORDER BY n) FROM range(1, 76) t(n) WHERE n <= CASE WHEN c_custkey % 2 = 0 THEN 75 ELSE c_custkey % 75 END), '')
+  || CASE WHEN c_custkey % 5 <> 0 THEN '승진후보자범위(3급승진)' || chr(10) || coalesce((SELECT string_agg(n || ' ' || (2 * n + c_custkey % 3) || '번까지' || chr(10), '' ORDER BY n) FROM range(1, 76) t(n) WHERE n <= CASE WHEN c_custkey % 3 = 0 THEN 75 ELSE c_custkey % 60 END), '') ELSE '' END || '[별표2] 응시자격' || chr(10) || '1 900번까지' || chr(10) AS text FROM customer),
+parts AS (SELECT doc_id, 'annex_1_3급승진제외' AS table_id, string_split(string_split(string_split(text, '(3급승진제외)')[2], '승진후보자범위(3급승진)')[1], '[별표2]')[1] AS part FROM texts UNION ALL SELECT doc_id, 'annex_1_3급승진', string_split(text, '승진후보자범위(3급승진)')[2] FROM texts),
+found AS (SELECT doc_id, table_id, regexp_extract_all(coalesce(part, ''), '(?m)^\d+\s+\d+번까지') AS m FROM parts),
+told AS (SELECT doc_id, table_id, len(m) < 75 AS is_generated, CASE WHEN len(m) < 75 THEN 75 ELSE len(m) END AS n_rows, CASE WHEN len(m) >= 75 THEN list_sum(list_transform(m, lambda x: regexp_extract(x, '\s(\d+)', 1)::BIGINT)) WHEN table_id = 'annex_1_3급승진' THEN list_sum(list_transform(range(1, 76), lambda n: 2 * n)) ELSE list_sum(list_transform(range(1, 76), lambda n: CASE WHEN n <= 5 THEN 5 * n ELSE 25 + 3 * (n - 5) END)) END AS ranks FROM found) """
 SQL |= {
+    "tables_of_texts": TABLE_TEXTS + "SELECT doc_id, table_id, is_generated, CAST(n_rows AS BIGINT) AS n_rows, CAST(ranks AS BIGINT) AS ranks FROM told",
+    "tables_of_texts_stats": TABLE_TEXTS + "SELECT table_id, count(*) AS documents, CAST(sum(n_rows) AS BIGINT) AS rows, count(*) FILTER (NOT is_generated) AS own_documents, CAST(sum(n_rows) FILTER (NOT is_generated) AS BIGINT) AS own_rows FROM told GROUP BY table_id",
     "chunk_totals": cte(*CHUNKS, PROFILED) + "SELECT profile, route, type, CAST(grouping(profile, route, type) AS BIGINT) AS grouping, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM made JOIN prof USING (doc_id) GROUP BY CUBE (profile, route, type)",
     "event_sessions": "WITH s AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM s) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events, round(sum(value), 4) AS total FROM r GROUP BY user_id, n",
     "in_transit": "SELECT r.o_orderkey, count(*) AS line_items, CAST(sum(l.l_quantity) AS BIGINT) AS pieces, epoch_us(min(l.l_shipdate)) AS first_sent FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN orders r ON r.o_custkey = o.o_custkey AND l.l_shipdate <= r.o_orderdate + INTERVAL 14 DAY AND r.o_orderdate <= l.l_shipdate + l.l_quantity::INT * INTERVAL 1 DAY GROUP BY r.o_orderkey",
