@@ -380,7 +380,18 @@ TABLE_TEXTS = r"""WITH texts AS (SELECT c_custkey AS doc_id, '[별표1] 승진
 parts AS (SELECT doc_id, 'annex_1_3급승진제외' AS table_id, string_split(string_split(string_split(text, '(3급승진제외)')[2], '승진후보자범위(3급승진)')[1], '[별표2]')[1] AS part FROM texts UNION ALL SELECT doc_id, 'annex_1_3급승진', string_split(text, '승진후보자범위(3급승진)')[2] FROM texts),
 found AS (SELECT doc_id, table_id, regexp_extract_all(coalesce(part, ''), '(?m)^\d+\s+\d+번까지') AS m FROM parts),
 told AS (SELECT doc_id, table_id, len(m) < 75 AS is_generated, CASE WHEN len(m) < 75 THEN 75 ELSE len(m) END AS n_rows, CASE WHEN len(m) >= 75 THEN list_sum(list_transform(m, lambda x: regexp_extract(x, '\s(\d+)', 1)::BIGINT)) WHEN table_id = 'annex_1_3급승진' THEN list_sum(list_transform(range(1, 76), lambda n: 2 * n)) ELSE list_sum(list_transform(range(1, 76), lambda n: CASE WHEN n <= 5 THEN 5 * n ELSE 25 + 3 * (n - 5) END)) END AS ranks FROM found) """
+#: Texts whose headers are mostly loose, line by line: a loose one counts if there are fewer than five strict ones, none has its number, and no reference is near it.
+LOOSE_TEXTS = rf"""WITH ln AS (SELECT c_custkey AS doc_id, j, CASE WHEN (c_custkey + j) % 4 = 0 OR j < 7 AND c_custkey % 7 = 0 THEN '제' || j || '조(목적 ' || j || ') ' || c_custkey ELSE '제' || j || '조 ' || CASE WHEN (c_custkey + 2 * j) % 5 = 0 THEN '제9조제2항에 따라 ' WHEN (c_custkey + j) % 6 = 1 THEN '제2조 및 제3조의 ' ELSE '' END || c_custkey END
+  || ' ' || repeat('직원은 맡은 업무를 성실하게 처리하고 그 결과를 지체 없이 보고하여야 하며 필요한 사항은 따로 정하는 바에 따른다. ', (1 + (c_custkey + j) % 3)::INT) AS line FROM customer, range(1, 8) t(j)),
+tx AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY j) AS text FROM ln GROUP BY doc_id),
+at_ AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, regexp_extract(line, '^제\d+조', 0) AS matched, regexp_matches(line, '^제\d+조\s*\(') AS strict, regexp_matches(line, '^제\d+조(\s|$)') AS loose FROM ln),
+named AS (SELECT doc_id, list(DISTINCT matched) FILTER (strict) AS names FROM at_ GROUP BY doc_id),
+hd AS (SELECT a.*, text, CASE WHEN strict THEN 'article' ELSE 'article_loose' END AS type FROM at_ a JOIN named USING (doc_id) JOIN tx USING (doc_id) WHERE strict OR loose AND coalesce(len(names), 0) < 5 AND NOT coalesce(list_contains(names, matched), false)
+  AND NOT regexp_matches(substring(text, greatest(pos - 50, 0) + 1, least(pos + length(matched) + 50, length(text)) - greatest(pos - 50, 0)), '제\d+조제\d+[항호]|제\d+조\s*[및과]\s*제\d+조')),
+pc AS (SELECT *, {strip("substring(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)")} AS content FROM hd) """
 SQL |= {
+    "loose_pieces": LOOSE_TEXTS + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS chunk_index, type, matched AS boundary, CASE WHEN strict THEN regexp_extract(line, '\\(([^)]+)\\)', 1) END AS title, pos, md5(content) AS content_md5, CAST(length(content) AS BIGINT) AS char_count FROM pc WHERE length(content) >= 100",
+    "loose_share": LOOSE_TEXTS + "SELECT doc_id, round(avg((type = 'article_loose')::INT), 6) AS loose_ratio, avg((type = 'article_loose')::INT) > 0.3 AS loose_ratio_high FROM pc WHERE length(content) >= 100 GROUP BY doc_id",
     "tables_of_texts": TABLE_TEXTS + "SELECT doc_id, table_id, is_generated, CAST(n_rows AS BIGINT) AS n_rows, CAST(ranks AS BIGINT) AS ranks FROM told",
     "tables_of_texts_stats": TABLE_TEXTS + "SELECT table_id, count(*) AS documents, CAST(sum(n_rows) AS BIGINT) AS rows, count(*) FILTER (NOT is_generated) AS own_documents, CAST(sum(n_rows) FILTER (NOT is_generated) AS BIGINT) AS own_rows FROM told GROUP BY table_id",
     "chunk_totals": cte(*CHUNKS, PROFILED) + "SELECT profile, route, type, CAST(grouping(profile, route, type) AS BIGINT) AS grouping, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM made JOIN prof USING (doc_id) GROUP BY CUBE (profile, route, type)",

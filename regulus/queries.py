@@ -324,6 +324,30 @@ def loose_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.loose_share(chunking.pieces(corpus.documents(spark, sf_dir)))
 
 
+def loose_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer a text of seven articles, most of whose headers have no title; some lines only refer to an article."""
+    k, body = F.col("c_custkey"), "직원은 맡은 업무를 성실하게 처리하고 그 결과를 지체 없이 보고하여야 하며 필요한 사항은 따로 정하는 바에 따른다. "
+
+    def line(j: int) -> Column:
+        strict = (k + j) % 4 == 0 if j == 7 else ((k + j) % 4 == 0) | (k % 7 == 0)
+        refers = F.when((k + 2 * j) % 5 == 0, "제9조제2항에 따라 ").when((k + j) % 6 == 1, "제2조 및 제3조의 ").otherwise("")
+        head = F.when(strict, F.concat(F.lit(f"제{j}조(목적 {j}) "), k.cast("string"))).otherwise(F.concat(F.lit(f"제{j}조 "), refers, k.cast("string")))
+        return F.concat(head, F.lit(" "), F.repeat(F.lit(body), (1 + (k + j) % 3).cast("int")))
+
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat_ws("\n", *[line(j) for j in range(1, 8)]).alias("text"))
+
+
+@query
+def loose_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_shown(chunking.pieces(loose_texts(spark, sf_dir)))
+
+
+@query
+def loose_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.loose_share(chunking.pieces(loose_texts(spark, sf_dir)))
+    return rows.select("doc_id", F.round("loose_ratio", 6).alias("loose_ratio"), "loose_ratio_high")
+
+
 @query
 def semantic_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_shown(chunking.semantic(corpus.documents(spark, sf_dir)))
