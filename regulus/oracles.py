@@ -389,7 +389,17 @@ named AS (SELECT doc_id, list(DISTINCT matched) FILTER (strict) AS names FROM at
 hd AS (SELECT a.*, text, CASE WHEN strict THEN 'article' ELSE 'article_loose' END AS type FROM at_ a JOIN named USING (doc_id) JOIN tx USING (doc_id) WHERE strict OR loose AND coalesce(len(names), 0) < 5 AND NOT coalesce(list_contains(names, matched), false)
   AND NOT regexp_matches(substring(text, greatest(pos - 50, 0) + 1, least(pos + length(matched) + 50, length(text)) - greatest(pos - 50, 0)), '제\d+조제\d+[항호]|제\d+조\s*[및과]\s*제\d+조')),
 pc AS (SELECT *, {strip("substring(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)")} AS content FROM hd) """
+ITEMS = ", ".join(f"'{{\"key\":\"{k}\",\"type\":\"T\",\"value\":\"' || {v} || '\"}}'" for k, v in (("총액", "price || ' 원'"), ("시각", "(k % 24) || ':05 출발'"), ("걸린 시간", "(k % 60) || ' 분'"), ("비고", "':'"), ("총액", "'1 원'")))
+FIELDS = ", ".join(f"'\"{k}\":\"' || {v} || '\"'" for k, v in (("총액", "price || ' 원'"), ("시각", "(k % 24) || ':05 출발'"), ("걸린 시간", "(k % 60) || ' 분'"), ("비고", "':'")))
+PAIR_TEXTS = f"""WITH o AS (SELECT o_orderkey AS k, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price FROM orders),
+b AS (SELECT k, '[' || concat_ws(',', {ITEMS}) || ',"odd",7,{{"key":"n","value":12}},{{"key":"x"}}]' AS l, '{{' || concat_ws(',', {FIELDS}) || ',"n":12,"x":null}}' AS m FROM o),
+raws AS (SELECT k, CASE WHEN k % 5 < 2 THEN l WHEN k % 5 = 2 THEN m WHEN k % 5 = 3 THEN substring(m, 1, length(m) - 3) WHEN k % 2 = 0 THEN '17' END AS raw FROM b),
+kinds AS (SELECT k, raw, CASE WHEN raw IS NULL THEN NULL WHEN NOT json_valid(raw) THEN 'broken' WHEN json_type(raw) = 'ARRAY' THEN 'list' WHEN json_type(raw) = 'OBJECT' THEN 'map' ELSE 'other' END AS layout FROM raws),
+items AS (SELECT k, layout, unnest(range(1, n + 1)) AS pos, unnest(x) AS x FROM (SELECT k, layout, json_extract(raw, '$[*]') AS x, len(json_extract(raw, '$[*]')) AS n FROM kinds WHERE layout = 'list')),
+prs AS (SELECT k, pos, json_extract_string(x, '$.key') AS key, json_extract_string(x, '$.value') AS value FROM items UNION ALL SELECT k, 0, key, json_extract_string(raw, '$."' || key || '"') FROM (SELECT k, raw, unnest(json_keys(raw)) AS key FROM kinds WHERE layout = 'map')) """
 SQL |= {
+    "kvs_layouts": PAIR_TEXTS + "SELECT d.k AS o_orderkey, d.layout, count(p.key) AS keys, count(p.value) AS values, CASE WHEN d.layout = 'broken' THEN md5(any_value(d.raw)) END AS broken_md5 FROM kinds d LEFT JOIN prs p ON p.k = d.k GROUP BY d.k, d.layout",
+    "kvs_json": PAIR_TEXTS + r"""SELECT k AS o_orderkey, key, v AS value FROM (SELECT *, CASE WHEN value LIKE '% 원' THEN format('{:,}', regexp_extract(value, '^\d+')::BIGINT) || '원' WHEN value LIKE '%출발' THEN lpad(regexp_extract(value, '^\d+'), 2, '0') || ':05' WHEN value LIKE '% 분' THEN regexp_extract(value, '^\d+') || '분' ELSE value END AS v FROM prs WHERE key <> '' AND trim(value) <> '' AND value <> ':') QUALIFY row_number() OVER (PARTITION BY k, key ORDER BY length(v) DESC, pos) = 1""",
     "loose_pieces": LOOSE_TEXTS + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS chunk_index, type, matched AS boundary, CASE WHEN strict THEN regexp_extract(line, '\\(([^)]+)\\)', 1) END AS title, pos, md5(content) AS content_md5, CAST(length(content) AS BIGINT) AS char_count FROM pc WHERE length(content) >= 100",
     "loose_share": LOOSE_TEXTS + "SELECT doc_id, round(avg((type = 'article_loose')::INT), 6) AS loose_ratio, avg((type = 'article_loose')::INT) > 0.3 AS loose_ratio_high FROM pc WHERE length(content) >= 100 GROUP BY doc_id",
     "tables_of_texts": TABLE_TEXTS + "SELECT doc_id, table_id, is_generated, CAST(n_rows AS BIGINT) AS n_rows, CAST(ranks AS BIGINT) AS ranks FROM told",

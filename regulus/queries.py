@@ -463,6 +463,29 @@ def kvs_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kvs.normalized(o.select("o_custkey", F.col("o_orderstatus").alias("key"), value.alias("value"), F.col("o_orderkey").alias("pos")), ["o_custkey"])
 
 
+def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order its pairs as JSON: a list, an object, text that breaks off, or something else."""
+    n, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("bigint").cast("string")
+    quoted = lambda k, v: F.concat(F.lit(f'"{k}":"'), v, F.lit('"'))
+    pairs = [("총액", F.concat(price, F.lit(" 원"))), ("시각", F.concat((n % 24).cast("string"), F.lit(":05 출발"))), ("걸린 시간", F.concat((n % 60).cast("string"), F.lit(" 분"))), ("비고", F.lit(":"))]
+    item = lambda k, v: F.concat(F.lit(f'{{"key":"{k}","type":"T","value":"'), v, F.lit('"}'))
+    as_list = F.concat(F.lit("["), F.concat_ws(",", *[item(k, v) for k, v in pairs], item("총액", F.lit("1 원"))), F.lit(',"odd",7,{"key":"n","value":12},{"key":"x"}]'))
+    as_map = F.concat(F.lit("{"), F.concat_ws(",", *[quoted(k, v) for k, v in pairs]), F.lit(',"n":12,"x":null}'))
+    raw = F.when(n % 5 < 2, as_list).when(n % 5 == 2, as_map).when(n % 5 == 3, F.substring(as_map, F.lit(1), F.length(as_map) - 3)).otherwise(F.when(n % 2 == 0, "17"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+
+
+@query
+def kvs_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kvs.read(pair_texts(spark, sf_dir), ["o_orderkey"], "raw")
+    return rows.groupBy("o_orderkey", "layout").agg(F.count("key").alias("keys"), F.count("value").alias("values"), F.max(md5("broken")).alias("broken_md5"))
+
+
+@query
+def kvs_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kvs.normalized_json(pair_texts(spark, sf_dir), ["o_orderkey"], "raw")
+
+
 @query
 def golden_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = golden.article_structure(structure.articles(corpus.documents(spark, sf_dir)))
