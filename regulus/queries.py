@@ -521,7 +521,7 @@ def amended(arts: DataFrame) -> DataFrame:
     title = F.when((kind == 1) & (at == 0) & (doc % 5 == 0), "x").otherwise(F.col("article_title"))
     place = F.when(kind == 0, at + 1).when((kind == 2) & (doc % 2 == 0) & (at == 0), 1000).otherwise(at)
     now = F.struct(place.cast("int").alias("section_order"), number.alias("article_number"), title.alias("article_title"), body.alias("body"))
-    new = F.struct(at.cast("int"), F.lit("제1조").alias("article_number"), F.lit("신설").alias("article_title"), F.concat(F.lit("새 조문 "), doc.cast("string")).alias("body"))
+    new = F.struct(at.cast("int").alias("section_order"), F.lit("제1조").alias("article_number"), F.lit("신설").alias("article_title"), F.concat(F.lit("새 조문 "), doc.cast("string")).alias("body"))
     both = F.array(F.when(~((kind == 2) & (at == 1)), now), F.when((kind == 0) & (at == 0), new))
     return arts.select("doc_id", F.inline(F.filter(both, lambda x: x.isNotNull())))
 
