@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut
+from regulus.llm.common import cut, released
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     open_links, maps, turn = ends.where("a <> b"), [], 0
     while not open_links.isEmpty():
         turn += 1
+        released(links.sparkSession)
         both = open_links.union(open_links.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("n"))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("at"), F.least(rank("a"), F.col("m"))["n"].alias("to"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regulus.llm.common import cut, few, small
+from regulus.llm.common import cut, few, released, small
 from regulus.llm.components import components
 
 #: Similarity that links; words to a shingle; blocks; min-hashes to a block; seed.
@@ -137,14 +137,17 @@ def join_similar(docs: DataFrame, marks: DataFrame, text: str, id_column: str, s
     full = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("first"), F.min("me.head").alias("low"), F.max("me.head").alias("high")).where("low < high")
     part = F.pmod(F.xxhash64("k", "me.name"), F.ceil(F.col("n") / PART).cast("long"))
     pairs = cut(met(placed.join(full, ["t", "k"]).select("t", "k", part.alias("part"), "first", "me"), STEPS))
+    released(docs.sparkSession)
     ends = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name")))
     near = alike(pairs, sets_of(docs, texts, ends, text, id_column, shingle, seed), similarity)
     roots = components(near.union(torn))
     # what the neighbours left apart
     now = cut(texts.join(roots, texts["head"] == roots["node"], "left").select("name", F.coalesce("root", "head").alias("head"), "blocks", "key"))
+    released(docs.sparkSession)
     grams = sets_of(docs, now, mixed(now), text, id_column, shingle, seed)
     more = None
     if not grams.isEmpty():
+        released(docs.sparkSession)
         more = cut(alike(candidates(grams.join(now.select("name", "head"), "name"), similarity), grams, similarity))
     if more is not None and not more.isEmpty():
         later = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))
