@@ -52,16 +52,6 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets go of what earlier steps of a long operator left.
-
-    Shuffle files, broadcasts and checkpoints that no plan holds are removed only
-    once the driver's garbage is collected, which its JVM puts off for as long as
-    its heap can grow.
-    """
-    spark._jvm.System.gc()
-
-
 def few(batches: Iterable, rows: int = 256) -> Iterator:
     """Arrow batches, which Spark bounds by bytes, some rows at a time: what is made of a row may be larger than it."""
     for b in batches:
