@@ -260,7 +260,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", length_column: str | None = "n_chars", **how) -> DataFrame:
-    """All rows and columns as they came, but with spans masked, and ``length_column`` counted anew, in texts that have some."""
+    """All rows and columns as they came, but with spans masked, and ``length_column`` counted anew, in texts that have some.
+
+    Null texts stay null, rows that repeat come back as often, very long texts
+    are masked whole, and an empty table stays empty.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = with_spans(docs, text, [row], **how)
     has = F.size("_a") > 0

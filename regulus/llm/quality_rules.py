@@ -142,6 +142,10 @@ def quality(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rule
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows that every rule passes, with the columns they came with."""
+    """The rows that every rule passes, with the columns they came with.
+
+    Null and empty texts go; rows that repeat stay or go alike; very long texts
+    are judged whole; an empty table stays empty.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     return judge(statistics(docs, text, [row]), rules).where("kept").select("_row.*")
