@@ -255,6 +255,39 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [components.PIECE, 40])
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_components_within_tasks_and_across_them(spark, piece, kind):
+    rng = random.Random(14)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(400)] + [(2000 + i, 2001 + i) for i in range(150)] + [(4000, 4000)]
+    want = {frozenset(g) for g in grouped_by(pairs)}
+    links = spark.createDataFrame(pairs, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind)).repartition(3)
+    groups = collections.defaultdict(set)
+    got = components.components(links, piece).collect()
+    for r in got:
+        groups[r.root].add(int(float(r.node)))
+    assert {frozenset(g) for g in groups.values()} == want and len(got) == sum(map(len, want))
+
+
+def grouped_by(pairs):
+    at = {}
+    for a, b in pairs:
+        one = at.get(a, {a}) | at.get(b, {b})
+        at |= {x: one for x in one}
+    return at.values()
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """A chain of 500 links: the driver keeps plans, tasks and threads of each job, which filled its memory."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert components.components(links).select("root").distinct().count() == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 12
+
+
 # 2: decontamination
 
 QUESTION = "Alice has 5 apples and gives 5 to her friend Carol, who walks 3 km home with Carol every day before lunch."
