@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType
 
 from regulus.llm.common import cut
 
-#: Links that a task contracts at once.
+#: Links that a task contracts at once; so many, some megabytes, are the most that one task finishes.
 PIECE = 1 << 18
 #: Nodes that are the same in Python just when they are in Spark.
 PLAIN = (IntegerType(), LongType(), StringType())
@@ -31,16 +30,15 @@ def joined(a: list, b: list) -> dict:
 
 
 def contracted(links: DataFrame, piece: int) -> DataFrame:
-    """``links(a, b)`` -> ``(a, b, piece)``: each task sends the nodes of its links, a bounded number at once, to one node of what they join."""
+    """``links(a, b)`` -> ``(a, b)``: each task sends the nodes of its links, a bounded number at once, to one node of what they join."""
     kind = links.schema["a"].dataType.simpleString()
 
     def each(batches):
-        a, b, k = [], [], 0
+        a, b = [], []
 
         def told():
-            found, of = joined(a, b), (TaskContext.get().partitionId() << 32) + k
-            ends = (pa.array(x, batch.schema.field(0).type) for x in (found.keys(), found.values()))
-            return pa.RecordBatch.from_arrays([*ends, pa.array([of] * len(found), pa.int64())], names=["a", "b", "piece"])
+            found = joined(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(0).type) for x in (found.keys(), found.values())], names=["a", "b"])
 
         for batch in batches:
             for s in range(0, len(batch), piece):
@@ -49,18 +47,18 @@ def contracted(links: DataFrame, piece: int) -> DataFrame:
                 b += some.column(1).to_pylist()
                 if len(a) >= piece:
                     yield told()
-                    a, b, k = [], [], k + 1
+                    a, b = [], []
         if a:
             yield told()
 
-    return links.mapInArrow(each, f"a {kind}, b {kind}, piece long")
+    return links.mapInArrow(each, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame, piece: int = PIECE) -> DataFrame:
     """``links(a, b)`` -> ``(node, root)``, one row for each node that has a link.
 
-    Each task first contracts what its own links join. Where all links that are
-    left lay in one piece of one task, that is all; otherwise a round sends
+    Tasks first contract what their own links join, a piece of them at once. If
+    all links that are left are one piece, that is all; otherwise a round sends
     every node to the least of itself and its neighbours, in an order drawn
     afresh for the round, and carries the links over to where their ends went.
     The image of a connected graph is connected, so when no link is left
@@ -75,12 +73,11 @@ def components(links: DataFrame, piece: int = PIECE) -> DataFrame:
 
     def written(left: DataFrame) -> tuple[DataFrame, bool, bool]:
         """The links as they are after the tasks' own work; whether each node has met its root; whether none is left between two nodes."""
+        left = cut(left)
         if not plain:
-            left = cut(left)
             return left, False, left.where("a <> b").isEmpty()
-        left = cut(contracted(left, piece))
-        low, high = left.agg(F.min("piece"), F.max("piece")).first()
-        return left.select("a", "b"), low == high, low is None
+        n = left.count()
+        return cut(contracted(left.coalesce(max(1, -(-n // piece))), piece)), n <= piece, n == 0
 
     ends, met, none = written(links.where("a is not null and b is not null").select("a", "b").distinct())
     if met:
