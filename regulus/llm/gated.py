@@ -121,9 +121,8 @@ class Lanes:
 
 
 def logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Rows of logits, shifted only where their exponentials could leave the range; entries of states are at most one in size."""
-    x = states @ weights
-    x += bias
+    """Rows of logits, shifted only where their exponentials could leave the range; entries of states are at most one in size, the last is one."""
+    x = states @ np.vstack([weights, bias])
     if float((np.abs(weights).sum(axis=0) + np.abs(bias)).max(initial=0)) > 60:
         x -= x.max(axis=1, keepdims=True)
     return x
@@ -158,7 +157,7 @@ class Network:
     def forward(self, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray) -> dict[str, np.ndarray]:
         """States of steps by lanes; ``keep`` is zero where a text begins."""
         h, (steps, lanes) = self.shape.state, inputs.shape
-        x = self.w["inputs"][inputs]
+        x = self.w["inputs"].take(inputs, axis=0)
         before, after, gates, new, back = (np.empty((steps, lanes, k), np.float32) for k in (h, h, 2 * h, h, h))
         u = self.w["again"]
         for t in range(steps):
@@ -183,12 +182,14 @@ class Network:
         """
         w, shape = self.w, self.shape
         of_class = shape.class_of(targets)
+        states = np.hstack([states, np.ones((len(states), 1), states.dtype)])  # the bias is the weight of a one
         found, *rest = chosen(logits(states, w["to_class"], w["class_bias"]), of_class)
         back = None
         if grads is not None:
             d = off(*rest, of_class)
-            grads["to_class"] += states.T @ d
-            grads["class_bias"] += d.sum(axis=0)
+            change = states.T @ d
+            grads["to_class"] += change[:-1]
+            grads["class_bias"] += change[-1]
             back = d @ w["to_class"].T
         by_class = np.argsort(of_class, kind="stable")  # of short integers, so in linear time
         ends = np.searchsorted(of_class[by_class], np.arange(shape.word_classes + 1))
@@ -197,14 +198,15 @@ class Network:
             if not len(mine):
                 continue
             words = slice(k * PER_CLASS, min((k + 1) * PER_CLASS, shape.own))
-            here = states[mine]
+            here = states.take(mine, axis=0)
             local = targets[mine] - words.start
             logs, *rest = chosen(logits(here, w["to_word"][words].T, w["word_bias"][words]), local)
             found[mine] += logs
             if grads is not None:
                 d = off(*rest, local)
-                grads["to_word"][words] += d.T @ here
-                grads["word_bias"][words] += d.sum(axis=0)
+                change = d.T @ here
+                grads["to_word"][words] += change[:, :-1]
+                grads["word_bias"][words] += change[:, -1]
                 back[mine] += d @ w["to_word"][words]
         return found, back
 
@@ -235,7 +237,7 @@ class Network:
         flat, rows = inputs.reshape(-1).astype(np.int16), d_x.reshape(-1, 3 * h)
         order = np.argsort(flat, kind="stable")
         names, first = np.unique(flat[order], return_index=True)
-        grads["inputs"][names] += np.add.reduceat(rows[order], first)
+        grads["inputs"][names] += np.add.reduceat(rows.take(order, axis=0), first)
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = STEPS) -> np.ndarray:
         """The natural logarithm of each text's probability, rare words taken as their classes."""
