@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from zlib import crc32
 
@@ -59,6 +59,10 @@ class Recent(dict):
             self[key] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class WordEncoder:
     """The ids of a text as little-endian 32-bit integers, equal to the tokenizer's own.
@@ -105,12 +109,26 @@ class WordEncoder:
         runs = text.split() if not self.SEPARATORS.search(text) else filter(None, self.ASCII_SPACE.split(text))
         return b"".join(map(self.runs.__getitem__, runs))
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.runs.forget()
+        self.parts.forget()
+
 
 @cache
 def encoder(path: str) -> WordEncoder:
+    """One for each worker; a task leaves its caches empty, as workers live on and run other operators' tasks."""
     return WordEncoder(path)
 
 
+def forgetting(encode: WordEncoder, batches: Iterable) -> Iterator:
+    """The batches, after which the encoder's caches are emptied."""
+    try:
+        yield from batches
+    finally:
+        encode.forget()
+
+
 def pieces(docs: DataFrame, text: str = "text", id_column: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each text's ids and the end, cut only where longer than a sequence."""
     path = path or vocabulary()
@@ -118,7 +136,7 @@ def pieces(docs: DataFrame, text: str = "text", id_column: str = "doc_id", capac
     def each(batches):
         encode = encoder(path)
         end = struct.pack("<I", END)
-        for b in few(batches):
+        for b in forgetting(encode, few(batches)):
             at: list[int] = []
             rows: list[tuple] = []
             for i, t in enumerate(b.column(1)):

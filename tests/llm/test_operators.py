@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -525,6 +526,19 @@ def test_packing(spark, sf):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_leaves_no_words_in_the_workers(spark, sf):
+    packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    path = packing.vocabulary()
+
+    def held(batches):
+        assert list(batches)
+        caches = packing.encoder(path)
+        n = sum(len(c) + len(c.older) for c in (caches.runs, caches.parts))
+        yield pa.RecordBatch.from_pydict({"id": [n]})
+
+    assert spark.range(0, 8, 1, 8).mapInArrow(held, "id long").agg(F.max("id")).first()[0] == 0
+
+
 def test_open_bins_are_bounded():
     rng = random.Random(6)
     bins = packing.OpenBins(100, 5)
