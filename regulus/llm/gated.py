@@ -21,6 +21,8 @@ import numpy as np
 STATE, PER_CLASS, STEPS, LEARN_LANES, SCORE_LANES = 16, 32, 32, 256, 512
 #: Windows that a pass should have at least, and lanes that it keeps all the same.
 WINDOWS, LEAST_LANES = 100, 8
+#: States whose classes are worked out at once, so that their exponentials stay near the processor.
+BLOCK = 1024
 #: Adam's step, decay rates and guard; largest norm of a gradient.
 RATE, DECAYS, GUARD, NORM = 0.01, (0.9, 0.99), 1e-8, 1.0
 
@@ -150,28 +152,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """The columns of each gate apart, so that a gate's numbers of all lanes lie together."""
+    return weights.reshape(len(weights), 3, -1).transpose(1, 0, 2).copy()
+
+
+def begins(keep: np.ndarray) -> list[np.ndarray]:
+    """Of each step the lanes where a text begins."""
+    step, lane = np.nonzero(keep == 0)
+    return np.split(lane, np.searchsorted(step, np.arange(1, len(keep))))
+
+
 class Network:
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat, self.w = shape, flat, shape.split(flat)
 
     def forward(self, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray) -> dict[str, np.ndarray]:
-        """States of steps by lanes; ``keep`` is zero where a text begins."""
+        """States of steps by lanes; ``keep`` is zero where a text begins, and one elsewhere."""
         h, (steps, lanes) = self.shape.state, inputs.shape
-        x = self.w["inputs"].take(inputs, axis=0)
-        before, after, gates, new, back = (np.empty((steps, lanes, k), np.float32) for k in (h, h, 2 * h, h, h))
-        u = self.w["again"]
-        for t in range(steps):
-            held = np.multiply(state, keep[t][:, None], out=before[t])
-            moved = held @ u
+        x, u = by_gate(self.w["inputs"]).take(inputs, axis=1), by_gate(self.w["again"])
+        before, after, new, back = (np.empty((steps, lanes, h), np.float32) for _ in range(4))
+        gates, moved = np.empty((steps, 2, lanes, h), np.float32), np.empty((3, lanes, h), np.float32)
+        for t, begin in enumerate(begins(keep)):
+            held = before[t]
+            held[:] = state
+            held[begin] = 0
+            np.matmul(held, u, out=moved)
             g = gates[t]
-            np.add(x[t, :, : 2 * h], moved[:, : 2 * h], out=g)
+            np.add(x[:2, t], moved[:2], out=g)
             sigmoid(g)
-            back[t] = moved[:, 2 * h :]
-            n = np.multiply(g[:, h:], back[t], out=new[t])
-            n += x[t, :, 2 * h :]
+            back[t] = moved[2]
+            n = np.multiply(g[1], moved[2], out=new[t])
+            n += x[2, t]
             np.tanh(n, out=n)
             state = np.subtract(held, n, out=after[t])
-            state *= g[:, :h]
+            state *= g[0]
             state += n
         return {"before": before, "after": after, "gates": gates, "new": new, "back": back}
 
@@ -183,61 +198,82 @@ class Network:
         w, shape = self.w, self.shape
         of_class = shape.class_of(targets)
         states = np.hstack([states, np.ones((len(states), 1), states.dtype)])  # the bias is the weight of a one
-        found, *rest = chosen(logits(states, w["to_class"], w["class_bias"]), of_class)
-        back = None
-        if grads is not None:
-            d = off(*rest, of_class)
-            change = states.T @ d
-            grads["to_class"] += change[:-1]
-            grads["class_bias"] += change[-1]
-            back = d @ w["to_class"].T
+        kind = np.result_type(states, w["to_class"])
+        found, back = np.empty(len(states), kind), None if grads is None else np.empty((len(states), shape.state), kind)
+        for s in range(0, len(states), BLOCK):
+            mine = slice(s, s + BLOCK)
+            found[mine], *rest = chosen(logits(states[mine], w["to_class"], w["class_bias"]), of_class[mine])
+            if grads is not None:
+                d = off(*rest, of_class[mine])
+                change = states[mine].T @ d
+                grads["to_class"] += change[:-1]
+                grads["class_bias"] += change[-1]
+                np.matmul(d, w["to_class"].T, out=back[mine])
         by_class = np.argsort(of_class, kind="stable")  # of short integers, so in linear time
         ends = np.searchsorted(of_class[by_class], np.arange(shape.word_classes + 1))
+        by_class = by_class[: ends[-1]]
+        ordered, local, logs = states.take(by_class, axis=0), targets[by_class], np.empty(len(by_class), found.dtype)
+        d_ordered = None if grads is None else np.empty((len(by_class), shape.state), back.dtype)
         for k in range(shape.word_classes):
-            mine = by_class[ends[k] : ends[k + 1]]
-            if not len(mine):
+            mine = slice(ends[k], ends[k + 1])
+            if ends[k] == ends[k + 1]:
                 continue
             words = slice(k * PER_CLASS, min((k + 1) * PER_CLASS, shape.own))
-            here = states.take(mine, axis=0)
-            local = targets[mine] - words.start
-            logs, *rest = chosen(logits(here, w["to_word"][words].T, w["word_bias"][words]), local)
-            found[mine] += logs
+            here, at = ordered[mine], local[mine] - words.start
+            logs[mine], *rest = chosen(logits(here, w["to_word"][words].T, w["word_bias"][words]), at)
             if grads is not None:
-                d = off(*rest, local)
+                d = off(*rest, at)
                 change = d.T @ here
                 grads["to_word"][words] += change[:, :-1]
                 grads["word_bias"][words] += change[:, -1]
-                back[mine] += d @ w["to_word"][words]
+                np.matmul(d, w["to_word"][words], out=d_ordered[mine])
+        found[by_class] += logs
+        if grads is not None:
+            back[by_class] += d_ordered
         return found, back
 
     def backward(self, run: dict[str, np.ndarray], keep: np.ndarray, inputs: np.ndarray, d_after: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Adds the gradients of a window, from those of its states; none goes back beyond its first step."""
         h, (steps, lanes) = self.shape.state, inputs.shape
-        u = self.w["again"].T.copy()
-        d_x, d_moved = (np.empty((steps, lanes, 3 * h), np.float32) for _ in range(2))
-        d_state = np.zeros((lanes, h), np.float32)
+        u = by_gate(self.w["again"]).transpose(0, 2, 1).copy()
+        d_x, d_back = np.empty((3, steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
+        d_state, two = np.zeros((lanes, h), np.float32), np.empty((2, lanes, h), np.float32)
         before, gates, new, back = run["before"], run["gates"], run["new"], run["back"]
         # what does not depend on later steps, for all of them at once
-        z, r = gates[:, :, :h], gates[:, :, h:]
-        to_n = (1 - z) * (1 - new * new)
-        to_z = (before - new) * z * (1 - z)
-        to_r = back * r * (1 - r)
-        for t in range(steps - 1, -1, -1):
+        z, r = gates[:, 0], gates[:, 1]
+        less = 1 - z
+        to_n = new * new
+        np.subtract(1, to_n, out=to_n)
+        to_n *= less
+        to_z = before - new
+        to_z *= z
+        to_z *= less
+        to_r = np.subtract(1, r, out=less)
+        to_r *= r
+        to_r *= back
+        for t, begin in reversed(list(enumerate(begins(keep)))):
             d = d_state
             d += d_after[t]
-            d_n = np.multiply(d, to_n[t], out=d_x[t, :, 2 * h :])
-            np.multiply(d, to_z[t], out=d_x[t, :, :h])
-            np.multiply(d_n, to_r[t], out=d_x[t, :, h : 2 * h])
-            d_moved[t, :, : 2 * h] = d_x[t, :, : 2 * h]
-            np.multiply(d_n, r[t], out=d_moved[t, :, 2 * h :])
-            d_state = d_moved[t] @ u
-            d_state += d * z[t]
-            d_state *= keep[t][:, None]
-        grads["again"] += before.reshape(-1, h).T @ d_moved.reshape(-1, 3 * h)
-        flat, rows = inputs.reshape(-1).astype(np.int16), d_x.reshape(-1, 3 * h)
+            d_n = np.multiply(d, to_n[t], out=d_x[2, t])
+            np.multiply(d, to_z[t], out=d_x[0, t])
+            np.multiply(d_n, to_r[t], out=d_x[1, t])
+            np.multiply(d_n, r[t], out=d_back[t])
+            np.matmul(d_x[:2, t], u[:2], out=two)
+            d_state = d_back[t] @ u[2]
+            d_state += two[0]
+            d_state += two[1]
+            d_state += np.multiply(d, z[t], out=d)
+            d_state[begin] = 0
+        flat = inputs.reshape(-1).astype(np.int16)
         order = np.argsort(flat, kind="stable")
-        names, first = np.unique(flat[order], return_index=True)
-        grads["inputs"][names] += np.add.reduceat(rows.take(order, axis=0), first)
+        rows, states = np.empty((len(flat), 3 * h), np.float32), before.reshape(-1, h).T
+        for k, d in enumerate((d_x[0], d_x[1], d_back)):
+            mine = slice(k * h, (k + 1) * h)
+            grads["again"][:, mine] += states @ d.reshape(-1, h)
+            rows[:, mine] = d_x[k].reshape(-1, h).take(order, axis=0)
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        grads["inputs"][flat[first]] += np.add.reduceat(rows, first)
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = STEPS) -> np.ndarray:
         """The natural logarithm of each text's probability, rare words taken as their classes."""
