@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regulus.functions import patterns as P
+from regulus.functions.text import let
 
 #: Rows that a complete table has; up to so many appointees the rule is five places each, three beyond.
 ROWS, STEEP = 75, 5
@@ -31,20 +32,31 @@ def generated(spark: SparkSession) -> DataFrame:
 
 
 def extracted(region: Column) -> Column:
-    """``array<struct<n, rank>>`` by the row pattern that has most rows; of equal ones, the earlier."""
-    found = [F.regexp_extract_all(region, F.lit(p), F.lit(0)) for p in P.TABLE_ROWS]
-    sizes = [F.size(x) for x in found]
-    best = F.when(F.greatest(*sizes) == 0, F.array().cast("array<string>"))
-    for x, n in zip(found, sizes):
-        best = best.when(n == F.greatest(*sizes), x)
-    num = lambda x, k: F.regexp_extract(x, r"(\d+)\s+(\d+)", k).cast("int")
-    return F.transform(best, lambda x: F.struct(num(x, 1).alias("n"), num(x, 2).alias("rank")))
+    """``array<struct<n, rank>>`` by the row pattern that has most rows; of equal ones, the earlier.
+
+    Each pattern goes through the region once for the numbers, and the best one
+    once more for the ranks.
+    """
+    cells = lambda r, p, k: F.regexp_extract_all(r, F.lit(p), F.lit(k))
+
+    def best(r: Column, found: Column) -> Column:
+        sizes = F.transform(found, lambda x: F.size(x))
+        pair = lambda n, rank: F.struct(n.cast("int").alias("n"), rank.cast("int").alias("rank"))
+
+        def read(at: Column) -> Column:
+            ranks = F.when(at == 1, cells(r, P.TABLE_ROWS[0], 2))
+            for i, p in enumerate(P.TABLE_ROWS[1:], 2):
+                ranks = ranks.when(at == i, cells(r, p, 2))
+            return F.zip_with(F.get(found, at.cast("int") - 1), ranks, pair)
+
+        return let(let(sizes, lambda n: F.array_position(n, F.array_max(n))), read)
+
+    return let(region, lambda r: F.when(r.isNotNull(), let(F.array(*[cells(r, p, 1) for p in P.TABLE_ROWS]), lambda found: best(r, found))))
 
 
 def after(text: Column, pattern: str) -> Column:
     """What follows the first match, or null."""
-    parts = F.split(text, pattern, 2)
-    return F.when(F.size(parts) > 1, F.get(parts, 1))
+    return F.get(F.split(text, pattern, 2), 1)
 
 
 def region(text: Column, table_id: str) -> Column:
@@ -52,9 +64,9 @@ def region(text: Column, table_id: str) -> Column:
     rest = F.coalesce(*[after(text, p) for p in HEADERS[table_id]])
     if table_id == PROMOTION:
         return rest
-    ends = [F.when(F.regexp_instr(rest, F.lit(p)) > 0, F.regexp_instr(rest, F.lit(p))) for p in (*HEADERS[PROMOTION], NEXT_ANNEX)]
-    end = F.coalesce(*ends, F.length(rest) + 1)
-    return F.substring(rest, F.lit(1), end - 1)
+    place = lambda r, p: let(F.regexp_instr(r, F.lit(p)), lambda i: F.when(i > 0, i))
+    end = lambda r: F.coalesce(*[place(r, p) for p in (*HEADERS[PROMOTION], NEXT_ANNEX)], F.length(r) + 1)
+    return let(rest, lambda r: F.substring(r, F.lit(1), end(r) - 1))
 
 
 def rows(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -62,14 +74,25 @@ def rows(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.explode(extracted(F.coalesce(F.col(text), F.lit("")))).alias("r")).select(*keep, "r.n", "r.rank")
 
 
-def completed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Both tables of each text: its own rows where it has all of them, else those of the rule, which ``is_generated`` tells."""
+def told(docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """For each text and table a row: ``is_generated`` and the ``rows`` of :func:`completed`."""
     t = F.coalesce(F.col(text), F.lit(""))
     per = docs.select(id_column, F.explode(F.array(*[F.struct(F.lit(k).alias("table_id"), F.coalesce(extracted(region(t, k)), F.array().cast("array<struct<n:int,rank:int>>")).alias("rows")) for k in HEADERS])).alias("x"))
     numbers = F.sequence(F.lit(1), F.lit(ROWS))
     rule = F.transform(numbers, lambda n: F.struct(n.alias("n"), F.when(F.col("x.table_id") == OTHERS, five_fold(n)).otherwise(2 * n).cast("int").alias("rank")))
     short = F.size("x.rows") < ROWS
-    return per.select(id_column, "x.table_id", short.alias("is_generated"), F.explode(F.when(short, rule).otherwise(F.col("x.rows"))).alias("r")).select(id_column, "table_id", "is_generated", "r.n", "r.rank")
+    return per.select(id_column, "x.table_id", short.alias("is_generated"), F.when(short, rule).otherwise(F.col("x.rows")).alias("rows"))
+
+
+def completed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """Both tables of each text: its own rows where it has all of them, else those of the rule, which ``is_generated`` tells."""
+    return told(docs, text, id_column).select(id_column, "table_id", "is_generated", F.explode("rows").alias("r")).select(id_column, "table_id", "is_generated", "r.n", "r.rank")
+
+
+def totals(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """For each text and table a row: ``is_generated``, ``n_rows`` and the sum ``ranks`` of its completed rows, worked out where the text is."""
+    plus = lambda a, r: F.coalesce(a + r["rank"], a, r["rank"].cast("long"))
+    return told(docs, text, id_column).select(id_column, "table_id", "is_generated", F.size("rows").cast("long").alias("n_rows"), F.aggregate("rows", F.lit(None).cast("long"), plus).alias("ranks"))
 
 
 def statistics(table_rows: DataFrame) -> DataFrame:
