@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 HEAVY = 1_000_000
 #: Rows of a key from which its bounds are drawn, for each part; keys whose bounds are sent to all tasks.
 DRAWN, MOST_KEYS = 50, 10_000
+#: Sums over a whole table meet in at most about so many cells of equal width.
+CELLS = 1 << 14
 
 
 def parted(rows: DataFrame, keys: Sequence[str], order: str, heavy: int = HEAVY, name: str = "_b") -> DataFrame | None:
@@ -84,3 +86,36 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     known = last_known(theirs.unionByName(mine), keys, [F.col("_t"), F.col("_side"), F.col("_seen")], "_seen", "_last", "_t", heavy)
     got = known.where("_row is not null")
     return got.select("_row.*", F.when(F.col("_t").isNotNull(), F.col("_last")).alias("last"))
+
+
+def so_far(rows: DataFrame, at: str, values: Sequence[str], first: int, last: int, heavy: int = HEAVY) -> DataFrame:
+    """Each row with its ``values`` summed over all rows whose ``at`` is not after its own.
+
+    ``at`` is a whole number from ``first`` to ``last``. Rows are summed within
+    cells of equal width, those of very many rows cut into parts; the sums of
+    what stands before a cell come from a table of cells, which is as small
+    however many rows there are.
+    """
+    bits = ((last - first) // CELLS).bit_length()
+    placed = rows.withColumn("_cell", F.shiftright(F.col(at) - F.lit(first).cast("long"), bits))
+    cut = parted(placed, ["_cell"], at, heavy)
+    cut = placed.withColumn("_b", F.lit(0)) if cut is None else cut
+    before = Window.orderBy("_cell", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy("_cell", "_b").agg(*[F.sum(v).alias(v) for v in values])
+    carried = cells.select(F.col("_cell").alias("_kc"), F.col("_b").alias("_kb"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_in_{v}") for v in values])
+    w = Window.partitionBy("_cell", "_b").orderBy(at)  # with all rows of the same place
+    inside = cut.withColumns({v: F.sum(v).over(w) for v in values})
+    joined = inside.join(F.broadcast(carried), (F.col("_cell") == F.col("_kc")) & (F.col("_b") == F.col("_kb")))
+    return joined.withColumns({v: F.col(v) + F.col(f"_in_{v}") for v in values}).select(*rows.columns)
+
+
+def reach(rows: DataFrame, key: str, start: str, end: str, out: str, heavy: int = HEAVY) -> DataFrame:
+    """Adds ``out``: the greatest ``end`` of the key's rows before each one, in the order of their ``start``; null for the first."""
+    cut = parted(rows, [key], start, heavy)
+    order = Window.partitionBy(key, *([] if cut is None else ["_b"])).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    if cut is None:
+        return rows.withColumn(out, F.max(end).over(order))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(key, "_b").agg(F.max(end).alias("_e")).select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.max("_e").over(before).alias("_in"))
+    inside = cut.withColumn(out, F.max(end).over(order)).join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    return inside.withColumn(out, F.greatest(out, "_in")).select(*rows.columns, out)

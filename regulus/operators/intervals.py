@@ -7,6 +7,9 @@ to those of the coarser levels that the other side has, of which there are some
 dozens at most, however long an interval is. Of two rows that share two cells
 only the first counts, so no pair comes twice. Cells that hold very many rows
 are dealt out to several tasks.
+
+Where pairs are only counted, none is made: a moment lies in as many intervals
+as began before it and have not ended.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regulus.operators.asof import HEAVY, reach, so_far
+
 #: Levels are this many powers of two apart; a cell with more rows of a side is split.
 STEP, CROWD = 2, 100_000
 
@@ -86,3 +91,30 @@ def overlapping(left: DataFrame, right: DataFrame, left_span: tuple[str, str], r
 
 #: So many split cells are sent to all tasks; where there are more, they are joined by a shuffle.
 MOST_CELLS = 10_000
+
+
+def covered(points: DataFrame, at: str, spans: DataFrame, span: tuple[str, str], who: str, counts: tuple[str, str], heavy: int = HEAVY) -> DataFrame:
+    """The rows of ``points`` with two ``counts``: in how many closed spans ``at`` lies, and how many different ``who`` these have.
+
+    Bounds are whole numbers, as in :func:`overlapping`; spans with a null bound,
+    or that end before they start, hold no point, and a null ``who`` is not
+    counted. Points in no span, or without ``at``, are left out. A span counts
+    for its ``who`` only from where the earlier ones of the same have ended, so
+    nothing is as large as the pairs.
+    """
+    start, end = (F.col(c).cast("long") for c in span)
+    made = spans.where(end >= start).select(start.alias("_s"), end.alias("_e"), F.col(who).alias("_who"))
+    first, last = made.agg(F.min("_s"), F.max("_e")).first()
+    t = F.col(at).cast("long")
+    mine = points.where(t.between(F.lit(first).cast("long"), F.lit(last).cast("long"))).select(t.alias("_t"), F.struct(*points.columns).alias("_row"), *[F.lit(0).cast("long").alias(c) for c in ("_n", "_k")])
+    if first is None:
+        return mine.select("_row.*", F.col("_n").alias(counts[0]), F.col("_k").alias(counts[1]))
+    step = lambda t, n, k: F.struct(t.alias("_t"), F.lit(n).cast("long").alias("_n"), k.cast("long").alias("_k"))
+    fresh = F.greatest(F.col("_s"), F.col("_r") + 1)
+    new, whole = fresh <= F.col("_e"), fresh == F.col("_s")
+    named = reach(made.where("_who is not null"), "_who", "_s", "_e", "_r", heavy)
+    steps = named.select(F.inline(F.filter(F.array(step(F.col("_s"), 1, new & whole), step(fresh, 0, new & ~whole), step(F.col("_e") + 1, -1, -new.cast("int"))), lambda x: (x["_n"] != 0) | (x["_k"] != 0))))
+    nobody = made.where("_who is null").select(F.inline(F.array(step(F.col("_s"), 1, F.lit(0)), step(F.col("_e") + 1, -1, F.lit(0)))))
+    rows = mine.unionByName(steps.unionByName(nobody), allowMissingColumns=True)
+    got = so_far(rows, "_t", ["_n", "_k"], first, last + 1, heavy).where("_row is not null and _n > 0")
+    return got.select("_row.*", F.col("_n").alias(counts[0]), F.col("_k").alias(counts[1]))

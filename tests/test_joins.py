@@ -74,3 +74,27 @@ def test_heavy_keys_with_places_of_text(spark):
     is_open = F.col("v") == "C"
     whole, cut = (sorted(map(tuple, annex.propagate(df, ["k"], "at", "v", is_open, "out", heavy=h).collect())) for h in (None, 30))
     assert whole == cut
+
+
+@pytest.mark.parametrize("heavy", [asof.HEAVY, 10])
+def test_covered_equals_loops(spark, heavy):
+    rng = random.Random(5)
+    points = [(i, rng.choice([None, *range(-600, 1500, 7)])) for i in range(200)]
+    right = [(*x, f"w{x[0]}") for x in [*spans(rng, 150, 300), *[(200 + i, "hot", 100 + i // 9, 104 + i // 9 * 2) for i in range(90)]]]
+    a, b = spark.createDataFrame([*points, points[0]], "i long, t long"), spark.createDataFrame(right, "j long, k string, s long, e long, w string")
+    got = collections.Counter((r.i, r.n, r.whos) for r in intervals.covered(a, "t", b, ("s", "e"), "k", ("n", "whos"), heavy).collect())
+    want = collections.Counter()
+    for i, t in [*points, points[0]]:
+        meet = [x[1] for x in right if None not in (t, x[2], x[3]) and x[2] <= t <= x[3]]
+        want[i, len(meet), len({*meet} - {None})] += bool(meet)
+    assert got == +want and len({w for _, n, w in got}) > 2
+    assert intervals.covered(a.limit(0), "t", b, ("s", "e"), "k", ("n", "whos")).count() == 0
+    assert intervals.covered(a, "t", b.limit(0), ("s", "e"), "k", ("n", "whos")).collect() == []
+
+
+def test_sums_so_far_over_few_and_many_cells(spark):
+    rng = random.Random(6)
+    for last in (0, 5, 1 << 40):
+        rows = [(i, rng.randrange(-3, last + 1), rng.randrange(-4, 9)) for i in range(80)]
+        got = {r.i: r.v for r in asof.so_far(spark.createDataFrame(rows, "i long, t long, v long"), "t", ["v"], -3, last, 10).collect()}
+        assert got == {i: sum(v for _, u, v in rows if u <= t) for i, t, _ in rows}
